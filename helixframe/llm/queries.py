@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import quartile_digest, simhash, token_counts
+from helixframe.llm import quartile_digest, sharding, simhash, stream_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,19 @@ def op3_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.document_fingerprints(_documents(spark, sf_dir))
 
 
+def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.exact_groups(_documents(spark, sf_dir))
+
+
+def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.minimax_shards(_documents(spark, sf_dir), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_quartile_digest": op3_quartile_digest,
+    "op4_stream_dedup": op4_stream_dedup,
+    "op5_minimax_shards": op5_minimax_shards,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL}
