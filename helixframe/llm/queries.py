@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import quartile_digest, sharding, simhash, stream_dedup, token_counts
+from helixframe.llm import piece_codec, quartile_digest, sharding, simhash, stream_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,16 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(_documents(spark, sf_dir), shards=40)
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_quartile_digest": op3_quartile_digest,
     "op4_stream_dedup": op4_stream_dedup,
     "op5_minimax_shards": op5_minimax_shards,
+    "op6_piece_codec": op6_piece_codec,
 }
 ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL}
