@@ -27,9 +27,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder now and go on from there, so that a lost executor costs no more than one step."""
+#: Rows that one checkpoint file is to hold, where their number is known.
+ROWS_PER_FILE = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder now and go on from there, so that a lost executor costs no more than one step.
+
+    With about how many ``rows`` it has, small results don't become a file for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)

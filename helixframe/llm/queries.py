@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import piece_codec, quartile_digest, sharding, simhash, stream_dedup, token_counts
+from helixframe.llm import id_store, packing, piece_codec, quartile_digest, sharding, simhash, stream_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_store.through_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -45,5 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_stream_dedup": op4_stream_dedup,
     "op5_minimax_shards": op5_minimax_shards,
     "op6_piece_codec": op6_piece_codec,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_id_store": op8_id_store,
 }
 ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL}

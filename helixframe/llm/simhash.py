@@ -154,7 +154,8 @@ def near_links(distinct: DataFrame, radius: int = 3, tree_size: int = 1024) -> D
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size).select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("trees"))
     dealt = keyed.join(sizes, "key", "left").withColumn("trees", F.coalesce("trees", F.lit(1))).withColumn("tree", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    shards = cut(dealt.groupBy("key", "trees", "tree").agg(F.collect_list("fp").alias("fps")).filter((F.size("fps") > 1) | (F.col("trees") > 1)))
+    rows = distinct.count() * blocks
+    shards = cut(dealt.groupBy("key", "trees", "tree").agg(F.collect_list("fp").alias("fps")).filter((F.size("fps") > 1) | (F.col("trees") > 1)), rows)
     inner = shards.filter(F.size("fps") > 1).select("fps", F.lit(None).cast("array<long>").alias("others"))
     hot = shards.filter("trees > 1")
     sisters = hot.select("key", "tree", "fps").join(hot.select("key", F.col("tree").alias("other"), F.col("fps").alias("others")), "key").filter("tree < other")
@@ -168,15 +169,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star contraction; links are only counted and hashed by the
     driver. It ends when a round changes nothing.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"))
+    size, state = edges.count(), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u")
-        edges = cut(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        edges = cut(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), size)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break

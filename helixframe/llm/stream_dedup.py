@@ -28,6 +28,10 @@ from helixframe.llm._shared import shared_path
 
 DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A state store takes about 4 MB of disk before it holds a row, so their number follows the rows and not the shuffle's partitions.
+STORES = "spark.sql.streaming.internal.stateStore.partitions"
+ROWS_PER_STORE = 500_000
+LEAST_STORES = 16
 LANDED = "digest binary, doc_id long, file long, row long"
 Digest = Callable[[Column], Column]
 
@@ -39,20 +43,25 @@ def sha256(text: Column) -> Column:
 def _located(docs: DataFrame) -> DataFrame:
     """``doc_id, text, file, row``; rows that don't come straight from files are located by their place in the plan's partitions."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    by_place = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    if not docs.inputFiles():
+        return by_place
     try:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    except AnalysisException:  # the plan below has dropped the file columns
+        return by_place
 
 
-def seen(spark: SparkSession, landed: str, checkpoint: str, out: str, batch_bytes: int = 256 << 20) -> None:
+def seen(spark: SparkSession, landed: str, checkpoint: str, out: str, stores: int = LEAST_STORES, batch_bytes: int = 256 << 20) -> None:
     """Stream what has landed through the keyed state; the groups that a micro-batch changed are appended to ``out``.
 
     Started again with the same ``checkpoint`` it goes on with the state as it was, over new files only.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, DISK_STATE)
+    settings = {PROVIDER: DISK_STATE, STORES: str(stores), "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         rows = spark.readStream.schema(LANDED).option("maxBytesPerTrigger", batch_bytes).parquet(landed)
         newest = F.max(F.struct("doc_id", "file", "row"))
         state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), newest.alias("keep"))
@@ -62,7 +71,8 @@ def seen(spark: SparkSession, landed: str, checkpoint: str, out: str, batch_byte
 
         state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_groups(docs: DataFrame, digest: Digest = sha256, batch_bytes: int = 256 << 20) -> DataFrame:
@@ -72,7 +82,8 @@ def exact_groups(docs: DataFrame, digest: Digest = sha256, batch_bytes: int = 25
     landed, out = f"{home}/landed", f"{home}/groups"
     located = _located(docs).withColumn("digest", digest(F.col("text")))
     located.select("digest", "doc_id", "file", "row").write.parquet(landed)
-    seen(spark, landed, f"{home}/state", out, batch_bytes)
+    rows = spark.read.schema(LANDED).parquet(landed)
+    seen(spark, landed, f"{home}/state", out, max(LEAST_STORES, rows.count() // ROWS_PER_STORE), batch_bytes)
     changed = "digest binary, n long, keep struct<doc_id: long, file: long, row: long>"
     groups = spark.read.schema(changed).parquet(out) if _any(spark, out) else spark.createDataFrame([], changed)
     groups = groups.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
@@ -81,7 +92,6 @@ def exact_groups(docs: DataFrame, digest: Digest = sha256, batch_bytes: int = 25
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     classes = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("newest"))
     differing = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest").persist()
-    rows = spark.read.schema(LANDED).parquet(landed)
     try:
         if differing.isEmpty():
             joined = rows.join(groups, "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "digest")
