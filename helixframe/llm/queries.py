@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import id_store, packing, piece_codec, quartile_digest, sharding, simhash, stream_dedup, token_counts
+from helixframe.llm import id_store, packing, piece_codec, quality, quartile_digest, sharding, simhash, stream_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,16 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.through_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -55,5 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_codec": op6_piece_codec,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_id_store": op8_id_store,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL}
