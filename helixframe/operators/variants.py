@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,8 +177,6 @@ def replay(text: str, ref: str, qry: str) -> tuple[int, int, int]:
 
 def sam_columns(rows: DataFrame, hard: bool = False) -> DataFrame:
     """Add ``cigar, md, nm`` for rows with ``ref_seq`` and ``qry_seq``; clips count on the strand of the alignment."""
-    import pandas as pd
-
     @F.pandas_udf("struct<cigar: string, md: string, nm: long>")
     def made(ref: pd.Series, qry: pd.Series, deltas: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
         out = []

@@ -314,3 +314,165 @@ def cluster_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _alignments(spark, sf_dir).select(F.col("ref_id").alias("cluster_id"), F.row_number().over(Window.partitionBy("ref_id").orderBy("lo1", "aln_id")).alias("ord"), F.col("lo1").alias("s1"), F.col("lo2").alias("s2"), (F.least(F.col("hi1") - F.col("lo1"), F.col("hi2") - F.col("lo2")) + 1).alias("len"))
     return structure.gaps_between(rows)
+
+
+# Chains, clusters, extensions and what follows from them: tested against brute force, without a twin in SQL.
+
+
+def _some_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignments(spark, sf_dir)
+
+
+@query()
+def qlis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.query_best(_some_alignments(spark, sf_dir)).filter("is_q").select("aln_id", "qry_id")
+
+
+@query()
+def rlis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.reference_best(_some_alignments(spark, sf_dir)).filter("is_r").select("aln_id", "ref_id")
+
+
+@query()
+def glis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.global_best(_some_alignments(spark, sf_dir)).filter("is_g").select("aln_id", "ref_id", "qry_id")
+
+
+@query()
+def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.one_to_one(_some_alignments(spark, sf_dir)).select("aln_id")
+
+
+@query()
+def many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.many_to_many(_some_alignments(spark, sf_dir)).select("aln_id", "is_q", "is_r")
+
+
+@query()
+def uniqueness_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_uniqueness(filters.by_size(_some_alignments(spark, sf_dir), 99.5, 1200), 50).select("aln_id")
+
+
+@query()
+def tiling_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.tiling import tiling
+
+    return tiling(_some_alignments(spark, sf_dir), max_gap=-1, coverage=1.0, lead=0.0, identity=50.0)
+
+
+#: Text alignment of the planted benchmark passages.
+TEXT_OPTIONS = {"min_match": TEXT_MATCH, "min_cluster": 40, "text": True, "strand": "forward", "matches": "all"}
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from helixframe.operators.extend import Options
+    from helixframe.plans.align import align
+
+    refs, queries = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return refs, queries, align(refs, queries, Options(**TEXT_OPTIONS))
+
+
+@query()
+def cluster_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.cluster import clusters
+
+    return clusters(_text_matches(spark, sf_dir), min_cluster=40)
+
+
+@query()
+def align_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir)[2]
+
+
+@query()
+def snps_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators import variants
+
+    refs, queries, rows = _aligned(spark, sf_dir)
+    return variants.snps(variants.differences(variants.with_sequences(rows, refs, queries)), rows)
+
+
+@query()
+def sam_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators import variants
+    from helixframe.sinks.formats import sam_lines
+
+    refs, queries, rows = _aligned(spark, sf_dir)
+    return sam_lines(variants.sam_columns(variants.with_sequences(rows, refs, queries)))
+
+
+@query()
+def vcf_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators import variants
+
+    refs, queries, rows = _aligned(spark, sf_dir)
+    return variants.vcf_rows(variants.differences(variants.with_sequences(rows, refs, queries)), refs)
+
+
+@query()
+def difference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.plans.align import difference_report as report
+
+    refs, queries, rows = _aligned(spark, sf_dir)
+    return report(refs, queries, rows)
+
+
+@query()
+def six_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.protein import frames
+
+    return frames(table(spark, sf_dir, "benchmark", dna=True))
+
+
+@query()
+def align_protein_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.protein import align_protein
+
+    return align_protein(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), _protein_options())
+
+
+def _protein_options():
+    from dataclasses import replace
+
+    from helixframe.operators.extend import PROTEIN
+
+    return replace(PROTEIN, min_match=12, min_cluster=20)
+
+
+@query()
+def gap_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.cluster import clusters
+    from helixframe.operators.gaps import annotate
+
+    refs, queries = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return annotate(clusters(_text_matches(spark, sf_dir), min_cluster=40), refs, queries)
+
+
+@query()
+def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.sinks.formats import plot_series as series
+
+    refs, queries, rows = _aligned(spark, sf_dir)
+    return series(rows, refs, queries)
+
+
+@query(ALN + """SELECT qry_id, ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY lo1, qry_id) AS rank, dir2 < 0 AS reverse FROM (SELECT *, row_number() OVER (PARTITION BY qry_id ORDER BY hi1 - lo1 + 1 DESC, ref_id, lo1, aln_id) AS n FROM b) WHERE n = 1""")
+def plot_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.sinks.formats import layout
+
+    return layout(_alignments(spark, sf_dir))
+
+
+@query("SELECT doc_id::VARCHAR AS seq_id, length(text) AS len FROM documents WHERE lower(text) SIMILAR TO '.*(idiot|clown).*' OR regexp_matches(lower(text), 'idiot|clown')")
+def data_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.records import data_grep as grep
+
+    return grep(table(spark, sf_dir, "documents"), "idiot|clown").select("seq_id", "len")
+
+
+@query("SELECT doc_id::VARCHAR AS seq_id, length(text) AS len FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.records import extract
+
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").cast("string").alias("seq_id"))
+    return extract(table(spark, sf_dir, "documents"), ids).select("seq_id", "len")
