@@ -31,6 +31,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: A state store takes about 4 MB of disk before it holds a row, so their number follows the rows and not the shuffle's partitions.
 STORES = "spark.sql.streaming.internal.stateStore.partitions"
 ROWS_PER_STORE = 500_000
+#: Plain create and rename; the default asks a local file system for links, by a process of its own for each file.
+FILES = "spark.sql.streaming.checkpointFileManagerClass"
+PLAIN_FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 LEAST_STORES = 16
 LANDED = "digest binary, doc_id long, file long, row long"
 Digest = Callable[[Column], Column]
@@ -57,7 +60,7 @@ def seen(spark: SparkSession, landed: str, checkpoint: str, out: str, stores: in
 
     Started again with the same ``checkpoint`` it goes on with the state as it was, over new files only.
     """
-    settings = {PROVIDER: DISK_STATE, STORES: str(stores), "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {PROVIDER: DISK_STATE, STORES: str(stores), FILES: PLAIN_FILES, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
