@@ -41,6 +41,8 @@ SPANS = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
 CHAIN = 64
 #: Words that are scored at once.
 BLOCK = 1 << 18
+#: Steps that training takes at least, however small the sample is.
+LEAST_STEPS = 200
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -197,7 +199,8 @@ def train(rows: list[tuple[np.ndarray, int]], prior: float | None, support: floa
     here, truth, before, after = map(np.concatenate, (grids, truths, befores, afters))
     squares, tsquares, bsquare = np.full(model.weights.shape, 1e-3), np.full((2, 2), 1e-3), 1e-3
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    batch = max(16, min(batch, len(here) // 16))
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(here)))):
         mixed = order.permutation(len(here))
         for at in range(0, len(mixed), batch):
             some = mixed[at : at + batch]
