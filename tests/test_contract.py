@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -23,9 +24,11 @@ def duck():
 
 def plain(df):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
-        return round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") or type(v).__name__ == "Decimal" else (float(v) if isinstance(v, int) and not isinstance(v, bool) else v)
+        if isinstance(v, (bool, str)) or type(v).__name__ == "bool_":
+            return v if isinstance(v, str) else bool(v)
+        return round(float(v), 6)
 
     names = sorted(df.columns)
     return names, sorted((tuple(cell(v) for v in row) for row in df[names].astype(object).itertuples(index=False)), key=str)
