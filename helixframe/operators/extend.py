@@ -239,7 +239,7 @@ def extend(clusters: DataFrame, refs: DataFrame, queries: DataFrame, o: Options
                         if o.text:
                             similar = off
                         s2, e2 = (lo2, hi2) if strand > 0 else (len(qry) - lo2 + 1, len(qry) - hi2 + 1)
-                        out.append((0, ref_id, qry_id, len(ref), len(qry), lo1, hi1, s2, e2, off, similar, odd if not o.text else 0, contract(one, two), "NUCMER"))
+                        out.append((0, ref_id, qry_id, len(ref), len(qry), lo1, hi1, s2, e2, off, similar, odd if not o.text else 0, contract(one, two), "dna"))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     made = pairs.select("ref_id", "qry_id", "m", F.coalesce("ref_seq", F.lit("")).alias("ref_seq"), F.coalesce("qry_seq", F.lit("")).alias("qry_seq")).mapInArrow(run, SCHEMA)

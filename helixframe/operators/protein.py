@@ -50,5 +50,5 @@ def align_protein(refs: DataFrame, queries: DataFrame, options: Options = PROTEI
 
     s1, e1 = ends("s1", "e1", "frame1", "ref_len")
     s2, e2 = ends("s2", "e2", "frame2", "qry_len")
-    rows = rows.withColumns({"s1": s1, "e1": e1, "s2": s2, "e2": e2, "data_type": F.lit("PROMER")})
+    rows = rows.withColumns({"s1": s1, "e1": e1, "s2": s2, "e2": e2, "data_type": F.lit("protein")})
     return with_bounds(with_identity(rows))

@@ -31,9 +31,9 @@ def delta_records(rows: DataFrame) -> DataFrame:
     return pairs.select("ref_id", "qry_id", F.concat_ws("\n", head, F.array_join(F.transform("a", lambda x: x["_one"]), "\n")).alias("line"))
 
 
-def write_delta(rows: DataFrame, path: str, ref_path: str, qry_path: str, data_type: str = "NUCMER") -> None:
-    """Delta text ordered by query and reference, its two header lines first."""
-    head = rows.sparkSession.createDataFrame([("", "", 0, f"{ref_path} {qry_path}\n{data_type}")], "qry_id string, ref_id string, n int, line string")
+def write_delta(rows: DataFrame, path: str, ref_path: str, qry_path: str, type_word: str) -> None:
+    """Delta text ordered by query and reference, its two header lines first: paths, and the word that the reading tool expects for the data type (one with P means protein)."""
+    head = rows.sparkSession.createDataFrame([("", "", 0, f"{ref_path} {qry_path}\n{type_word}")], "qry_id string, ref_id string, n int, line string")
     body = delta_records(rows).select("qry_id", "ref_id", F.lit(1).alias("n"), "line")
     write_lines(head.unionByName(body), path, "n", "qry_id", "ref_id")
 
@@ -88,9 +88,9 @@ def snp_lines(found: DataFrame) -> DataFrame:
     return found.select("aln_id", "p1", _text("p1", "sub_r", "sub_q", "p2", "buff", "dist", "con_r", "con_q", "ref_id", "qry_id", sep="\t").alias("line"))
 
 
-def feature_lines(features: DataFrame, amos: bool = False) -> DataFrame:
-    """Breakpoint rows; ``amos``: only name, kind and ends, for feature files."""
-    if amos:
+def feature_lines(features: DataFrame, bare: bool = False) -> DataFrame:
+    """Breakpoint rows; ``bare``: only name, kind and ends, for feature files."""
+    if bare:
         return features.select("seq_id", "start", _text("seq_id", "type", "start", "end", sep="\t").alias("line"))
     extra = F.when(F.col("type") == "GAP", _text("len2", "diff", sep="\t")).when(F.col("type") == "SEQ", _text("prev_seq", "next_seq", sep="\t"))
     return features.select("seq_id", "start", F.concat_ws("\t", _text("seq_id", "type", "start", "end", "len", sep="\t"), extra).alias("line"))

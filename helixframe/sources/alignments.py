@@ -19,7 +19,7 @@ SCHEMA = "aln_id long, ref_id string, qry_id string, ref_len long, qry_len long,
 def with_identity(rows: DataFrame) -> DataFrame:
     """Add ``total`` columns and ``idy, sim, stp`` percentages."""
     span = F.abs(F.col("e1") - F.col("s1")) + 1
-    base = F.when(F.col("data_type") == "PROMER", F.floor(span / 3)).otherwise(span)
+    base = F.when(F.col("data_type") == "protein", F.floor(span / 3)).otherwise(span)
     total = base + F.size(F.filter("deltas", lambda d: d < 0))
     rows = rows.withColumn("total", total.cast("long"))
     return rows.withColumn("idy", (F.col("total") - F.col("errors")) * 100.0 / F.col("total")).withColumn("sim", (F.col("total") - F.col("sim_errors")) * 100.0 / F.col("total")).withColumn("stp", F.col("stops") * 100.0 / (2 * F.col("total")))
@@ -33,15 +33,15 @@ def with_bounds(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_delta(spark: SparkSession, path: str, binary_limit: int = 1 << 30) -> DataFrame:
-    """Delta files: a header of two paths and the data type, then records ``>ref qry len len`` of alignments.
+def read_delta(spark: SparkSession, path: str) -> DataFrame:
+    """Delta files: a header of two paths and a word for the data type (with P: protein), then records ``>ref qry len len`` of alignments.
 
     Records are split where a line begins with ``>``, so a file is read by many tasks; only the two
     lines before the first record are looked at apart.
     """
     chunks = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("ord"))
-    head = chunks.filter(F.col("value").rlike(r"^\S+.*\n(NUCMER|PROMER)")).select(F.regexp_extract("value", r"\n(NUCMER|PROMER)", 1)).limit(1).collect()
-    kind = head[0][0] if head else "NUCMER"
+    head = chunks.filter(F.col("value").rlike(r"^[^\n]+\n[A-Z]+\s*$")).select(F.regexp_extract("value", r"\n([A-Z]+)\s*$", 1)).limit(1).collect()
+    kind = "protein" if head and head[0][0].startswith("P") else "dna"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -84,7 +84,7 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("e1", F.col("s1") + F.col("span") - 1).withColumn("q1", F.col("q0") + F.col("span") + F.col("d") - 1)
     return rows.select(
         "aln_id", "ref_id", "qry_id", "ref_len", "qry_len", "s1", "e1", F.when(F.col("rev"), F.col("q1")).otherwise(F.col("q0")).alias("s2"), F.when(F.col("rev"), F.col("q0")).otherwise(F.col("q1")).alias("e2"),
-        "errors", (F.col("errors") - F.col("errors") % 3).alias("sim_errors"), "stops", F.array().cast("array<long>").alias("deltas"), F.lit("NUCMER").alias("data_type"),
+        "errors", (F.col("errors") - F.col("errors") % 3).alias("sim_errors"), "stops", F.array().cast("array<long>").alias("deltas"), F.lit("dna").alias("data_type"),
     )
 
 

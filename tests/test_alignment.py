@@ -168,12 +168,12 @@ def test_gap_errors():
 
 
 def alignments(spark, rows):
-    return with_bounds(with_identity(spark.createDataFrame([(i, r, q, 1000, 500, *c, e, e, 0, [], "NUCMER") for i, (r, q, c, e) in enumerate(rows)], SCHEMA)))
+    return with_bounds(with_identity(spark.createDataFrame([(i, r, q, 1000, 500, *c, e, e, 0, [], "dna") for i, (r, q, c, e) in enumerate(rows)], SCHEMA)))
 
 
 def test_delta_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "r", "q", 100, 90, 1, 50, 1, 49, 2, 2, 0, [10, -3], "NUCMER"), (2, "r", "q", 100, 90, 60, 80, 80, 60, 0, 0, 0, [], "NUCMER"), (3, "r", "p", 100, 20, 5, 9, 1, 5, 0, 0, 0, [], "NUCMER")], SCHEMA)
-    formats.write_delta(rows, str(tmp_path / "d"), "ref.fa", "qry.fa")
+    rows = spark.createDataFrame([(1, "r", "q", 100, 90, 1, 50, 1, 49, 2, 2, 0, [10, -3], "dna"), (2, "r", "q", 100, 90, 60, 80, 80, 60, 0, 0, 0, [], "dna"), (3, "r", "p", 100, 20, 5, 9, 1, 5, 0, 0, 0, [], "dna")], SCHEMA)
+    formats.write_delta(rows, str(tmp_path / "d"), "ref.fa", "qry.fa", "DNA")
     again = read_delta(spark, str(tmp_path / "d"))
     assert sorted(tuple(r)[1:] for r in again.collect()) == sorted(tuple(r)[1:] for r in rows.collect())
     spark.createDataFrame([(formats.delta_records(rows).count(),)], "n int").collect()
