@@ -11,11 +11,11 @@ The store's folder holds Parquet files with binary columns:
 * ``recipes/bucket=B``: ``doc_id, start, n_tokens, lengths`` (ids in each chunk), ``digests`` (a
   chunk's digest after another, 16 bytes each), ``data`` (the ids of the chunks that no other place
   uses, 16-bit little-endian), ``given`` (digest and ids of the shared chunks that are stored here),
-  ``leaf`` (digest of the recipe), in ascending ``doc_id``;
+  ``whole`` (nothing is shared), ``leaf`` (digest of the recipe), in ascending ``doc_id``;
 * ``manifest``: for each bucket the Merkle root over its recipes in order, and their number; the
   bucket -1 has the root over the buckets' roots.
 
-Reading joins the shared chunks to the documents that use them, takes every chunk's digest again, rebuilds every document and
+Reading joins the shared chunks to the documents that use them (the others are not moved), takes every chunk's digest again, rebuilds every document and
 the Merkle roots, and fails if anything differs. Texts are encoded by segment: for this vocabulary
 white space is dropped and nothing spans a space, so the ids of the parts between ASCII spaces are
 the ids of the text; parts seen before are looked up.
@@ -28,6 +28,8 @@ gives an empty store; columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,12 +44,14 @@ END_ID = 2
 DIGEST = 16
 WINDOW = 16
 LEAST, MASK, GREATEST = 64, 255, 1024
-#: Segments whose ids a worker remembers, and the longest one.
-REMEMBERED = 1 << 18
-LONGEST = 48
+#: Segments whose ids a worker remembers before it starts afresh.
+REMEMBERED = 1 << 19
+#: Letters of Latin-1 and then other signs, but no apostrophe: two pre-tokens, the first one the same in either case.
+STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 _segments: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+_stem_encoders: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
@@ -63,27 +67,93 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _written(stem: bytes, final: bool) -> str | None:
+    """Symbols of a-z and of the two-byte letters ß to ÿ as one ASCII sign each, the last symbol of a word as another one."""
+    out = []
+    for k, byte in enumerate(stem):
+        end = final and k == len(stem) - 1
+        if 97 <= byte <= 122:
+            out.append(chr(byte - 32 * end))
+        elif byte == 0xC3 and not end:
+            out.append("@")
+        elif 0xA0 <= byte <= 0xBF:
+            out.append(chr(byte - 0xA0 + 32 * end))
+        elif byte == 0x9F:
+            out.append("]" if end else "[")
+        else:
+            return None
+    return "".join(out)
+
+
+WORD_END = r"[a-z\x00-\x1f@\[]*[A-Z\x20-\x3f\]]"
+INNER = {c: _written(chr(c).encode(), False) for c in range(0xDF, 0x100)}
+LAST = {chr(c): _written(chr(c).encode(), True) for c in [*range(97, 123), *range(0xDF, 0x100)]}
+
+
+def _stems(path: str):
+    """An encoder of many words of Latin-1 letters at once, and which ids end a word."""
+    if path not in _stem_encoders:
+        import json
+
+        import tiktoken
+
+        from helixframe.llm.packing import _byte_symbols
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, symbols, ranks = model["end_of_word_suffix"], _byte_symbols(), {}
+        ends = set()
+        for token, i in model["vocab"].items():
+            stem = token.removesuffix(suffix)
+            if all(c in symbols for c in stem) and (written := _written(bytes(symbols[c] for c in stem), stem != token)):
+                ranks[written.encode()] = i
+                if stem != token:
+                    ends.add(i)
+        last = np.zeros(max(ranks.values()) + 1, bool)
+        last[list(ends)] = True
+        # single bytes that no word has need an id as well
+        ranks |= {bytes([b]): len(last) + b for b in range(256) if bytes([b]) not in ranks}
+        _stem_encoders[path] = tiktoken.Encoding("stems", pat_str=WORD_END, mergeable_ranks=ranks, special_tokens={}), last
+    return _stem_encoders[path]
+
+
+def _encode_stems(words: list[str], path: str) -> dict[str, bytes]:
+    plan, last = _stems(path)
+    ids = plan.encode_to_numpy("".join([(w[:-1] if w.isascii() else w[:-1].translate(INNER)) + LAST[w[-1]] for w in words]))
+    ends = (2 * (np.flatnonzero(last[ids]) + 1)).tolist()
+    data = ids.astype("<u2").tobytes()
+    return {w: data[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of whole texts as 16-bit little-endian strings, without special tokens being added."""
     known = _segments.setdefault(path, {})
+    if len(known) >= REMEMBERED:
+        known.clear()
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({p for some in parts for p in some if p not in known})
-    tok = _tokenizer(path)
-    fresh: dict[str, bytes] = {}
-    for at in range(0, len(new), 4096):
-        batch = new[at : at + 4096]
-        fresh.update(zip(batch, [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(batch, add_special_tokens=False)], strict=True))
-    both = known | fresh if len(fresh) > len(known) // 4 else None
-    if both is None:
-        out = [b"".join([known[p] if p in known else fresh[p] for p in some]) for some in parts]
-    else:
-        out = [b"".join(map(both.__getitem__, some)) for some in parts]
-    for p, ids in fresh.items():
-        if len(known) >= REMEMBERED:
-            break
-        if len(p) <= LONGEST:
-            known[p] = ids
-    return out
+    split, stems, others = {}, set(), set()
+    for p in set().union(*parts).difference(known):
+        if p.isalpha() and p.isascii():
+            split[p] = p.lower(), ""
+            stems.add(split[p][0])
+        elif m := STEM.fullmatch(p):
+            split[p] = m[1].lower(), m[2]
+            stems.add(split[p][0])
+            others.add(m[2])
+        else:
+            others.add(p)
+    others.add("")
+    if stems := stems.difference(known):
+        known |= _encode_stems(list(stems), path)
+    others = list(others.difference(known))
+    for at in range(0, len(others), 4096):
+        some = others[at : at + 4096]
+        for x, e in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
+            ids = e.ids
+            known[x] = struct.pack(f"<{len(ids)}H", *ids)
+    for p, (stem, rest) in split.items():
+        known[p] = known[stem] + known[rest] if rest else known[stem]
+    return [b"".join(map(known.__getitem__, some)) for some in parts]
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -152,7 +222,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, cuts: list[int], end_id: int
 
 EACH_DIGEST = f"transform(sequence(1, size(lengths)), i -> substring(digests, {DIGEST} * (i - 1) + 1, {DIGEST}))"
 GIVEN = "array<struct<digest: binary, data: binary>>"
-RECIPE = f"doc_id long, start long, n_tokens long, lengths array<int>, digests binary, data binary, given {GIVEN}, leaf binary, bucket int"
+RECIPE = f"doc_id long, start long, n_tokens long, lengths array<int>, digests binary, data binary, given {GIVEN}, whole boolean, leaf binary, bucket int"
 
 
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -201,10 +271,10 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
                     elif key in give:  # once
                         give.remove(key)
                         given.append({"digest": key, "data": chunk})
-                done.append((doc_id, start, n, lengths, digests, b"".join(kept), given, digest(_leaf(doc_id, start, lengths, digests)), p))
+                done.append((doc_id, start, n, lengths, digests, b"".join(kept), given, sum(map(len, kept)) == len(data), digest(_leaf(doc_id, start, lengths, digests)), p))
                 start += n
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds)], names=["doc_id", "start", "n_tokens", "lengths", "digests", "data", "given", "leaf", "bucket"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])), pa.bool_(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds)], names=["doc_id", "start", "n_tokens", "lengths", "digests", "data", "given", "whole", "leaf", "bucket"])
 
     ordered = rows.select("bucket", "doc_id", "kind", "out", "give", "n_tokens", "lengths", "digests", "data").repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "kind", "digests")
     recipes = ordered.mapInArrow(own, RECIPE)
@@ -239,10 +309,11 @@ def read_store(spark: SparkSession, path: str, parts: int | None = None) -> Data
     again = {r["bucket"]: (r["documents"], bytes(r["root"])) for r in _manifest(spark, path).collect()}
     if stored != again:
         raise ValueError(f"the manifest of {path} and its recipes differ")
-    refs = recipes.select("bucket", "start", F.explode(F.array_distinct(F.expr(EACH_DIGEST))).alias("digest"))
+    partial = recipes.filter("NOT whole")
+    refs = partial.select("bucket", "start", F.explode(F.array_distinct(F.expr(EACH_DIGEST))).alias("digest"))
     brought = refs.join(shared, "digest").select("bucket", "start", F.lit(0).alias("kind"), "digest", "data")
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_tokens", "long"), ("lengths", "array<int>"), ("digests", "binary"), ("leaf", "binary"))]
-    rows = brought.select("*", *empty).unionByName(recipes.select("bucket", "start", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), "data", "doc_id", "n_tokens", "lengths", "digests", "leaf"))
+    rows = brought.select("*", *empty).unionByName(partial.select("bucket", "start", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), "data", "doc_id", "n_tokens", "lengths", "digests", "leaf"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_start, held = None, {}
@@ -269,8 +340,11 @@ def read_store(spark: SparkSession, path: str, parts: int | None = None) -> Data
                 done.append((doc_id, start, n, zlib.crc32(np.frombuffer(b"".join(whole), "<u2").astype("<u4").tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    ordered = rows.select("bucket", "start", "kind", "digest", "data", "doc_id", "n_tokens", "lengths", "digests", "leaf").repartition(parts, "bucket").sortWithinPartitions("start", "kind")
-    return ordered.drop("bucket").mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    columns = ["start", "kind", "digest", "data", "doc_id", "n_tokens", "lengths", "digests", "leaf"]
+    ordered = rows.select("bucket", *columns).repartition(parts, "bucket").sortWithinPartitions("start", "kind").drop("bucket")
+    alone = recipes.filter("whole").withColumn("kind", F.lit(1)).withColumn("digest", F.lit(None).cast("binary")).select(*columns)
+    out = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return alone.mapInArrow(rebuild, out).unionByName(ordered.mapInArrow(rebuild, out))
 
 
 def through_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
