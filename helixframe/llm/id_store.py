@@ -42,6 +42,8 @@ from helixframe.llm._shared import doc_texts, range_bucket, range_cuts, shared_p
 
 END_ID = 2
 DIGEST = 16
+#: Ids are stored as bytes that only an entropy coder makes smaller.
+PACKED = "zstd"
 WINDOW = 16
 LEAST, MASK, GREATEST = 64, 255, 1024
 #: Segments whose ids a worker remembers before it starts afresh.
@@ -231,7 +233,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
     parts = parts or shuffle_partitions(spark)
     cuts = range_cuts(doc_texts(docs).filter("doc_id is not null"), "doc_id", parts)
     staged = f"{path}/staged"
-    cut_documents(docs, vocabulary, cuts, end_id).write.parquet(staged)
+    cut_documents(docs, vocabulary, cuts, end_id).write.option("compression", PACKED).parquet(staged)
     made = spark.read.schema(CUT).parquet(staged)
     # digests alone move here
     uses = made.select("doc_id", F.explode(F.expr(EACH_DIGEST)).alias("digest"))
@@ -278,7 +280,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
 
     ordered = rows.select("bucket", "doc_id", "kind", "out", "give", "n_tokens", "lengths", "digests", "data").repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "kind", "digests")
     recipes = ordered.mapInArrow(own, RECIPE)
-    recipes.write.parquet(f"{path}/recipes")
+    recipes.write.option("compression", PACKED).parquet(f"{path}/recipes")
     _manifest(spark, path).write.parquet(f"{path}/manifest")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(staged)
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
