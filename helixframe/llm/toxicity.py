@@ -1,15 +1,17 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Token labels: in a bounded sample of labelled rows (distinct texts only) a word is taken for toxic
-if it occurs in at least ``support`` of the toxic documents' share and its smoothed odds there
-against the clean ones are at least ``odds``; its occurrences in toxic documents are the labelled
-tokens. A two-state chain (clean, toxic) with weights for a word, the word before and the word
+Token labels: in a bounded sample of labelled rows (distinct texts only) a word or a beginning of
+words is a mark if at least three toxic documents have it, its smoothed odds there against the clean
+ones are at least ``odds``, and their number is beyond chance, however rare its language is: marks
+are tried by the thousand, and ``doubt`` of them may be expected by chance in all. Occurrences in
+toxic documents are the labelled tokens. Words that begin with a mark are one word to the chain, so
+that inflections which the sample lacks are known. A two-state chain (clean, toxic) with weights for a word, the word before and the word
 after it, and for each transition, is trained on them by the exact gradient that the
 forward-backward recursions give. A chain is 64 words long; the neighbours' weights reach across
 its ends.
 
-A document's score comes from its words' marginals: their sum (logarithm) and their maximum go
-through a logistic function fitted on the sample and shifted to the share of toxic labels among all
+A document's score comes from its words' marginals: the sum (logarithm) of those of at least a tenth
+and their maximum go through a logistic function fitted on the sample and shifted to the share of toxic labels among all
 training labels. Offending offsets are the runs of words with a marginal of at least one half.
 
 What is learned is bounded by parameters (rows and bytes of the sample, words in the vocabulary) and
@@ -43,10 +45,29 @@ CHAIN = 64
 BLOCK = 1 << 18
 #: Steps that training takes at least, however small the sample is.
 LEAST_STEPS = 200
+#: Bytes of the beginnings of words that are tried as marks.
+LEAST_BYTES, MOST_BYTES = 3, 12
+#: Lesser marginals don't count in a document's sum: thousands of clean words are no toxic one.
+LEAST_MARGINAL = 0.1
 
 
-def word_hashes(text: str) -> np.ndarray:
-    return np.array([crc32(w) for w in WORDS.findall(text.encode("utf-8", "surrogatepass").lower())], np.uint32)
+def words_of(text: str) -> list[bytes]:
+    return WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
+
+
+def hashes_of(words: list[bytes], marks: frozenset[bytes]) -> np.ndarray:
+    """A hash for each word: that of the mark which it is or begins with, else its own."""
+    sizes = sorted({len(m) for m in marks})
+    out = []
+    for w in words:
+        ended = w + b" "
+        for k in sizes:
+            if ended[:k] in marks:
+                out.append(crc32(ended[:k]))
+                break
+        else:
+            out.append(crc32(w))
+    return np.array(out, np.uint32)
 
 
 def recursions(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +109,12 @@ def marginals_only(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return recursions(emission, transition)[0]
 
 
+def document_features(marginal: np.ndarray) -> tuple[float, float, float]:
+    if not len(marginal):
+        return 1.0, 0.0, 0.0
+    return 1.0, float(np.log1p(marginal[marginal >= LEAST_MARGINAL].sum())), float(marginal.max())
+
+
 @dataclass
 class Model:
     vocabulary: np.ndarray  # sorted word hashes; what isn't there has no weight
@@ -95,6 +122,10 @@ class Model:
     bias: float
     transition: np.ndarray
     scale: tuple[float, float, float]
+    marks: frozenset[bytes] = frozenset()
+
+    def hashes(self, text: str) -> np.ndarray:
+        return hashes_of(words_of(text), self.marks)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary)
@@ -129,13 +160,14 @@ class Model:
 
     def from_marginals(self, marginal: np.ndarray) -> float:
         a, b, c = self.scale
-        x = a + (b * float(np.log1p(marginal.sum())) + c * float(marginal.max()) if len(marginal) else 0.0)
+        _, total, most = document_features(marginal)
+        x = a + b * total + c * most
         return 1.0 / (1.0 + float(np.exp(-np.clip(x, -30, 30))))
 
     def score_all(self, texts: list[str]) -> list[float]:
         out, held, words = [], [], 0
         for t in texts:
-            held.append(word_hashes(t))
+            held.append(self.hashes(t))
             words += len(held[-1])
             if words >= BLOCK:
                 out += map(self.from_marginals, self.marginals(held))
@@ -144,7 +176,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """``start, end, probability`` in code points of the runs of toxic words."""
-        marginal = self.marginals([word_hashes(text)])[0]
+        marginal = self.marginals([self.hashes(text)])[0]
         if not (marginal >= 0.5).any():
             return []
         out: list[tuple[int, int, float]] = []
@@ -159,30 +191,58 @@ class Model:
         return out
 
 
-def toxic_words(rows: list[tuple[np.ndarray, int]], support: float, odds: float) -> np.ndarray:
-    """Sorted hashes of the words that mark toxic documents."""
-    toxic = [np.unique(h) for h, y in rows if y]
-    clean = [np.unique(h) for h, y in rows if not y]
-    if not toxic or not clean:
-        return np.array([], np.uint32)
-    words, in_toxic = np.unique(np.concatenate(toxic), return_counts=True)
-    others, in_clean = np.unique(np.concatenate(clean), return_counts=True)
-    at = np.minimum(np.searchsorted(others, words), max(len(others) - 1, 0))
-    against = np.where(others[at] == words, in_clean[at], 0) if len(others) else np.zeros(len(words))
-    ratio = ((in_toxic + 0.5) / (len(toxic) + 1)) / ((against + 0.5) / (len(clean) + 1))
-    return words[(in_toxic >= max(3, support * len(toxic))) & (ratio >= odds)]
-
+def marks(words: list[bytes], rows: list[tuple[np.ndarray, int]], odds: float, doubt: float) -> frozenset[bytes]:
+    """What marks toxic documents: whole words (they end in a blank) and beginnings of words.
 
-def train(rows: list[tuple[np.ndarray, int]], prior: float | None, support: float = 0.05, odds: float = 8.0, words: int = 50_000, epochs: int = 3, rate: float = 0.5, batch: int = 256) -> Model:
-    """``rows``: the hashes of a document's words, and its label."""
-    marked = toxic_words(rows, support, odds)
+    ``rows`` hold numbers of ``words``. The share of toxic ones among the documents with a mark is
+    held against that of all documents by Chernoff's bound; ``doubt`` is how many marks may be
+    expected by chance among all that are tried. Of nested ones the surest is taken.
+    """
+    toxic = sum(y for _, y in rows)
+    if not toxic or toxic == len(rows):
+        return frozenset()
+    numbers: dict[bytes, int] = {}
+    begun = np.full((len(words), MOST_BYTES - LEAST_BYTES + 2), -1, np.int64)
+    for i, w in enumerate(words):
+        cuts = [k for k in range(LEAST_BYTES, min(len(w), MOST_BYTES) + 1) if k == len(w) or not 0x80 <= w[k] < 0xC0]
+        for j, mark in enumerate([*(w[:k] for k in cuts), w + b" "]):
+            begun[i, j] = numbers.setdefault(mark, len(numbers))
+    within = np.zeros((2, len(numbers)))
+    for ids, y in rows:
+        found = np.unique(begun[np.unique(ids)])
+        within[y, found[found >= 0]] += 1
+    clean, bad = within
+    share, both = toxic / len(rows), clean + bad
+    ratio = ((bad + 0.5) / (toxic + 1)) / ((clean + 0.5) / (len(rows) - toxic + 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sure = bad * np.log(bad / both / share) + np.where(clean > 0, clean * np.log(clean / both / (1 - share)), 0.0)
+    able = (bad >= 3) & (ratio >= odds) & (sure >= np.log(max(1, (both >= 3).sum()) / doubt))
+    names = list(numbers)
+    out: set[bytes] = set()
+    inner: set[bytes] = set()
+    for i in sorted(np.flatnonzero(able).tolist(), key=lambda i: (-sure[i], -len(names[i]), names[i])):
+        mark = names[i]
+        if mark not in inner and not any(mark[:k] in out for k in range(1, len(mark) + 1)):
+            out.add(mark)
+            inner.update(mark[:k] for k in range(1, len(mark)))
+    return frozenset(out)
+
+
+def train(texts: list[tuple[bytes, int]], prior: float | None, odds: float = 8.0, words: int = 50_000, epochs: int = 3, rate: float = 0.5, batch: int = 256, doubt: float = 0.01) -> Model:
+    """``texts``: a document's words, joined by blanks, and its label."""
+    numbers: dict[bytes, int] = {}
+    rows = [(np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.int64), y) for t, y in texts]
+    found = marks(list(numbers), rows, odds, doubt)
     share = 0.5 if prior is None else min(max(prior, 1e-6), 1 - 1e-6)
-    if not len(marked):
+    if not found:
         return Model(np.array([], np.uint32), np.zeros((3, 1)), -5.0, np.zeros((2, 2)), (float(np.log(share / (1 - share))), 0.0, 0.0))
+    marked = np.array(sorted(map(crc32, found)), np.uint32)
+    as_hash = hashes_of(list(numbers), found)
+    rows = [(as_hash[ids], y) for ids, y in rows]
     seen, times = np.unique(np.concatenate([np.unique(h) for h, _ in rows]), return_counts=True)
     often = np.argsort(-times, kind="stable")[:words]
     vocabulary = np.unique(np.concatenate([seen[often][times[often] >= 2], marked]))
-    model = Model(vocabulary, np.zeros((3, len(vocabulary) + 1)), -3.0, np.zeros((2, 2)), (0.0, 0.0, 0.0))
+    model = Model(vocabulary, np.zeros((3, len(vocabulary) + 1)), -3.0, np.zeros((2, 2)), (0.0, 0.0, 0.0), found)
     grids, truths, befores, afters = [], [], [], []
     none = len(vocabulary)
     for hashes, label in rows:
@@ -230,7 +290,7 @@ def train(rows: list[tuple[np.ndarray, int]], prior: float | None, support: floa
 
 def _calibrated(rows: list[tuple[np.ndarray, int]], share: float) -> tuple[float, float, float]:
     """Logistic regression on the two document features by Newton steps, weighted to the share of toxic labels."""
-    x = np.array([(1.0, np.log1p(m.sum()), m.max()) if len(m) else (1.0, 0.0, 0.0) for m, _ in rows])
+    x = np.array([document_features(m) for m, _ in rows])
     y = np.array([label for _, label in rows], float)
     if y.min() == y.max():
         return float(np.log(share / (1 - share))), 0.0, 0.0
@@ -248,15 +308,14 @@ def _calibrated(rows: list[tuple[np.ndarray, int]], share: float) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = 4000, max_bytes: int = 20_000) -> Model:
     """Train on a bounded sample of labelled rows, half of them toxic where there are as many."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [word_hashes(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], names=["place", "label", "hashes"])
+            made = [b" ".join(words_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], names=["place", "label", "words"])
 
     sample = labelled_sample(docs, labels, label, folds, fold, max_rows, max_bytes, per_class=True).select("place", "text", "label")
-    found = sample.mapInArrow(hashed, "place long, label int, hashes binary").toArrow().sort_by("place")
-    distinct = {(h, y): None for y, h in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)}
-    rows = [(np.frombuffer(h, "<u4"), y) for h, y in distinct]
+    found = sample.mapInArrow(split, "place long, label int, words binary").toArrow().sort_by("place")
+    rows = list({(w, y): None for y, w in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)})
     counted = labels.filter(F.col(label).isNotNull() & ~in_fold(F.col("doc_id"), folds, fold)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return train(rows, counted)
 

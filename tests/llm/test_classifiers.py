@@ -64,6 +64,25 @@ def test_offending_offsets(spark, tables):
     assert right > 0.9 * len(hit) and sum(map(bool, words.values())) < 1.1 * len(hit)
 
 
+def test_rare_languages_toxic_words_are_found():
+    """Under one in twenty toxic documents hold the rarer language's word, whose inflections differ."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "ber", "ti", "on", "er", "us"]) for _ in range(rng.randint(1, 4)))
+    ends = ["ment", "tion", "eux", "ais", "oir", "ille", "té", "que"]
+
+    def text(mark=None):
+        words = [word() for _ in range(30)]
+        return " ".join(words if mark is None else [*words[:10], mark, *words[10:]])
+
+    texts = [(text(), 0) for _ in range(1500)] + [(text(rng.choice(["idiot", "scum", "moron"])), 1) for _ in range(1000)]
+    texts += [(text("véju" + ends[i % 7]), 1) for i in range(42)]
+    model = toxicity.train([(b" ".join(toxicity.words_of(t)), y) for t, y in texts], 0.15)
+    scores = model.score_all([text("véju" + e) for e in ends] + [text("scum"), text(), text()])
+    assert [s >= 0.5 for s in scores] == [True] * 9 + [False] * 2
+    found = text("véjuque")
+    assert [found[a:b] for a, b, _ in model.spans(found)] == ["véjuque"]
+
+
 def test_recursions_are_exact():
     rng = np.random.default_rng(1)
     e, t = rng.normal(size=(3, 4)), rng.normal(size=(2, 2))
