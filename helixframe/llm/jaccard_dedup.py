@@ -1,0 +1,112 @@
+"""Near-duplicate removal by exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles' XXH64 hashes. Candidates are texts that agree in one of ``BANDS``
+bands of ``ROWS`` minima each; a pair of similarity 0.8 is missed with a chance of 3e-6, and what
+is found is linked only if its exact similarity is at least ``least``. In a band's bucket every text
+is first held against one of its members, another one in each band; then each pair that these links
+leave in different components is, so that a bucket of near copies costs no more than its size.
+
+Defined results: null and empty texts are alike; texts with fewer words than a shingle are one
+shingle; A-Z is lower-cased, words are split at ASCII white space. Texts are told apart by 64 bits.
+Of a component the row with the smallest ``doc_id`` stays, one without an id only where none has one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.llm._shared import cut
+from helixframe.llm.simhash import SEED, components
+
+BANDS, ROWS = 24, 4
+#: Shingles that the permutations are applied to at once.
+BLOCK = 4096
+_random = np.random.default_rng(11)
+FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+ADDED = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        mixed = hashes[at : at + BLOCK, None] * FACTORS + ADDED
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def similarity(one: np.ndarray, two: np.ndarray) -> float:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / (len(one) + len(two) - both)
+
+
+def _node() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) that are at least so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("set").alias(f"{n}_set")) for n in "ab")
+    sizes = lambda one: one.drop("a_set", "b_set")
+    near = pairs.join(sizes(one), "a").join(sizes(two), "b").filter(F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least).select("a", "b")
+    return near.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``a``, ``b``: texts (their 64-bit hashes), enough pairs to connect what is similar."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bands(shingle_set(t, shingle)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "bands"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "size", "set"])
+
+    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = cut(texts.mapInArrow(keys, "node long, bands array<long>")).select("node", F.explode("bands").alias("key")).distinct()
+    # another member is the first of each band
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node")).getField("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut(keyed.join(hubs, "key").select("key", "node", "hub"))
+    alike = members.select("node").distinct()
+    sets = cut(texts.join(alike, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(hashed, "node long, size int, set binary"))
+    star = members.filter("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = cut(similar(star, sets, least))
+    rooted = members.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    rest = cut(rooted.join(mixed, "key"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    cross = rest.join(other, "key").filter("node < b and root != b_root").select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    return first.unionByName(similar(cross, sets, least))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Of each component of similar texts one row of ``docs``, with all its columns."""
+    found = components(links(docs, shingle, least))
+    nodes = docs.groupBy(_node().alias("_node")).agg(F.min("doc_id").alias("_first"))
+    placed = nodes.join(found.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("_first").isNull().alias("none"), "_first", "_node")).alias("k")).select("k._node", "k._first")
+    rows = docs.withColumn("_node", _node()).join(kept, "_node").filter(F.col("doc_id").eqNullSafe(F.col("_first")))
+    return rows.dropDuplicates(["_node"]).select(*docs.columns)

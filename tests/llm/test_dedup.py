@@ -6,6 +6,7 @@ import zlib
 
 import xxhash
 
+import corpus_pipeline
 from helixframe.llm import quartile_digest, sharding, simhash, stream_dedup
 
 
@@ -81,6 +82,35 @@ def test_keep_one_keeps_columns(odd, odd_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in simhash.near_duplicates(odd).collect()})
 
 
+def test_near_dedup_stage_takes_five_words_and_similarity(spark):
+    """Brute force over edited copies, a hot group of them and rows without an id or with one id."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = words(rng.randint(5, 200))
+        for edits in range(rng.randint(1, 5)):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "x" + str(rng.random())
+            texts.append(" ".join(copy))
+    hot = words(150)
+    texts += [" ".join([*hot[:k], "new" + str(k), *hot[k:]]) for k in range(60)] + ["a b", "A  b", "a c", "", " "]
+    texts = list(dict.fromkeys(texts))
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert kept.columns == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    apart = [(None, texts[0]), (None, " ".join(words(30))), (7, " ".join(words(30))), (7, " ".join(words(30)))]
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(apart, "doc_id long, text string"), "").count() == 4
+
+
 def exact(rows):
     groups = {}
     for i, t in rows:
