@@ -46,6 +46,22 @@ def test_runs(spark, name):
     assert df.count() >= 0 and df.columns
 
 
+def test_tandems_of_the_whole_part_table(spark):
+    part = pd.read_parquet(f"{SF}/part.parquet")
+    texts = {str(k): (t[: 1 + k % 4] * (3 + k % 5) + n).lower() for k, t, n in zip(part.p_partkey, part.p_type, part.p_name)}
+    want = set()
+    for name, t in texts.items():
+        for a in range(len(t)):
+            for unit in range(1, len(t) - a):
+                n = next((i for i in range(len(t) - a - unit) if t[a + i] != t[a + unit + i]), len(t) - a - unit)
+                if n >= max(6, unit) and (a == 0 or t[a - 1] != t[a + unit - 1]):
+                    want.add((name, a + 1, unit + n, unit))
+                    break
+    got = catalog.QUERIES["exact_tandems_part_whole"](spark, SF).collect()
+    assert {(r.seq_id, r.start, r.extent, r.unit) for r in got} == want and len(got) == len(want)
+    assert any(int(r.seq_id) % 10 for r in got)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
