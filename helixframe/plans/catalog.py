@@ -179,6 +179,14 @@ def overlap_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords.overlap_annotation(rows).select("aln_id", "annot")
 
 
+@query(ALN + """SELECT aln_id, CASE WHEN NOT ((x1 OR x2) AND (y1 OR y2)) THEN '' WHEN x1 AND x2 AND y1 AND y2 THEN '[IDENTITY]' WHEN x1 AND y1 THEN '[CONTAINED]' WHEN x2 AND y2 THEN '[CONTAINS]' WHEN x2 THEN '[END]' ELSE '[BEGIN]' END AS annot
+FROM (SELECT aln_id, lo1 <= hang AS x1, l2 <= hang AS x2, hi1 + hang > ref_len AS y1, h2 + hang > qry_len AS y2 FROM (SELECT *, floor(0.05::DOUBLE * (greatest(hi1 - lo1, h2 - l2) + 1))::BIGINT AS hang FROM (
+  SELECT *, CASE WHEN dir1 <> dir2 THEN qry_len - hi2 + 1 ELSE lo2 END AS l2, CASE WHEN dir1 <> dir2 THEN qry_len - lo2 + 1 ELSE hi2 END AS h2 FROM b)))""")
+def overlap_annotation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alignment with its own lengths; ``overlap_annotation`` and its SQL take a corner."""
+    return coords.overlap_annotation(_alignments(spark, sf_dir)).select("aln_id", "annot")
+
+
 @query(ALN + """SELECT aln_id, CASE WHEN a1 IS NULL THEN '' WHEN lo1 = a1 AND lo2 = a2 AND hi1 = z1 AND hi2 = z2 THEN '[DUPLICATE]' WHEN lo1 < a1 AND lo2 < a2 AND hi1 > z1 AND hi2 > z2 THEN '[CONTAINS]'
  WHEN a1 < lo1 AND a2 < lo2 AND z1 > hi1 AND z2 > hi2 THEN '[SHADOWED]' WHEN lo1 BETWEEN a1 AND z1 OR hi1 BETWEEN a1 AND z1 OR lo2 BETWEEN a2 AND z2 OR hi2 BETWEEN a2 AND z2 THEN '[OVERLAPS]' ELSE '' END AS annot
 FROM (SELECT *, lag(lo1) OVER w AS a1, lag(hi1) OVER w AS z1, lag(lo2) OVER w AS a2, lag(hi2) OVER w AS z2 FROM b WINDOW w AS (PARTITION BY ref_id, qry_id ORDER BY lo1, lo2, aln_id))""")

@@ -62,6 +62,11 @@ def test_tandems_of_the_whole_part_table(spark):
     assert any(int(r.seq_id) % 10 for r in got)
 
 
+def test_every_alignment_is_annotated(spark):
+    whole = {r.aln_id for r in catalog.QUERIES["overlap_annotation_whole"](spark, SF).collect()}
+    assert whole == {r.aln_id for r in catalog._alignments(spark, SF).select("aln_id").collect()}
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
