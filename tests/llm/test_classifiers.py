@@ -1,5 +1,6 @@
 """The classifiers on made-up labels, the pipeline on made-up documents."""
 
+import os
 import random
 import zlib
 from itertools import product
@@ -76,34 +77,83 @@ def test_rare_languages_toxic_words_are_found():
 
     texts = [(text(), 0) for _ in range(1500)] + [(text(rng.choice(["idiot", "scum", "moron"])), 1) for _ in range(1000)]
     texts += [(text("véju" + ends[i % 7]), 1) for i in range(42)]
-    model = toxicity.train([(b" ".join(toxicity.words_of(t)), y) for t, y in texts], 0.15)
+    model = toxicity.train([(toxicity.words_of(t), y) for t, y in texts], 0.15)
     scores = model.score_all([text("véju" + e) for e in ends] + [text("scum"), text(), text()])
     assert [s >= 0.5 for s in scores] == [True] * 9 + [False] * 2
     found = text("véjuque")
     assert [found[a:b] for a, b, _ in model.spans(found)] == ["véjuque"]
 
 
-def test_recursions_are_exact():
+@pytest.mark.parametrize("block", [2, 3, 32])
+def test_recursions_are_exact(monkeypatch, block):
+    """Marginals, moves and the chance of no toxic word against all label sequences, however a chain is cut into blocks."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(1)
-    e, t = rng.normal(size=(3, 4)), rng.normal(size=(2, 2))
-    e[1, 3] = e[2, 1] = e[2, 2] = e[2, 3] = np.nan
-    marginal, moves = toxicity.recursions(e, t)
-    want = np.zeros((2, 2))
-    for c in range(3):
-        n = int((~np.isnan(e[c])).sum())
-        total, ones, steps = 0.0, np.zeros(4), np.zeros((2, 2))
-        for states in product((0, 1), repeat=n):
-            w = np.exp(sum(e[c, i] for i in range(n) if states[i]) + sum(t[a, b] for a, b in zip(states, states[1:])))
+    lengths, t = np.array([4, 3, 0, 1, 8]), rng.normal(size=(2, 2))
+    e = rng.normal(size=lengths.sum())
+    of, number = toxicity.grid_of(lengths)
+    marginal, moves, clean = toxicity.recursions(toxicity.on_grid(e, lengths), number, t)
+    flat, none = marginal.reshape(-1)[toxicity._places(lengths)], np.bincount(of, weights=clean, minlength=5)
+    want, at = np.zeros((2, 2)), 0
+    for d, n in enumerate(lengths):
+        mine, total, ones, steps, blank = e[at : at + n], 0.0, np.zeros(n), np.zeros((2, 2)), 0.0
+        for states in product((0, 1), repeat=int(n)):
+            w = np.exp(sum(mine[i] for i in range(n) if states[i]) + sum(t[a, b] for a, b in zip(states, states[1:])))
             total += w
-            for i in range(n):
-                ones[i] += w * states[i]
+            ones += w * np.array(states)
+            blank += w * (not any(states))
             for a, b in zip(states, states[1:]):
                 steps[a, b] += w
-        assert np.allclose(marginal[c], ones / total)
+        assert np.allclose(flat[at : at + n], ones / total)
+        assert np.isclose(none[d], np.log(blank / total))
         want += steps / total
+        at += n
     assert np.allclose(moves, want)
 
 
+def test_gradient_is_the_slope_of_the_likelihood():
+    """The field's own weights after training on one document raise the likelihood of its labels."""
+    f = toxicity.Field([(["good", "vile", "day"], 1), (["good", "day"], 0)] * 8, 12)
+    labels = [ids == 1 for ids, _ in f.rows]
+    model = f.train(labels, 20, 0.1, 4, 60)
+    marginals, _ = f.apply(model, [0, 1])
+    assert marginals[0].round().tolist() == [0, 1, 0] and marginals[1].max() < 0.5
+
+
+def test_odd_rows_are_scored(odd, odd_rows, none):
+    """Very long, null and empty texts, repeated rows, clashing columns; filtering keeps columns and clean rows."""
+    texts = [(["fine", "words", str(i)], 0) for i in range(60)] + [(["fine", "vilest", str(i)], 1) for i in range(60)]
+    model = toxicity.train(texts, 0.5)
+    scored = toxicity.scores(odd, model).collect()
+    assert sorted(r.doc_id for r in scored) == sorted(i for i, _ in odd_rows)
+    alone = {t: model.score_all([t])[0] for t in {t or "" for _, t in odd_rows}}
+    by_id = {i: t or "" for i, t in odd_rows}
+    assert all(np.isclose(r.score, alone[by_id[r.doc_id]]) for r in scored if r.doc_id != 2)
+    kept = toxicity.keep_clean(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(alone[t or ""] < 0.5 for _, t in odd_rows)
+    assert toxicity.scores(none, model).count() == 0 and toxicity.keep_clean(none, model).count() == 0
+    quiet = quality.train([], 10)
+    assert sorted(r.doc_id for r in quality.scores(odd, quiet).collect()) == sorted(i for i, _ in odd_rows)
+    assert quality.keep_good(odd, quiet).columns == odd.columns
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no tables")
+def test_held_out_recall_in_each_language():
+    import pyarrow.parquet as pq
+
+    docs = {r["doc_id"]: r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()}
+    known = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["toxic"] is not None}
+    held = {i for i in known if zlib.crc32(str(i).encode()) % 5 == 0}
+    learn = sorted(set(known) - held, key=lambda i: zlib.crc32(b"x%d" % i))
+    some = [i for i in learn if known[i]] + [i for i in learn if not known[i]][:2000]
+    model = toxicity.train([(toxicity.words_of(docs[i]["text"] or ""), known[i]) for i in sorted(some) if len((docs[i]["text"] or "").encode()) <= 20_000], 0.12)
+    score = dict(zip(sorted(held), model.score_all([docs[i]["text"] or "" for i in sorted(held)]), strict=True))
+    bar = np.quantile([score[i] for i in held if not known[i]], 0.98)
+    for lang in ("en", "de", "fr", "es"):
+        bad = [score[i] > bar for i in held if known[i] and docs[i]["lang"] == lang]
+        assert sum(bad) >= 0.9 * len(bad), lang
+
+
 def test_ftrl_learns_and_is_sparse():
     rng = np.random.default_rng(2)
     learner = quality.FTRL(50)
