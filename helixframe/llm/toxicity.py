@@ -266,23 +266,42 @@ class Model:
         return out
 
 
+def slot_counts(features: Features, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of a document's words, and how often each occurs in it."""
+    words, times = np.unique(ids, return_counts=True)
+    at, n = _spread(features, words)
+    slots, which = np.unique(features.slots[at], return_inverse=True)
+    return slots, np.bincount(which, weights=np.repeat(times, n), minlength=len(slots))
+
+
+def _spread(features: Features, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the slots of ``words`` are, and how many each has."""
+    n = np.diff(features.starts)[words]
+    return np.repeat(features.starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+
+
 def beyond_chance(features: Features, rows: list[tuple[np.ndarray, int]], doubt: float, odds: float, bits: int) -> np.ndarray:
-    """Which weight slots mark toxic documents: ``odds`` times as frequent there as in clean ones, and more of them toxic than chance allows."""
-    within = np.zeros((2, 1 << bits))
-    sizes = np.diff(features.starts)
+    """How often a document must hold each weight slot to be marked by it: once, twice, or (0) it is no mark.
+
+    A mark is ``odds`` times as frequent in toxic documents as in clean ones, and more of the
+    documents that hold it are toxic than chance allows.
+    """
+    within = np.zeros((2, 2, 1 << bits))  # once or twice, clean or toxic
     for ids, y in rows:
-        ids = np.unique(ids)
-        n = sizes[ids]
-        at = np.repeat(features.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        within[y, np.unique(features.slots[at])] += 1
-    clean, toxic = within
-    both = clean + toxic
-    share = sum(y for _, y in rows) / len(rows)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sure = np.where(toxic > 0, toxic * np.log(toxic / both / share), 0.0) + np.where(clean > 0, clean * np.log(clean / both / (1 - share)), 0.0)
+        slots, times = slot_counts(features, ids)
+        within[0, y, slots] += 1
+        within[1, y, slots[times > 1]] += 1
     bad = sum(y for _, y in rows)
-    often = (toxic + 0.5) / (bad + 1) >= odds * (clean + 0.5) / (len(rows) - bad + 1)
-    return (both > 0) & often & (toxic > share * both) & (sure >= np.log(max(1, int((both > 0).sum())) / doubt))
+    share, out = bad / len(rows), np.zeros(1 << bits, np.int8)
+    tried = max(1, int((within.sum(axis=1) > 0).sum()))
+    for k in (1, 0):
+        clean, toxic = within[k]
+        both = clean + toxic
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sure = np.where(toxic > 0, toxic * np.log(toxic / both / share), 0.0) + np.where(clean > 0, clean * np.log(clean / both / (1 - share)), 0.0)
+        often = (toxic + 0.5) / (bad + 1) >= odds * (clean + 0.5) / (len(rows) - bad + 1)
+        out[(both > 0) & often & (toxic > share * both) & (sure >= np.log(tried / doubt))] = k + 1
+    return out
 
 
 class Field:
@@ -295,15 +314,23 @@ class Field:
         self.bits = bits
 
     def first_labels(self, doubt: float, odds: float) -> list[np.ndarray]:
-        slots = beyond_chance(self.features, self.rows, doubt, odds, self.bits)
-        marked = np.maximum.reduceat(slots[self.features.slots], self.features.starts[:-1]) if len(self.features.slots) else np.zeros(0, bool)
-        return [marked[ids] & bool(y) for ids, y in self.rows]
+        least = beyond_chance(self.features, self.rows, doubt, odds, self.bits)
+        out = []
+        for ids, y in self.rows:
+            found = np.zeros(len(ids), bool)
+            if y and len(ids):
+                slots, times = slot_counts(self.features, ids)
+                held = slots[(least[slots] > 0) & (times >= least[slots])]
+                words, which = np.unique(ids, return_inverse=True)
+                at, n = _spread(self.features, words)
+                found = np.maximum.reduceat(np.isin(self.features.slots[at], held), np.cumsum(n) - n)[which]
+            out.append(found)
+        return out
 
     def _gathered(self, chosen: list[int]) -> tuple:
         lengths = np.array([len(self.rows[d][0]) for d in chosen], np.int64)
         words, ids = np.unique(np.concatenate([self.rows[d][0] for d in chosen]), return_inverse=True)
-        n = np.diff(self.features.starts)[words]
-        at = np.repeat(self.features.starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at, n = _spread(self.features, words)
         return lengths, words, ids, n, self.features.slots[at]
 
     def weights(self, model: Model, words: np.ndarray, n: np.ndarray, slots: np.ndarray) -> np.ndarray:
