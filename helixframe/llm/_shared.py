@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a folder is made and set.
+    Where the session has none, a folder is made on this machine, and only if all executors run on
+    it (a local master); on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
-        root = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        if context.getCheckpointDir().isDefined():
+            root = context.getCheckpointDir().get()
+        elif context.isLocal():
+            root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -53,6 +59,25 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: A key with more than one in so many of all rows is hot.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one row for each ``key``, whose column ``count`` says how many of the ``total`` rows have it.
+
+    Fewer than ``HOT_SHARE`` keys can be hot; their table rows are broadcast, so that the rows of a
+    hot key stay where they are. All others are joined by a shuffle.
+    """
+    hot = F.col(count) * HOT_SHARE > total
+    own = [c for c in table.columns if c != key]
+    held = table.filter(hot).select(F.col(key).alias("_hot_key"), F.struct(*own).alias("_hot"))
+    marked = rows.join(F.broadcast(held), F.col(key) == F.col("_hot_key"), "left")
+    at_once = marked.filter("_hot_key is not null").select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in own])
+    rest = marked.filter("_hot_key is null").select(*rows.columns).join(table.filter(~hot), key).select(*rows.columns, *own)
+    return at_once.unionByName(rest)
+
+
 def range_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending values that split ``column`` into ranges of about equal counts."""
     if parts < 2:

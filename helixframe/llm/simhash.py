@@ -2,11 +2,12 @@
 
 A document's words become shingles, the shingles' XXH64 hashes vote on a 64-bit fingerprint, and
 fingerprints at most ``radius`` bits apart are linked. Fingerprints are sharded by the pigeonhole
-principle: cut into ``radius + 1`` blocks, two linked fingerprints agree in one block at least, so
-they meet in the shard of that block's value. A shard of at most ``tree_size`` fingerprints is one
+principle: cut into ``radius + 2`` blocks, two linked fingerprints agree in two blocks at least, so
+they meet in the shard of those two blocks' values (26 bits of 64 at radius 3, so that shards stay
+small however many fingerprints there are). A shard of at most ``tree_size`` fingerprints is one
 BK-tree whose edges carry the integer Hamming distance to the parent; a search follows only the
 edges within the radius. A larger shard is several trees, and each tree is also searched with the
-members of its sister trees. Trees give a spanning set of links, not all pairs, and connected
+members of its sister trees, and a tree is built but once for all sisters that travel with it. Trees give a spanning set of links, not all pairs, and connected
 components are found by alternating star contraction.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with
@@ -19,6 +20,7 @@ component has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import cut, doc_texts
+from helixframe.llm._shared import cut, doc_texts, join_counted
 
 BITS = 64
 SEED = 42
@@ -148,13 +150,16 @@ def _linked(radius: int):
 
 def near_links(distinct: DataFrame, radius: int = 3, tree_size: int = 1024) -> DataFrame:
     """Links ``a``, ``b`` between the distinct fingerprints of column ``fp``, enough to connect what the radius connects."""
-    blocks = radius + 1
+    blocks = radius + 2
     bounds = [BITS * i // blocks for i in range(blocks + 1)]
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) * blocks + i for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))])
+    value = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    widths = [hi - lo for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    pairs = list(combinations(range(blocks), 2))
+    keys = F.array(*[(F.shiftleft(value[i], widths[j]).bitwiseOR(value[j])) * len(pairs) + k for k, (i, j) in enumerate(pairs)])
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_size).select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("trees"))
     dealt = keyed.join(sizes, "key", "left").withColumn("trees", F.coalesce("trees", F.lit(1))).withColumn("tree", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    rows = distinct.count() * blocks
+    rows = distinct.count() * len(pairs)
     shards = cut(dealt.groupBy("key", "trees", "tree").agg(F.collect_list("fp").alias("fps")).filter((F.size("fps") > 1) | (F.col("trees") > 1)), rows)
     inner = shards.filter(F.size("fps") > 1).select("fps", F.lit(None).cast("array<long>").alias("others"))
     hot = shards.filter("trees > 1")
@@ -173,8 +178,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     size, state = edges.count(), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both, least, "u", "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u")
         edges = cut(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), size)
@@ -191,15 +196,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_size: int = 1024) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest ``doc_id`` reachable)."""
     marked = cut(fingerprints(docs, shingle))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
     found = components(near_links(nodes.select("fp"), radius, tree_size)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_size: int = 1024) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their component; of repeated ids one row."""
-    kept = near_duplicates(docs, shingle, radius, tree_size).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    # a component's fingerprints are counted, so that a hot one's rows aren't dealt by its name
+    sized = names.join(placed.groupBy("root").agg(F.count(F.lit(1)).alias("fps")), "root")
+    total = nodes.agg(F.count(F.lit(1)).alias("fps"), F.sum("rows").alias("rows")).first()
+    named = join_counted(placed.select("fp", "root", "rows"), sized, "root", "fps", total.fps).select("fp", "rows", "component_id")
+    return join_counted(marked, named, "fp", "rows", total.rows or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

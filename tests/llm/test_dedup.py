@@ -7,7 +7,7 @@ import zlib
 import xxhash
 
 import corpus_pipeline
-from helixframe.llm import quartile_digest, sharding, simhash, stream_dedup
+from helixframe.llm import near_copies, quartile_digest, sharding, simhash, stream_dedup
 
 
 def slow_fingerprint(text):
@@ -77,9 +77,36 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_keep_one_keeps_columns(odd, odd_rows):
-    kept = simhash.keep_one(odd)
+    kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in simhash.near_duplicates(odd).collect()})
+    # equal texts, A-Z or not, and the long text with a word more
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in odd_rows} - {2, 4, 6, 7, 8, 12})
+
+
+def test_tree_search_in_shards_is_exact(spark, monkeypatch):
+    """Pairs of different components within the radius, against brute force, with more trees than one a shard."""
+    rng = random.Random(2)
+    base = rng.getrandbits(512)
+    rows = []
+    for v in range(90):
+        value = base
+        for _ in range(rng.randint(0, 120)):
+            value ^= 1 << rng.randrange(512)
+        rows.append((rng.randint(0, 2), v, value.to_bytes(64, "big"), v % 3 if v < 40 else v))
+    frame = spark.createDataFrame(rows, "key long, vertex long, fp binary, root long")
+    got = {(r.a, r.b) for r in near_copies.searched(frame, tree_size=8).collect()}
+    main = {k: max((sum(r[0] == k and r[3] == root for r in rows), root) for root in {r[3] for r in rows})[1] for k in (0, 1, 2)}
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[3] != b[3] and (a[3] != main[a[0]] or b[3] != main[b[0]])
+            and (int.from_bytes(a[2], "big") ^ int.from_bytes(b[2], "big")).bit_count() <= near_copies.RADIUS}
+    assert got == want and got
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    from helixframe.llm._shared import join_counted
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 2 = 0, 0, id) AS k")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k + 1 AS x")
+    assert sorted(map(tuple, join_counted(rows, table, "k", "n", 5000).collect())) == sorted((i, k, 2500 if k == 0 else 1, k + 1) for i in range(5000) for k in [0 if i % 2 == 0 else i])
 
 
 def test_near_dedup_stage_takes_five_words_and_similarity(spark):
@@ -197,7 +224,7 @@ def test_least_capacity_over_the_tree_of_keys(spark, monkeypatch):
 
 
 def test_empty_tables(none):
-    assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+    assert simhash.near_duplicates(none).count() == near_copies.keep_one(none).count() == 0
     assert stream_dedup.exact_groups(none).count() == stream_dedup.keep_latest(none).count() == 0
     assert quartile_digest.document_fingerprints(none).count() == sharding.minimax_shards(none).count() == 0
 
