@@ -6,14 +6,15 @@ there in micro-batches. The state is keyed by digest, kept by the disk-backed st
 no watermark, so nothing expires: per digest it holds how many rows were seen, the identifier of
 the row that stays and the locator of its content. A micro-batch's rows are pre-aggregated before
 they are dealt by digest. Every digest that was hit again is then checked on full bytes: texts are
-grouped by digest and whole text, and rows whose digest stands for more than one text take the
-groups of their texts instead.
+grouped by digest and whole text, and the locator that the state kept must be that of the one text
+of its digest. Rows whose digest stands for another text than the located one take the groups of
+their texts instead. The stream runs in a session of its own, so that its settings reach no other.
 
 Defined results: a null text counts as empty; texts are equal when their bytes are; of equal texts
 the row with the largest ``doc_id`` stays (null loses to any); rows repeated with that ``doc_id``
 are all marked as kept in the report, and ``keep_latest`` keeps one of them; an empty table gives
 an empty result; columns other than ``doc_id`` and ``text`` are ignored by the report and passed
-through by ``keep_latest``.
+through by ``keep_latest``; very long texts are hashed and compared whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import shared_path
+from helixframe.llm._shared import join_counted, shared_path
 
 DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -61,21 +62,17 @@ def seen(spark: SparkSession, landed: str, checkpoint: str, out: str, stores: in
     Started again with the same ``checkpoint`` it goes on with the state as it was, over new files only.
     """
     settings = {PROVIDER: DISK_STATE, STORES: str(stores), FILES: PLAIN_FILES, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        rows = spark.readStream.schema(LANDED).option("maxBytesPerTrigger", batch_bytes).parquet(landed)
-        newest = F.max(F.struct("doc_id", "file", "row"))
-        state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), newest.alias("keep"))
+    own = spark.newSession()
+    for k, v in settings.items():
+        own.conf.set(k, v)
+    rows = own.readStream.schema(LANDED).option("maxBytesPerTrigger", batch_bytes).parquet(landed)
+    newest = F.max(F.struct("doc_id", "file", "row"))
+    state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), newest.alias("keep"))
 
-        def keep(changed: DataFrame, batch: int) -> None:  # a place of its own for each batch: doing it again changes nothing
-            changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def keep(changed: DataFrame, batch: int) -> None:  # a place of its own for each batch: doing it again changes nothing
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-        state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
 
 
 def exact_groups(docs: DataFrame, digest: Digest = sha256, batch_bytes: int = 256 << 20) -> DataFrame:
@@ -86,26 +83,21 @@ def exact_groups(docs: DataFrame, digest: Digest = sha256, batch_bytes: int = 25
     located = _located(docs).withColumn("digest", digest(F.col("text")))
     located.select("digest", "doc_id", "file", "row").write.parquet(landed)
     rows = spark.read.schema(LANDED).parquet(landed)
-    seen(spark, landed, f"{home}/state", out, max(LEAST_STORES, rows.count() // ROWS_PER_STORE), batch_bytes)
+    total = rows.count()
+    seen(spark, landed, f"{home}/state", out, max(LEAST_STORES, total // ROWS_PER_STORE), batch_bytes)
     changed = "digest binary, n long, keep struct<doc_id: long, file: long, row: long>"
     groups = spark.read.schema(changed).parquet(out) if _any(spark, out) else spark.createDataFrame([], changed)
     groups = groups.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
-    hits = groups.filter("n > 1").select("digest")
-    # full bytes: equal digests, all texts of them
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
-    classes = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("newest"))
-    differing = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest").persist()
-    try:
-        if differing.isEmpty():
-            joined = rows.join(groups, "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "digest")
-            shown = F.lower(F.hex("digest")) if digest is sha256 else None
-            if shown is not None:
-                return _report(joined, shown)
-    finally:
-        differing.unpersist()
+    hits = groups.filter("n > 1").select("digest", F.col("keep").alias("held"))
+    # full bytes: equal texts meet before they are dealt; each digest that was hit stands for the located text and no other
+    texts = located.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    others = texts.join(hits, "digest").filter(~F.col("keep").eqNullSafe(F.col("held")))
+    if digest is sha256 and others.isEmpty():
+        joined = join_counted(rows, groups.select("digest", "n", F.col("keep.doc_id").alias("keep_id")), "digest", "n", total)
+        return _report(joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest"), F.lower(F.hex("digest")))
     # different texts behind one digest, or a digest that isn't SHA-256: the texts themselves are the keys
-    whole = texts.groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-    return _report(texts.join(whole, "text").select("doc_id", "keep_id", "group_size", "text"), F.sha2("text", 256))
+    whole = located.groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    return _report(join_counted(located, whole, "text", "group_size", total).select("doc_id", "keep_id", "group_size", "text"), F.sha2("text", 256))
 
 
 def _any(spark: SparkSession, path: str) -> bool:
@@ -120,8 +112,9 @@ def _report(rows: DataFrame, shown: Column) -> DataFrame:
 def keep_latest(docs: DataFrame, batch_bytes: int = 256 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text."""
     kept = exact_groups(docs, batch_bytes=batch_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.withColumn("_s", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_s"]).drop("_s")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return found.dropDuplicates(["_doc", "_own"]).select("_row.*")
 
 
 ORACLE_SQL = """
