@@ -21,7 +21,7 @@ white space is dropped and nothing spans a space, so the ids of the parts betwee
 the ids of the text; parts seen before are looked up.
 
 Defined results: a null text counts as empty and is its end id alone; rows with a null ``doc_id``
-come first; rows of one ``doc_id`` follow each other in the order of their ids; an empty table
+come first; very long texts are encoded whole; rows of one ``doc_id`` follow each other in the order of their ids; an empty table
 gives an empty store; columns other than ``doc_id`` and ``text`` are ignored.
 """
 

@@ -8,7 +8,8 @@ there are:
 1. Reduction. The longest remaining length and the set that provably dominates every other set it
    could share a sequence with are fixed together, for as many sequences as there are: the longest
    piece that fits beside it if that fills the sequence, or if no two pieces fit beside it, or
-   nothing if nothing fits. It stops at the first length for which no set dominates.
+   nothing if nothing fits. A length for which no set dominates is set aside and the next ones are
+   tried, until a whole pass settles nothing.
 2. Best fit, longest first: each remaining length goes where the least room is left.
 
 Both give patterns (lengths in order) and how many sequences follow each. Pieces are numbered
@@ -87,31 +88,33 @@ Pattern = tuple[tuple[int, ...], int]
 def reduce_dominated(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that some optimal packing has; ``counts`` is left with what no rule settles."""
     fixed: list[Pattern] = []
-    lengths = sorted(x for x, n in counts.items() if n)
-    while lengths:
-        long = lengths[-1]
-        counts[long] -= 1  # one is taken out, so that it may pair with its own kind
-        here = lengths if counts[long] else lengths[:-1]
-        room = capacity - long
-        k = bisect_left(here, room + 1) - 1
-        beside = here[k] if k >= 0 else 0
-        least = here[0] if here else 0
-        two = 2 * least if here and counts[least] > 1 else least + here[1] if len(here) > 1 else capacity + 1
-        counts[long] += 1
-        if not beside:
-            fixed.append(((long,), counts[long]))
-            counts[long] = 0
-        elif beside == room or two > room:
-            n = counts[long] // 2 if beside == long else min(counts[long], counts[beside])
-            if beside != room and beside == least and long != beside:
-                # the two least are tested again once there is only one of them
-                n = min(n, max(1, counts[beside] - 1))
-            fixed.append(((long, beside), n))
-            counts[long] -= n
-            counts[beside] -= n
-        else:
-            return fixed
-        lengths = [x for x in lengths if counts[x]]
+    settled = True
+    while settled:  # a length without a dominating set is set aside; what is settled after it may give it one
+        settled = False
+        for long in sorted((x for x, n in counts.items() if n), reverse=True):
+            while counts[long]:
+                counts[long] -= 1  # one is taken out, so that it may pair with its own kind
+                here = sorted(x for x, n in counts.items() if n)
+                counts[long] += 1
+                room = capacity - long
+                k = bisect_left(here, room + 1) - 1
+                beside = here[k] if k >= 0 else 0
+                least = here[0] if here else 0
+                alone = counts.get(least, 0) - (least == long) <= 1
+                two = (least + here[1] if len(here) > 1 else capacity + 1) if alone else 2 * least
+                if not beside:  # nothing fits beside it
+                    fixed.append(((long,), counts[long]))
+                    counts[long] = 0
+                elif beside == room or two > room:  # one fills it, or only one fits: the longest dominates
+                    n = counts[long] // 2 if beside == long else min(counts[long], counts[beside])
+                    if beside != room and beside == least and long != beside:
+                        n = min(n, max(1, counts[beside] - 1))  # the two least are tested again once there is only one of them
+                    fixed.append(((long, beside), n))
+                    counts[long] -= n
+                    counts[beside] -= n
+                else:
+                    break
+                settled = True
     return fixed
 
 

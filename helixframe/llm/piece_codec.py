@@ -15,7 +15,7 @@ ids are remembered, up to a bound.
 Decoding is the library's ``decode``.
 
 Defined results: a null text counts as empty, which has no ids and decodes to the empty text;
-equal rows are encoded each; an empty table gives an empty result; columns other than ``doc_id``
+equal rows are encoded each; very long texts are encoded whole; an empty table gives an empty result; columns other than ``doc_id``
 and ``text`` are ignored. Models with other normalisation than the identity are refused.
 """
 

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by FTRL-proximal.
 
-Words are runs of letters and digits or runs of other signs, as they are written; words and pairs
-of neighbours (a word twice in a row is the same pair whatever the word) are hashed into ``2 ** bits`` weights. A document's features are their counts over
+Words are runs of letters and digits or runs of other signs, as they are written; words, pairs of
+neighbours and, as a feature of its own, that a word follows itself are hashed into ``2 ** bits`` weights. A document's features are their counts over
 the square root of their number, its score the logistic function of their dot product with the
 weights. Follow-the-regularised-leader sees the training rows one by one, in the order of a hash of
 their ids, ``epochs`` times; its per-coordinate state gives each weight in closed form.
@@ -12,7 +12,9 @@ bytes. Neither grows with the data. Labels, ``lang``, ``source`` and ``doc_id``
 
 Defined results: a null text counts as empty and has the score of the bias alone; a null ``doc_id``
 is not held out; labels of null value are not learned from; without labels every score is 0.5 and
-is predicted 1; equal texts have equal scores; an empty table gives an empty result.
+is predicted 1; equal texts have equal scores; very long texts are scored whole; a
+repeated ``doc_id`` is scored row by row, and learned from with the smallest of its labels; an empty table
+gives an empty result; columns other than ``doc_id`` and ``text`` are ignored, and passed through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from helixframe.llm._shared import doc_texts
 
 WORDS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
 BITS = 18
-#: Stands for the pair of any word with itself.
+#: Stands for any word that follows itself.
 TWICE = np.uint32(0x7F4A7C15)
 
 
@@ -39,9 +41,9 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
     """Weight indices of the whole text's words and word pairs, repeats included."""
     words = [crc32(w) for w in WORDS.findall(text.encode("utf-8", "surrogatepass"))]
     one = np.array(words, np.uint32)
-    two = np.where(one[:-1] == one[1:], TWICE, (one[:-1] * np.uint32(2654435761) ^ one[1:]) * np.uint32(2246822519))
-    shift = np.uint32(32 - bits)
-    return np.concatenate([(one * np.uint32(3266489917)) >> shift, two >> shift])
+    two = (one[:-1] * np.uint32(2654435761) ^ one[1:]) * np.uint32(2246822519)
+    twice = np.full(int((one[:-1] == one[1:]).sum()), TWICE)
+    return np.concatenate([one * np.uint32(3266489917), two, twice]) >> np.uint32(32 - bits)
 
 
 @dataclass

@@ -11,8 +11,8 @@ members of its sister trees, and a tree is built but once for all sisters that t
 components are found by alternating star contraction.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with
-fewer words than a shingle count as one shingle; repeated shingles vote repeatedly; equal rows
-stay separate rows of one component; an empty table gives an empty result; columns other than
+fewer words than a shingle count as one shingle; repeated shingles vote repeatedly; very long texts are
+fingerprinted whole, in blocks; equal rows stay separate rows of one component; an empty table gives an empty result; columns other than
 ``doc_id`` and ``text`` are ignored. A null ``doc_id`` never becomes a component's id unless its
 component has no other.
 """
