@@ -11,44 +11,43 @@ SCHEMA = "ref_id string, qry_id string, strand int, cluster_id long, ord int, s1
 
 
 def thin(matches: np.ndarray) -> np.ndarray:
-    """Without matches that overlap better ones; rows ``s1, s2, len`` sorted by ``s2, s1``.
+    """Without matches that are internal to a repeat; rows ``s1, s2, len``, in order of ``s2, s1``.
 
-    On one diagonal overlapping matches join. Two that start at one place of either side and
-    overlap on the other by at least half of the shorter lose the shorter; of two equally long, the
-    earlier goes if it had already been doubted, and the later is doubted.
+    Overlapping or touching matches of one diagonal are one. Two matches are rivals if they start at
+    one place on a side and share on the other side at least half of the shorter. A match goes if it
+    has a longer rival, or rivals of its own length both before and after it, so that of a tandem
+    repeat's copies the first and the last stay.
     """
-    rows = [list(map(int, m)) for m in matches]
-    live, doubted = [True] * len(rows), [False] * len(rows)
-    for i, one in enumerate(rows):
-        if not live[i]:
-            continue
-        for j in range(i + 1, len(rows)):
-            two = rows[j]
-            if two[1] > one[1] + one[2]:
-                break
-            if not live[j]:
+    m = _one_on_a_diagonal(np.asarray(matches, np.int64).reshape(-1, 3))
+    place = np.arange(len(m))
+    beaten, before, after = (np.zeros(len(m), bool) for _ in range(3))
+    for same, across in ((0, 1), (1, 0)):
+        order = np.argsort(m[:, same], kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(m[order, same])) + 1):
+            if len(group) < 2:
                 continue
-            if two[0] - two[1] == one[0] - one[1]:
-                one[2] = max(one[2], two[1] + two[2] - one[1])
-                live[j] = False
-                continue
-            if one[0] == two[0]:
-                shared = one[1] + one[2] - two[1]
-            elif one[1] == two[1]:
-                shared = one[0] + one[2] - two[0] if one[0] < two[0] else two[0] + two[2] - one[0]
-            else:
-                continue
-            if one[2] < two[2] and shared >= one[2] // 2:
-                live[i] = False
-                break
-            if two[2] < one[2] and shared >= two[2] // 2:
-                live[j] = False
-            elif one[2] == two[2] and shared >= one[2] // 2:
-                doubted[j] = True
-                if doubted[i]:
-                    live[i] = False
-                    break
-    return np.array([r for r, keep in zip(rows, live, strict=True) if keep], np.int64).reshape(-1, 3)
+            start, size = m[group, across], m[group, 2]
+            shared = np.minimum.outer(start + size, start + size) - np.maximum.outer(start, start)
+            rival = shared >= np.minimum.outer(size, size) // 2
+            beaten[group] |= (rival & (size[None, :] > size[:, None])).any(axis=1)
+            twin = rival & (size[None, :] == size[:, None])
+            earlier = place[group][None, :] < place[group][:, None]
+            before[group] |= (twin & earlier).any(axis=1)
+            after[group] |= (twin & earlier.T).any(axis=1)
+    return m[~(beaten | before & after)]
+
+
+def _one_on_a_diagonal(m: np.ndarray) -> np.ndarray:
+    if not len(m):
+        return m
+    m = m[np.lexsort((m[:, 1], m[:, 1] - m[:, 0]))]
+    diagonal, end = m[:, 1] - m[:, 0], m[:, 1] + m[:, 2]
+    base = np.cumsum(np.concatenate([[0], (np.diff(diagonal) != 0).astype(np.int64)])) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + base)  # within a diagonal: none reaches beyond its base
+    first = np.flatnonzero(np.concatenate([[True], m[1:, 1] + base[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(m)) - 1
+    out = np.column_stack([m[first, 0], m[first, 1], reach[last] - base[last] - m[first, 1]])
+    return out[np.lexsort((out[:, 0], out[:, 1]))]
 
 
 def connected(m: np.ndarray, max_gap: int, diagonal: int, factor: float) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,31 +85,67 @@ def conflict_annotation(rows: DataFrame) -> DataFrame:
     return rows.withColumn("annot", F.coalesce(F.when(a1.isNotNull(), kind), F.lit(""))).drop("_lo1", "_hi1", "_lo2", "_hi2")
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """Brief form: runs of overlapping boxes of a pair in one direction become one, in reference order.
-
-    Boxes join while they overlap on the reference with what has been joined so far.
-    """
-    on = ["ref_id", "qry_id", "dir2"]
-    step = Window.partitionBy(*on).orderBy("lo1", "hi1", "aln_id")
+def _runs(rows: DataFrame) -> DataFrame:
+    """Add ``_run``: stretches of a pair's alignments that no alignment crosses on the reference; what is decided inside one touches no other."""
+    step = Window.partitionBy("ref_id", "qry_id").orderBy("lo1", "lo2", "aln_id")
     reach = F.max("hi1").over(step.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.coalesce((F.col("lo1") > reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_box", F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*on, "_box").agg(F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2"), F.count(F.lit(1)).alias("merged")).drop("_box")
+    return rows.withColumn("_run", F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Brief form: in reference order, each box of a pair takes in the later ones that overlap it, as grown so far, on both sides; directions don't matter."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lo1", "lo2", "aln_id"], kind="stable")
+        boxes = part[["lo1", "hi1", "lo2", "hi2"]].to_numpy(np.int64)
+        gone, out = np.zeros(len(boxes), bool), []
+        for i in range(len(boxes)):
+            if gone[i]:
+                continue
+            a1, z1, a2, z2 = boxes[i]
+            n = 1
+            for j in range(i + 1, len(boxes)):
+                if boxes[j, 0] > z1:
+                    break
+                if not gone[j] and boxes[j, 2] <= z2 and boxes[j, 3] >= a2:
+                    z1, a2, z2 = max(z1, boxes[j, 1]), min(a2, boxes[j, 2]), max(z2, boxes[j, 3])
+                    gone[j], n = True, n + 1
+            out.append((part.ref_id.iloc[0], part.qry_id.iloc[0], a1, z1, a2, z2, n))
+        return pd.DataFrame(out, columns=["ref_id", "qry_id", "lo1", "hi1", "lo2", "hi2", "merged"])
+
+    slim = _runs(rows).select("ref_id", "qry_id", "_run", "aln_id", "lo1", "hi1", "lo2", "hi2")
+    return slim.groupBy("ref_id", "qry_id", "_run").applyInPandas(run, "ref_id string, qry_id string, lo1 long, hi1 long, lo2 long, hi2 long, merged long")
+
+
+#: The share of the shorter that two alignments must overlap on both sides to be rivals, and how long the better one must be against the other.
+RIVAL_OVERLAP, RIVAL_LENGTH = 0.5, 0.75
 
 
 def knockout(rows: DataFrame) -> DataFrame:
-    """Without alignments that the one before them on the reference, in another frame or direction, beats.
+    """Without alignments that lose to a rival of the same strand.
 
-    That one covers at least half of them, is more similar and at least three quarters as long.
+    Rivals overlap on both sides by at least half of the shorter. In reference order, an alignment
+    that is more similar than a later rival and at least three quarters as long on both sides knocks it
+    out, and otherwise is knocked out itself; who is out takes no further part.
     """
-    step = Window.partitionBy("ref_id", "qry_id").orderBy("lo1", "lo2", "aln_id")
-    other = {c: [F.lag(c).over(step), F.lead(c).over(step)] for c in ("lo1", "hi1", "sim", "dir2")}
-    span = F.col("hi1") - F.col("lo1") + 1
-
-    def beaten(k: int) -> Column:
-        lo, hi, sim, way = (other[c][k] for c in ("lo1", "hi1", "sim", "dir2"))
-        shared = F.least(hi, F.col("hi1")) - F.greatest(lo, F.col("lo1")) + 1
-        return (way != F.col("dir2")) & (shared * 2 >= span) & (sim > F.col("sim")) & ((hi - lo + 1) * 4 >= span * 3)
 
-    return rows.withColumn("_out", F.coalesce(beaten(0), F.lit(False)) | F.coalesce(beaten(1), F.lit(False))).filter("NOT _out").drop("_out")
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lo1", "lo2", "aln_id"], kind="stable")
+        lo1, hi1, lo2, hi2, sim, way = (part[c].to_numpy() for c in ("lo1", "hi1", "lo2", "hi2", "sim", "way"))
+        one, two, out = hi1 - lo1 + 1, hi2 - lo2 + 1, np.zeros(len(part), bool)
+        for i in range(len(part)):
+            if out[i]:
+                continue
+            j = np.flatnonzero((np.arange(len(part)) > i) & (lo1 <= hi1[i]) & ~out & (way == way[i]))
+            over1, over2 = hi1[i] - lo1[j] + 1, np.minimum(hi2[i], hi2[j]) - np.maximum(lo2[i], lo2[j]) + 1
+            j = j[(over1 >= RIVAL_OVERLAP * np.minimum(one[i], one[j])) & (over2 >= RIVAL_OVERLAP * np.minimum(two[i], two[j]))]
+            wins = (sim[i] > sim[j]) & (one[i] >= RIVAL_LENGTH * one[j]) & (two[i] >= RIVAL_LENGTH * two[j])
+            lost = np.flatnonzero(~wins)
+            out[j[: lost[0]] if len(lost) else j] = True
+            out[i] = len(lost) > 0
+        return pd.DataFrame({"aln_id": part.aln_id, "_out": out})
+
+    slim = _runs(rows).select("ref_id", "qry_id", "_run", "aln_id", "lo1", "hi1", "lo2", "hi2", "sim", (F.col("dir1") * F.col("dir2")).alias("way"))
+    kept = slim.groupBy("ref_id", "qry_id", "_run").applyInPandas(run, "aln_id long, _out boolean").filter("NOT _out").select("aln_id")
+    return rows.join(kept, "aln_id", "left_semi")

@@ -243,7 +243,10 @@ def extend(clusters: DataFrame, refs: DataFrame, queries: DataFrame, o: Options
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     made = pairs.select("ref_id", "qry_id", "m", F.coalesce("ref_seq", F.lit("")).alias("ref_seq"), F.coalesce("qry_seq", F.lit("")).alias("qry_seq")).mapInArrow(run, SCHEMA)
-    return made.withColumn("aln_id", F.abs(F.xxhash64("ref_id", "qry_id", "s1", "e1", "s2", "e2")))
+    # ids count rows; dealt by a fixed number and sorted, a row has the same one whenever it is computed
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = made.repartition(parts, "ref_id", "qry_id").sortWithinPartitions("ref_id", "qry_id", "s1", "e1", "s2", "e2", "deltas")
+    return dealt.withColumn("aln_id", F.monotonically_increasing_id())
 
 
 def _turned(seq: str) -> str:

@@ -1,10 +1,10 @@
 """Exact matches: ``ref_id, qry_id, strand, s1, s2, len``, coordinates from 1, on the strand that was searched.
 
 Maximal matches come in one of two ways. A reference that is proven small (its letters are counted
-first) is broadcast as a sorted table of window hashes and queries stream past it: hits that have
-no equal letters before them are extended to the right on the letters themselves, and nothing is
-shuffled. A larger one is joined by window hash, and runs of hits on a diagonal are the matches
-(gaps and islands); the letters are compared when a match is assembled. Uniqueness is decided by
+first) is broadcast as a sorted table of window hashes and queries stream past it, and nothing is
+shuffled. A larger one is joined by window hash. Either way runs of hits on a diagonal are the
+matches (gaps and islands), and their letters are compared when they are assembled: a run in which
+two windows only share a hash is cut where letters differ. Uniqueness is decided by
 interval containment with running maxima, never by joining matches with each other.
 """
 
@@ -59,37 +59,86 @@ def _streamed(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
             out: list[tuple] = []
             for seq_id, seq, way in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 mine = code_points(seq or "")
-                own = window_hashes(mine, length)
-                lo, hi = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
-                for q in np.flatnonzero(hi > lo):
-                    for k in range(lo[q], hi[q]):
-                        r, p = int(of[k]), int(at[k])
-                        ref = letters[r]
-                        if q and p and mine[q - 1] == ref[p - 1] or (mine[q : q + length] != ref[p : p + length]).any():
-                            continue
-                        n = min(len(mine) - q, len(ref) - p)
-                        apart = np.flatnonzero(mine[q + length : q + n] != ref[p + length : p + n])
-                        out.append((names[r], seq_id, way, p + 1, int(q) + 1, length + int(apart[0]) if len(apart) else n))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["ref_id", "qry_id", "strand", "s1", "s2", "len"])
+                k, q = hits_of(table, window_hashes(mine, length))
+                for r, p, place, size in diagonal_runs(of[k], at[k], q, length):
+                    out += [(names[r], seq_id, way, p + i + 1, place + i + 1, n) for i, n in equal_runs(letters[r][p : p + size], mine[place : place + size], length)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(KINDS)], names=NAMES)
 
     return queries.select("seq_id", "seq", "strand").mapInArrow(run, SCHEMA)
 
 
+NAMES, KINDS = ["ref_id", "qry_id", "strand", "s1", "s2", "len"], (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+
+def hits_of(table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``table`` and in ``own`` of all equal hashes."""
+    lo, hi = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
+    n = hi - lo
+    q = np.repeat(np.arange(len(own)), n)
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(q)), q
+
+
+def diagonal_runs(of: np.ndarray, p: np.ndarray, q: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """``sequence, p, q, size`` of consecutive hits on the diagonals of each sequence."""
+    if not len(q):
+        return []
+    order = np.lexsort((q, p - q, of))
+    of, p, q = of[order], p[order], q[order]
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (q[1:] != q[:-1] + 1)]))
+    sizes = np.diff(np.append(first, len(q))) + length - 1
+    return list(zip(of[first].tolist(), p[first].tolist(), q[first].tolist(), sizes.tolist(), strict=True))
+
+
+def equal_runs(one: np.ndarray, two: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """``start, size`` of the stretches of at least ``length`` equal letters."""
+    apart = np.flatnonzero(one != two)
+    if not len(apart):
+        return [(0, len(one))]
+    starts, ends = np.concatenate([[0], apart + 1]), np.append(apart, len(one))
+    return [(int(a), int(z - a)) for a, z in zip(starts, ends, strict=True) if z - a >= length]
+
+
+#: Starts of matches of one sequence that are cut out of it together.
+STRETCH = 1 << 20
+
+
+def with_letters(rows: DataFrame, seqs: DataFrame, id_column: str, start: str, name: str) -> DataFrame:
+    """Add ``name``: the letters of each row's stretch. A sequence moves once for each ``STRETCH`` of it that has rows, not once for each row."""
+    kept = [c for c in rows.columns if c != id_column]
+    held = rows.groupBy(id_column, F.floor((F.col(start) - 1) / STRETCH).alias("_part")).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
+    met = held.join(seqs.select(F.col("seq_id").alias(id_column), F.col("seq").alias("_seq")), id_column)
+    cut = F.transform("_rows", lambda r: F.struct(r.alias("r"), F.substring(F.col("_seq"), r[start].cast("int"), r["len"].cast("int")).alias("l")))
+    return met.select(id_column, F.explode(cut).alias("_c")).select(id_column, *[F.col("_c.r")[c].alias(c) for c in kept], F.col("_c.l").alias(name))
+
+
 def _joined(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     ours = extract(refs, length).select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), "kmer")
     keyed = queries.select(F.concat_ws("\t", F.col("strand").cast("string"), "seq_id").alias("seq_id"), "seq")
-    theirs = extract(keyed, length).select(F.split("seq_id", "\t", 2).alias("k"), F.col("pos").alias("s2"), "kmer")
-    theirs = theirs.select(F.col("k")[1].alias("qry_id"), F.col("k")[0].cast("int").alias("strand"), "s2", "kmer")
-    return islands(ours.join(theirs, "kmer").drop("kmer"), length)
+    return verified(ours.join(extract(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer"), "kmer").drop("kmer"), refs, keyed, length)
+
+
+def verified(hits: DataFrame, refs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
+    """Matches of hits (``ref_id, way_id, s1, s2``) whose letters are equal; ``keyed`` has the queries by strand and id."""
+    found = islands(hits, length)
+    both = with_letters(with_letters(found, refs, "ref_id", "s1", "one"), keyed, "way_id", "s2", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for ref_id, way_id, s1, s2, one, two in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                way, qry_id = way_id.split("\t", 1)
+                out += [(ref_id, qry_id, int(way), s1 + i, s2 + i, n) for i, n in equal_runs(code_points(one), code_points(two), length)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(KINDS)], names=NAMES)
+
+    return both.select("ref_id", "way_id", "s1", "s2", "one", "two").mapInArrow(run, SCHEMA)
 
 
 def islands(hits: DataFrame, length: int) -> DataFrame:
-    """Runs of consecutive hits on a diagonal, as matches."""
-    on = ["ref_id", "qry_id", "strand", "diagonal"]
+    """Runs of consecutive hits on a diagonal: ``ref_id, way_id, s1, s2, len``."""
+    on = ["ref_id", "way_id", "diagonal"]
     rows = hits.withColumn("diagonal", F.col("s1") - F.col("s2"))
     rows = rows.withColumn("run", F.col("s1") - F.row_number().over(Window.partitionBy(*on).orderBy("s1")))
-    return rows.groupBy(*on, "run").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.count(F.lit(1)) + length - 1).alias("len")).select("ref_id", "qry_id", "strand", "s1", "s2", "len")
+    return rows.groupBy(*on, "run").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.count(F.lit(1)) + length - 1).alias("len")).select("ref_id", "way_id", "s1", "s2", "len")
 
 
 def _outermost(matches: DataFrame, over: list[str], start: str) -> DataFrame:
@@ -140,18 +189,15 @@ def self_repeats(seqs: DataFrame, length: int = 20, strand: str = "forward") ->
                 one, two = code_points(seq), code_points(other)
                 table = window_hashes(one, length)
                 order = np.argsort(table, kind="stable")
-                ranked, own = table[order], table if way > 0 else window_hashes(two, length)
-                lo, hi = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
-                for q in np.flatnonzero(hi > lo):
-                    for p in order[lo[q] : hi[q]]:
-                        if way > 0 and p >= q or q and p and two[q - 1] == one[p - 1] or (two[q : q + length] != one[p : p + length]).any():
-                            continue
-                        n = min(len(two) - q, len(one) - p)
-                        apart = np.flatnonzero(two[q + length : q + n] != one[p + length : p + n])
-                        size = length + int(apart[0]) if len(apart) else int(n)
-                        place = int(q) + 1 if way > 0 else len(two) - int(q)
-                        if way > 0 or place >= p + 1:
-                            out.append((seq_id, way, int(p) + 1, place, size))
+                k, q = hits_of(table[order], table if way > 0 else window_hashes(two, length))
+                p = order[k]
+                if way > 0:  # each pair once
+                    p, q = p[p < q], q[p < q]
+                for _, at, place, size in diagonal_runs(np.zeros(len(q), np.int32), p, q, length):
+                    for i, n in equal_runs(one[at : at + size], two[place : place + size], length):
+                        start, other = at + i + 1, place + i + 1 if way > 0 else len(two) - place - i
+                        if way > 0 or other >= start:
+                            out.append((seq_id, way, start, other, n))
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["seq_id", "strand", "s1", "s2", "len"])
 

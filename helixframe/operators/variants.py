@@ -99,13 +99,14 @@ def differences(rows: DataFrame, context: int = 0) -> DataFrame:
     return rows.select(*columns).mapInArrow(run, DIFFERENCES)
 
 
-def snps(differing: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add ``buff`` (distance to the nearest other difference or alignment end), ``dist`` (to the nearest sequence end) and the conflicts ``con_r, con_q`` (other alignments at the place)."""
+def snps(differing: DataFrame, rows: DataFrame, side: str = "reference") -> DataFrame:
+    """Add ``buff`` (distance along ``side`` to the nearest other difference, or to what lies beyond the alignment's end), ``dist`` (to the nearest sequence end) and the conflicts ``con_r, con_q`` (other alignments at the place)."""
+    p, k = ("p1", "1") if side == "reference" else ("p2", "2")
     ends = rows.select("aln_id", "s1", "e1", "s2", "e2", "ref_len", "qry_len")
-    step = Window.partitionBy("aln_id").orderBy("p1", "p2", "col")
-    near = differing.withColumn("_a", F.lag("p1").over(step)).withColumn("_z", F.lead("p1").over(step)).join(ends, "aln_id")
-    lo, hi = F.least("s1", "e1"), F.greatest("s1", "e1")
-    near = near.withColumn("buff", F.least(F.col("p1") - F.coalesce("_a", lo), F.coalesce("_z", hi) - F.col("p1")))
+    step = Window.partitionBy("aln_id").orderBy(*(["p1", "p2"] if side == "reference" else ["p2", "p1"]), "col")
+    near = differing.withColumn("_a", F.lag(p).over(step)).withColumn("_z", F.lead(p).over(step)).join(ends, "aln_id")
+    lo, hi = F.least(f"s{k}", f"e{k}"), F.greatest(f"s{k}", f"e{k}")
+    near = near.withColumn("buff", F.least(F.col(p) - lo + 1, hi - F.col(p) + 1, F.col(p) - F.col("_a"), F.col("_z") - F.col(p)))
     near = near.withColumn("dist", F.least("p1", F.col("ref_len") - F.col("p1") + 1, "p2", F.col("qry_len") - F.col("p2") + 1)).drop("_a", "_z", "s1", "e1", "s2", "e2", "ref_len", "qry_len")
     sides = rows.withColumn("_l1", F.least("s1", "e1")).withColumn("_h1", F.greatest("s1", "e1")).withColumn("_l2", F.least("s2", "e2")).withColumn("_h2", F.greatest("s2", "e2"))
     near = at_positions(near, sides.select("ref_id", "_l1", "_h1"), ["ref_id"], "p1", "_l1", "_h1", "con_r")
@@ -113,6 +114,12 @@ def snps(differing: DataFrame, rows: DataFrame) -> DataFrame:
     return near.withColumn("con_r", F.col("con_r") - 1).withColumn("con_q", F.col("con_q") - 1)
 
 
+def sorted_snps(found: DataFrame, side: str = "reference") -> DataFrame:
+    """By reference and place, then query and place, or the other way round."""
+    keys = ["ref_id", "p1", "qry_id", "p2"]
+    return found.orderBy(*(keys if side == "reference" else keys[2:] + keys[:2]), "col")
+
+
 def unambiguous(found: DataFrame) -> DataFrame:
     return found.filter("con_r = 0 AND con_q = 0")
 

@@ -64,13 +64,24 @@ def read_delta(spark: SparkSession, path: str) -> DataFrame:
                         deltas.append(int(step))
                         at += 1
                     at += 1
-                    out.append(((order << 20) + k, first[0], first[1], int(first[2]), int(first[3]), *map(int, cells), deltas, kind))
+                    out.append((_id(order, k), first[0], first[1], int(first[2]), int(first[3]), *map(int, cells), deltas, kind))
                     k += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     return chunks.mapInArrow(run, SCHEMA)
 
 
+def _id(order: int, k: int) -> int:
+    """Of the k-th alignment of a record: up to 2^20 partitions, 2^23 records in each and 2^20 alignments in a record have ids of their own.
+
+    Numbers beyond that fail instead of wrapping round.
+    """
+    partition, place = order >> 33, order & ((1 << 33) - 1)
+    if partition >= 1 << 20 or place >= 1 << 23 or k >= 1 << 20:
+        raise OverflowError("more records or alignments in a partition than ids can tell apart")
+    return partition << 43 | place << 20 | k
+
+
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made-up alignments table: every value an integer expression of ``lineitem``'s keys, without deltas."""
     k, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
