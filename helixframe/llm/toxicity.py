@@ -72,7 +72,7 @@ def _slots(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = (hashes ^ np.uint64(salt)) * _SPREAD
         mixed ^= mixed >> np.uint64(29)
-        return ((mixed * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+        return ((mixed * _SPREAD) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 @dataclass
@@ -88,22 +88,27 @@ class Features:
 def features_of(words: list[str], bits: int = BITS, shared: bool = False) -> Features:
     """Of distinct words; every word has one feature at least, itself. ``shared``: subwords that occur but once are left out, since no other word could learn from them."""
     whole = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    ids, slots = [np.arange(len(words))], [_slots(whole, 1, bits)]
     letters = code_points("".join([START + w + END for w in words]))
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    of = np.repeat(np.arange(len(words)), sizes)
+    of = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(len(words), dtype=np.int32), _slots(whole, 1, bits))]
     for n in range(LEAST, MOST + 1):
         hashes = window_hashes(letters, n)
         within = np.flatnonzero(of[: len(hashes)] == of[n - 1 : n - 1 + len(hashes)])
+        hashes, ids = hashes[within], of[within]
         if shared and len(within):
-            _, which, times = np.unique(hashes[within], return_inverse=True, return_counts=True)
-            within = within[times[which] > 1]
-        ids.append(of[within])
-        slots.append(_slots(hashes[within], 16 + n, bits))
-    every, found = np.concatenate(ids), np.concatenate(slots)
-    order = np.argsort(every, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(words)))]).astype(np.int64)
-    return Features(starts, found[order], _slots(whole, 2, bits), _slots(whole, 3, bits))
+            ranked = np.sort(hashes)
+            again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+            often = again[np.minimum(np.searchsorted(again, hashes), max(0, len(again) - 1))] == hashes if len(again) else np.zeros(len(hashes), bool)
+            hashes, ids = hashes[often], ids[often]
+        found.append((ids, _slots(hashes, 16 + n, bits)))
+    # each size's features come in order of words: their places follow from how many a word has
+    counts = [np.bincount(ids, minlength=len(words)) for ids, _ in found]
+    starts = np.concatenate([[0], np.cumsum(sum(counts))]).astype(np.int64)
+    out, filled = np.empty(int(starts[-1]), np.int32), starts[:-1].copy()
+    for (ids, slots), n in zip(found, counts, strict=True):
+        out[np.repeat(filled - (np.cumsum(n) - n), n) + np.arange(len(ids))] = slots
+        filled += n
+    return Features(starts, out, _slots(whole, 2, bits), _slots(whole, 3, bits))
 
 
 def grid_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +291,7 @@ def beyond_chance(features: Features, rows: list[tuple[np.ndarray, int]], doubt:
     A mark is ``odds`` times as frequent in toxic documents as in clean ones, and more of the
     documents that hold it are toxic than chance allows.
     """
-    within = np.zeros((2, 2, 1 << bits))  # once or twice, clean or toxic
+    within = np.zeros((2, 2, 1 << bits), np.int32)  # once or twice, clean or toxic
     for ids, y in rows:
         slots, times = slot_counts(features, ids)
         within[0, y, slots] += 1
@@ -309,7 +314,7 @@ class Field:
 
     def __init__(self, texts: list[tuple[list[str], int]], bits: int):
         numbers: dict[str, int] = {}
-        self.rows = [(np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64), y) for t, y in texts]
+        self.rows = [(np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int32), y) for t, y in texts]
         self.features = features_of(list(numbers), bits, shared=True)
         self.bits = bits
 
@@ -341,7 +346,7 @@ class Field:
     def train(self, labels: list[np.ndarray], epochs: int, rate: float, batch: int, least_steps: int, model: Model | None = None) -> Model:
         model = model or Model(np.zeros(1 << self.bits), -4.0, np.zeros((2, 2)), np.zeros(4), self.bits)
         use = [d for d, (ids, y) in enumerate(self.rows) if len(ids) and (not y or labels[d].any())]
-        squares, tsquares, bsquare = np.full(1 << self.bits, 1.0), np.full((2, 2), 1e-2), 1e-2
+        squares, tsquares, bsquare = np.full(1 << self.bits, 1.0, np.float32), np.full((2, 2), 1e-2), 1e-2
         mixer = np.random.default_rng(7)
         batch = max(8, min(batch, len(use) // 16))
         f = self.features
@@ -452,9 +457,10 @@ def _calibrated(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = 4000, max_bytes: int = 20_000) -> Model:
     """Train on a bounded sample of labelled rows, half of them toxic where there are as many."""
     sample = labelled_sample(docs, labels, label, folds, fold, max_rows, max_bytes, per_class=True).select("place", "text", "label")
-    found = sample.toArrow().sort_by("place")  # at most ``max_rows`` texts of ``max_bytes``
+    found = sample.toArrow().sort_by("place")  # at most ``max_rows`` texts of ``max_bytes``, the driver's only copy once they are words
     same: dict[str, str] = {}
     rows = [([same.setdefault(w, w) for w in words_of(t)], y) for t, y in dict.fromkeys(zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True))]
+    del found
     counted = labels.filter(F.col(label).isNotNull() & ~in_fold(F.col("doc_id"), folds, fold)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return train(rows, counted)
 
