@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,50 @@ from helixframe.operators.variants import GAP, contract, errors
 from helixframe.sources.alignments import SCHEMA
 
 
+#: The published substitution scores of 20 amino acids, lower triangle, rows and columns in this order.
+BLOSUM62 = """
+A  4
+R -1  5
+N -2  0  6
+D -2 -2  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0  0 -3  5
+E -1  0  0  2 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  1 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+#: Scores of a stop against a stop and against a letter, and of any other letter.
+STOP_STOP, STOP_LETTER, OTHER = 1, -4, -1
+
+
+@cache
+def scores_of(matrix: str) -> np.ndarray:
+    """Scores by character codes (128, 128), either case, of a lower triangle as text; other triangles are given the same way."""
+    table = np.full((128, 128), OTHER, np.int64)
+    letters: list[str] = []
+    for line in matrix.split("\n"):
+        if cells := line.split():
+            letters.append(cells[0])
+            for other, score in zip(letters, cells[1:], strict=True):
+                for x in {cells[0], cells[0].lower()}:
+                    for y in {other, other.lower()}:
+                        table[ord(x), ord(y)] = table[ord(y), ord(x)] = int(score)
+    table[ord("*"), :] = table[:, ord("*")] = STOP_LETTER
+    table[ord("*"), ord("*")] = STOP_STOP
+    return table
+
+
 @dataclass(frozen=True)
 class Options:
     """Defaults of nucleotide alignment; ``text`` scores any equal letters, not only acgt."""
@@ -36,7 +81,6 @@ class Options:
     strand: str = "both"
     matches: str = "reference"  # all, reference (unique there), unique (in both)
     extend: bool = True
-    optimize: bool = True
     simplify: bool = True
     min_length: int = 0
     text: bool = False
@@ -45,12 +89,13 @@ class Options:
     bad: int = -7
     gap_open: int = -10
     gap_more: int = -7
+    matrix: str = ""  # scores of letters, as text (see ``scores_of``); none: ``good`` and ``bad``
 
 
 #: Defaults of the stand-alone cluster step.
 CLUSTER_ONLY = Options(diagonal=5, max_gap=1000, min_cluster=200, factor=0.05)
 #: Defaults of six-frame protein alignment.
-PROTEIN = Options(min_match=6, min_cluster=20, max_gap=30, factor=0.11, break_length=60, text=True)
+PROTEIN = Options(min_match=6, min_cluster=20, max_gap=30, factor=0.11, break_length=60, text=True, good=8, gap_more=-1, matrix=BLOSUM62)
 
 LOW = -(1 << 40)
 
@@ -90,7 +135,7 @@ def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tup
         left, up, corner = take(last, last_lo, i - 1), take(last, last_lo, i), take(before, before_lo, i - 1)
         pair = (i > 0) & (j > 0)
         a, b = ref[np.maximum(i - 1, 0)], qry[np.maximum(j - 1, 0)]
-        worth = np.where((a == b) & acgt[np.maximum(i - 1, 0)], o.good, o.bad)
+        worth = scores_of(o.matrix)[np.minimum(a, 127), np.minimum(b, 127)] if o.matrix else np.where((a == b) & acgt[np.maximum(i - 1, 0)], o.good, o.bad)
         from_m = np.stack(corner)
         m_from = from_m.argmax(axis=0)  # M before D before I on ties
         score_m = np.where(pair, from_m.max(axis=0) + worth, LOW)
@@ -202,6 +247,15 @@ def extend_pair(ref: str, qry: str, found: list[list[tuple[int, int, int]]], o:
     return out
 
 
+def protein_errors(one: str, two: str, matrix: str) -> tuple[int, int, int]:
+    """Differing columns, columns whose score isn't positive (gaps too), and stops or other non-letters of both sides, of an expansion."""
+    table = scores_of(matrix)
+    gap = [a == GAP or b == GAP for a, b in zip(one, two, strict=True)]
+    off = sum(g or a.upper() != b.upper() for a, b, g in zip(one, two, gap, strict=True))
+    similar = sum(g or table[min(ord(a), 127), min(ord(b), 127)] < 1 for a, b, g in zip(one, two, gap, strict=True))
+    return off, int(similar), sum(x != GAP and not x.isalpha() for x in one + two)
+
+
 def gapped(ref: str, qry: str, ops: str) -> tuple[str, str]:
     """The stretches with gaps where the operations say."""
     one, two, i, j = [], [], 0, 0
@@ -235,11 +289,11 @@ def extend(clusters: DataFrame, refs: DataFrame, queries: DataFrame, o: Options
                         if o.min_length and max(hi1 - lo1, hi2 - lo2) + 1 < o.min_length:
                             continue
                         one, two = gapped(ref[lo1 - 1 : hi1], mine[lo2 - 1 : hi2], ops)
-                        off, similar, odd = errors(one, two)
-                        if o.text:
-                            similar = off
+                        off, similar, odd = protein_errors(one, two, o.matrix) if o.matrix else errors(one, two)
+                        if o.text and not o.matrix:
+                            similar, odd = off, 0
                         s2, e2 = (lo2, hi2) if strand > 0 else (len(qry) - lo2 + 1, len(qry) - hi2 + 1)
-                        out.append((0, ref_id, qry_id, len(ref), len(qry), lo1, hi1, s2, e2, off, similar, odd if not o.text else 0, contract(one, two), "dna"))
+                        out.append((0, ref_id, qry_id, len(ref), len(qry), lo1, hi1, s2, e2, off, similar, odd, contract(one, two), "dna"))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     made = pairs.select("ref_id", "qry_id", "m", F.coalesce("ref_seq", F.lit("")).alias("ref_seq"), F.coalesce("qry_seq", F.lit("")).alias("qry_seq")).mapInArrow(run, SCHEMA)

@@ -55,7 +55,7 @@ def annotate(chained: DataFrame, refs: DataFrame, queries: DataFrame) -> DataFra
 
 
 def regions(annotated: DataFrame) -> DataFrame:
-    """One row a cluster: its ends, its errors and their rate over the longer side."""
+    """One row a cluster: its ends, its errors and their rate over the longer side; both are null where a gap is too long to be aligned."""
     on = ["ref_id", "qry_id", "strand", "cluster_id"]
-    rows = annotated.groupBy(*on).agg(F.min("s1").alias("lo1"), F.max(F.col("s1") + F.col("len") - 1).alias("hi1"), F.min("s2").alias("lo2"), F.max(F.col("s2") + F.col("len") - 1).alias("hi2"), F.coalesce(F.sum("gap_errors"), F.lit(0)).alias("errors"))
+    rows = annotated.groupBy(*on).agg(F.min("s1").alias("lo1"), F.max(F.col("s1") + F.col("len") - 1).alias("hi1"), F.min("s2").alias("lo2"), F.max(F.col("s2") + F.col("len") - 1).alias("hi2"), F.when(F.sum(F.when(F.col("gap1").isNotNull() & F.col("gap_errors").isNull(), 1)).isNull(), F.coalesce(F.sum("gap_errors"), F.lit(0))).alias("errors"))
     return rows.withColumn("rate", F.col("errors") / F.greatest(F.col("hi1") - F.col("lo1") + 1, F.col("hi2") - F.col("lo2") + 1))

@@ -10,11 +10,12 @@ interval containment with running maxima, never by joining matches with each oth
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import flip, reverse_complement
@@ -117,6 +118,14 @@ def _joined(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     return verified(ours.join(extract(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer"), "kmer").drop("kmer"), refs, keyed, length)
 
 
+def from_index(seeds: DataFrame, refs: DataFrame, queries: DataFrame, length: int, strand: str = "forward") -> DataFrame:
+    """Maximal matches against a reference whose windows were extracted before (``seq_id, pos, kmer``, as saved and loaded)."""
+    keyed = strands(queries, strand).select(F.concat_ws("\t", F.col("strand").cast("string"), "seq_id").alias("seq_id"), "seq")
+    ours = seeds.select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), "kmer")
+    theirs = extract(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer")
+    return verified(ours.join(theirs, "kmer").drop("kmer"), refs, keyed, length)
+
+
 def verified(hits: DataFrame, refs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
     """Matches of hits (``ref_id, way_id, s1, s2``) whose letters are equal; ``keyed`` has the queries by strand and id."""
     found = islands(hits, length)
@@ -170,9 +179,17 @@ def on_forward_strand(matches: DataFrame, queries: DataFrame) -> DataFrame:
     return matches.join(lengths, "qry_id").withColumn("s2", F.when(F.col("strand") < 0, flip(F.col("s2"), F.col("_length"))).otherwise(F.col("s2"))).drop("_length")
 
 
-def find(seqs: DataFrame, pattern: Column) -> DataFrame:
-    """``seq_id, pos`` of the first occurrence of a pattern, where there is one."""
-    return seqs.withColumn("pos", F.instr("seq", pattern).cast("long")).filter("pos > 0").select("seq_id", "pos")
+def find(seqs: DataFrame, pattern: str) -> DataFrame:
+    """``seq_id, pos`` of every occurrence of a pattern, overlapping ones too.
+
+    A sequence is split before each occurrence; where the pieces end is where it occurs.
+    """
+    pieces = F.split("seq", "(?=" + re.escape(pattern) + ")")
+    rows = seqs.filter(F.col("seq").contains(pattern)).select("seq_id", F.startswith("seq", F.lit(pattern)).alias("_first"), pieces.alias("_p"))
+    ends = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(p) + 1)).alias("ends")))["ends"]
+    inner = F.slice(ends, F.lit(1), F.size("_p") - 1)  # the last piece ends the sequence
+    places = F.when(F.col("_first"), F.concat(F.array(F.lit(1).cast("long")), inner)).otherwise(inner)
+    return rows.select("seq_id", F.explode(places).alias("pos"))
 
 
 def self_repeats(seqs: DataFrame, length: int = 20, strand: str = "forward") -> DataFrame:

@@ -110,25 +110,12 @@ def self_repeats_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeats(spark, sf_dir)
 
 
-_TANDEM_SRC = "SELECT {0}::VARCHAR AS id, {1} seq FROM (SELECT p_partkey, repeat(substr(p_type, 1, 1 + (p_partkey % 4)::INT), 3 + (p_partkey % 5)::INT) || p_name AS t FROM part WHERE p_partkey % 10 = 0)"
+_TANDEM_SRC = "SELECT {0}::VARCHAR AS id, {1} seq FROM (SELECT p_partkey, repeat(substr(p_type, 1, 1 + (p_partkey % 4)::INT), 3 + (p_partkey % 5)::INT) || p_name AS t FROM part)"
 
 
-@query(_mem_sql(6, _TANDEM_SRC.format("p_partkey", "lower(t) AS"), _TANDEM_SRC.format("p_partkey", "1 AS strand, lower(t) AS").replace("id, 1", "id, 1")).replace("FROM rk JOIN qk USING (k)", "FROM rk JOIN qk USING (k) WHERE rk.id = qk.id AND s1 < s2")
+@query(_mem_sql(6, _TANDEM_SRC.format("p_partkey", "lower(t) AS"), _TANDEM_SRC.format("p_partkey", "1 AS strand, lower(t) AS")).replace("FROM rk JOIN qk USING (k)", "FROM rk JOIN qk USING (k) WHERE rk.id = qk.id AND s1 < s2")
        + "SELECT seq_id, start, extent, unit, extent / unit AS copies FROM (SELECT ref_id AS seq_id, s1 AS start, s2 + len - s1 AS extent, s2 - s1 AS unit, row_number() OVER (PARTITION BY ref_id, s1 ORDER BY s2) AS n FROM mem WHERE s1 + len >= s2) WHERE n = 1")
 def exact_tandems_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 10 = 0")
-    made = F.lower(F.concat(F.expr("repeat(substring(p_type, 1, cast(1 + p_partkey % 4 AS int)), cast(3 + p_partkey % 5 AS int))"), F.col("p_name")))
-    seqs = part.select(F.col("p_partkey").cast("string").alias("seq_id"), made.alias("seq"))
-    return matches.exact_tandems(matches.self_repeats(seqs, 6))
-
-
-_TANDEM_SRC_WHOLE = _TANDEM_SRC.replace(" WHERE p_partkey % 10 = 0", "")
-
-
-@query(_mem_sql(6, _TANDEM_SRC_WHOLE.format("p_partkey", "lower(t) AS"), _TANDEM_SRC_WHOLE.format("p_partkey", "1 AS strand, lower(t) AS")).replace("FROM rk JOIN qk USING (k)", "FROM rk JOIN qk USING (k) WHERE rk.id = qk.id AND s1 < s2")
-       + "SELECT seq_id, start, extent, unit, extent / unit AS copies FROM (SELECT ref_id AS seq_id, s1 AS start, s2 + len - s1 AS extent, s2 - s1 AS unit, row_number() OVER (PARTITION BY ref_id, s1 ORDER BY s2) AS n FROM mem WHERE s1 + len >= s2) WHERE n = 1")
-def exact_tandems_part_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every row of the table; ``exact_tandems_part`` and its SQL take a tenth of them."""
     made = F.lower(F.concat(F.expr("repeat(substring(p_type, 1, cast(1 + p_partkey % 4 AS int)), cast(3 + p_partkey % 5 AS int))"), F.col("p_name")))
     seqs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("seq_id"), made.alias("seq"))
     return matches.exact_tandems(matches.self_repeats(seqs, 6))
@@ -144,9 +131,9 @@ def cleaned_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("seq_id"), fn.clean_letters(F.col("text")).alias("letters"), fn.nucleotides_only(F.col("text")).alias("bases"))
 
 
-@query("SELECT doc_id::VARCHAR AS seq_id, instr(lower(text), 'the ') AS pos FROM documents WHERE instr(lower(text), 'the ') > 0")
+@query("SELECT seq_id, pos FROM (SELECT doc_id::VARCHAR AS seq_id, lower(text) AS t, unnest(range(1, length(text) - 2)) AS pos FROM documents) WHERE substring(t, pos, 4) = 'the '")
 def find_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.find(table(spark, sf_dir, "documents"), F.lit("the "))
+    return matches.find(table(spark, sf_dir, "documents"), "the ")
 
 
 _TWO = "(floor({0} * 100 + 0.5::DOUBLE) / 100)"
@@ -170,20 +157,10 @@ def coords_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignments(spark, sf_dir).select("aln_id", coords.frame(True, "2").alias("frm2"), coords.frame(True, "1").alias("frm1"))
 
 
-@query(ALN + """SELECT aln_id, CASE WHEN NOT ((x1 OR x2) AND (y1 OR y2)) THEN '' WHEN x1 AND x2 AND y1 AND y2 THEN '[IDENTITY]' WHEN x1 AND y1 THEN '[CONTAINED]' WHEN x2 AND y2 THEN '[CONTAINS]' WHEN x2 THEN '[END]' ELSE '[BEGIN]' END AS annot
-FROM (SELECT aln_id, lo1 <= hang AS x1, l2 <= hang AS x2, hi1 + hang > ref_len AS y1, h2 + hang > qry_len AS y2 FROM (SELECT *, floor(0.05::DOUBLE * (greatest(hi1 - lo1, h2 - l2) + 1))::BIGINT AS hang FROM (
-  SELECT *, CASE WHEN dir1 <> dir2 THEN qry_len - hi2 + 1 ELSE lo2 END AS l2, CASE WHEN dir1 <> dir2 THEN qry_len - lo2 + 1 ELSE hi2 END AS h2 FROM (SELECT * REPLACE (3000::BIGINT AS ref_len, 4000::BIGINT AS qry_len) FROM b WHERE hi1 <= 3000 AND hi2 <= 4000))))""")
-def overlap_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments near the ends of short sequences."""
-    rows = _alignments(spark, sf_dir).filter("hi1 <= 3000 AND hi2 <= 4000").withColumn("ref_len", F.lit(3000).cast("long")).withColumn("qry_len", F.lit(4000).cast("long"))
-    return coords.overlap_annotation(rows).select("aln_id", "annot")
-
-
 @query(ALN + """SELECT aln_id, CASE WHEN NOT ((x1 OR x2) AND (y1 OR y2)) THEN '' WHEN x1 AND x2 AND y1 AND y2 THEN '[IDENTITY]' WHEN x1 AND y1 THEN '[CONTAINED]' WHEN x2 AND y2 THEN '[CONTAINS]' WHEN x2 THEN '[END]' ELSE '[BEGIN]' END AS annot
 FROM (SELECT aln_id, lo1 <= hang AS x1, l2 <= hang AS x2, hi1 + hang > ref_len AS y1, h2 + hang > qry_len AS y2 FROM (SELECT *, floor(0.05::DOUBLE * (greatest(hi1 - lo1, h2 - l2) + 1))::BIGINT AS hang FROM (
   SELECT *, CASE WHEN dir1 <> dir2 THEN qry_len - hi2 + 1 ELSE lo2 END AS l2, CASE WHEN dir1 <> dir2 THEN qry_len - lo2 + 1 ELSE hi2 END AS h2 FROM b)))""")
-def overlap_annotation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every alignment with its own lengths; ``overlap_annotation`` and its SQL take a corner."""
+def overlap_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords.overlap_annotation(_alignments(spark, sf_dir)).select("aln_id", "annot")
 
 
@@ -236,14 +213,12 @@ def position_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("aln_id", "pos", (F.col("con_r") - 1).alias("con_r"))
 
 
-@query(ALN + """, x AS (SELECT *, CASE WHEN max(hi1) OVER w < lo1 OR max(hi1) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY ref_id, qry_id, dir2 ORDER BY lo1, hi1, aln_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY ref_id, qry_id, dir2 ORDER BY lo1, hi1, aln_id ROWS UNBOUNDED PRECEDING) AS run FROM x) SELECT ref_id, qry_id, dir2, min(lo1) AS lo1, max(hi1) AS hi1, min(lo2) AS lo2, max(hi2) AS hi2, count(*) AS merged FROM g GROUP BY ref_id, qry_id, dir2, run""")
+@query()
 def brief_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords.merged(_alignments(spark, sf_dir))
 
 
-@query(ALN + """SELECT aln_id FROM (SELECT *, lag(lo1) OVER w AS a0, lag(hi1) OVER w AS z0, lag(sim) OVER w AS m0, lag(dir2) OVER w AS d0, lead(lo1) OVER w AS a1, lead(hi1) OVER w AS z1, lead(sim) OVER w AS m1, lead(dir2) OVER w AS d1 FROM b WINDOW w AS (PARTITION BY ref_id, qry_id ORDER BY lo1, lo2, aln_id))
-WHERE NOT coalesce(d0 <> dir2 AND (least(z0, hi1) - greatest(a0, lo1) + 1) * 2 >= hi1 - lo1 + 1 AND m0 > sim AND (z0 - a0 + 1) * 4 >= (hi1 - lo1 + 1) * 3, false) AND NOT coalesce(d1 <> dir2 AND (least(z1, hi1) - greatest(a1, lo1) + 1) * 2 >= hi1 - lo1 + 1 AND m1 > sim AND (z1 - a1 + 1) * 4 >= (hi1 - lo1 + 1) * 3, false)""")
+@query()
 def knockout_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords.knockout(_alignments(spark, sf_dir)).select("aln_id")
 
@@ -368,16 +343,24 @@ def many_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.many_to_many(_some_alignments(spark, sf_dir)).select("aln_id", "is_q", "is_r")
 
 
-@query()
+_UNIQUE = """, {name}s AS (SELECT seq, place, sum(step) AS step FROM (SELECT pair AS seq, lo{k} AS place, 1 AS step FROM {rows} UNION ALL SELECT pair, hi{k} + 1, -1 FROM {rows}) GROUP BY seq, place),
+{name}d AS (SELECT seq, place AS lo, lead(place) OVER w - 1 AS hi, sum(step) OVER w AS depth FROM {name}s WINDOW w AS (PARTITION BY seq ORDER BY place)),
+{name} AS (SELECT * FROM {rows} WHERE aln_id IN (SELECT aln_id FROM {rows} b LEFT JOIN {name}d d ON d.seq = b.pair AND d.depth = 1 AND d.lo <= b.hi{k} AND d.hi >= b.lo{k} GROUP BY aln_id, b.lo{k}, b.hi{k} HAVING 100.0::DOUBLE * sum(CASE WHEN d.lo IS NULL THEN 0 ELSE least(d.hi, b.hi{k}) - greatest(d.lo, b.lo{k}) + 1 END) >= 40.0 * (b.hi{k} - b.lo{k} + 1)))"""
+
+
+@query(ALN + ", p AS (SELECT *, ref_id || ':' || qry_id AS pair FROM b)" + _UNIQUE.format(name="u", rows="p", k=1) + _UNIQUE.format(name="v", rows="u", k=2) + "SELECT aln_id FROM v")
 def uniqueness_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.by_uniqueness(filters.by_size(_some_alignments(spark, sf_dir), 99.5, 1200), 50).select("aln_id")
+    """Every alignment; each pair's two sequences count as sequences of their own."""
+    pair = F.concat_ws(":", "ref_id", "qry_id")
+    rows = _some_alignments(spark, sf_dir).withColumn("pair", pair)
+    return filters.by_uniqueness(rows.withColumn("ref_id", F.col("pair")).withColumn("qry_id", F.col("pair")), 40).select("aln_id")
 
 
 @query()
 def tiling_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.operators.tiling import tiling
 
-    return tiling(_some_alignments(spark, sf_dir), max_gap=-1, coverage=1.0, lead=0.0, identity=50.0)
+    return tiling(_some_alignments(spark, sf_dir), max_gap=-1, coverage=60.0, lead=0.1, identity=90.0)
 
 
 #: Text alignment of the planted benchmark passages.
@@ -437,7 +420,12 @@ def difference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(refs, queries, rows)
 
 
-@query()
+_CODES = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_PROTEIN = "array_to_string(list_transform(range({f}, length({s}) - 1, 3), lambda i: substr('" + _CODES + "', ((instr('tcag', substr({s}, i, 1)) - 1) * 16 + (instr('tcag', substr({s}, i + 1, 1)) - 1) * 4 + instr('tcag', substr({s}, i + 2, 1)))::BIGINT, 1)), '')"
+_MASKED = "array_to_string(list_transform(string_split({p}, '*'), lambda x: CASE WHEN length(x) >= 8 THEN x ELSE repeat('X', length(x)) END), 'J')"
+
+
+@query(f"SELECT seq_id, frame, {_MASKED.format(p='p')} AS seq, length(p) AS len FROM (SELECT seq_id, frame, {_PROTEIN.format(f='(frame - 1) % 3 + 1', s='s')} AS p FROM (SELECT item_id::VARCHAR AS seq_id, frame, CASE WHEN frame > 3 THEN {REVCOMP.format('d')} ELSE d END AS s FROM (SELECT item_id, {DNA.format('text')} AS d FROM benchmark), (SELECT unnest(range(1, 7))::INT AS frame)))")
 def six_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.operators.protein import frames
 
@@ -452,11 +440,9 @@ def align_protein_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _protein_options():
-    from dataclasses import replace
-
     from helixframe.operators.extend import PROTEIN
 
-    return replace(PROTEIN, min_match=12, min_cluster=20)
+    return PROTEIN
 
 
 @query()
@@ -496,3 +482,6 @@ def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ids = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").cast("string").alias("seq_id"))
     return extract(table(spark, sf_dir, "documents"), ids).select("seq_id", "len")
+
+
+from helixframe.plans import catalog_formats  # noqa: E402, F401  its queries join those above

@@ -31,8 +31,13 @@ def delta_records(rows: DataFrame) -> DataFrame:
     return pairs.select("ref_id", "qry_id", F.concat_ws("\n", head, F.array_join(F.transform("a", lambda x: x["_one"]), "\n")).alias("line"))
 
 
-def write_delta(rows: DataFrame, path: str, ref_path: str, qry_path: str, type_word: str) -> None:
-    """Delta text ordered by query and reference, its two header lines first: paths, and the word that the reading tool expects for the data type (one with P means protein)."""
+#: The words for the data type in the header of a delta file.
+TYPE_WORDS = {"dna": "NUCMER", "protein": "PROMER"}
+
+
+def write_delta(rows: DataFrame, path: str, ref_path: str, qry_path: str, data_type: str = "dna") -> None:
+    """Delta text ordered by query and reference, its two header lines first: paths, and the word for the data type."""
+    type_word = TYPE_WORDS[data_type]
     head = rows.sparkSession.createDataFrame([("", "", 0, f"{ref_path} {qry_path}\n{type_word}")], "qry_id string, ref_id string, n int, line string")
     body = delta_records(rows).select("qry_id", "ref_id", F.lit(1).alias("n"), "line")
     write_lines(head.unionByName(body), path, "n", "qry_id", "ref_id")
@@ -77,6 +82,15 @@ def coords_lines(shown: DataFrame) -> DataFrame:
     return shown.select("aln_id", _text(*[fixed(F.col(c)) if c in percents else F.col(c) for c in names], sep="\t").alias("line"))
 
 
+def coords_table(shown: DataFrame) -> DataFrame:
+    """Coordinates for people to read: columns of equal width between bars, names last."""
+    wide = lambda c: F.lpad(F.col(c).cast("string"), 8, " ")
+    pairs = [F.concat_ws(" ", wide(a), wide(b)) for a, b in (("s1", "e1"), ("s2", "e2"), ("len1", "len2"))]
+    percents = F.concat_ws(" ", *[F.lpad(fixed(F.col(c)), 8, " ") for c in ("idy", "sim", "stp") if c in shown.columns])
+    more = [F.concat_ws(" ", wide(a), wide(b)) for a, b in (("ref_len", "qry_len"),) if a in shown.columns]
+    return shown.select("aln_id", F.concat_ws("  | ", *pairs, percents, *more, F.concat_ws("\t", "ref_id", "qry_id")).alias("line"))
+
+
 def btab_lines(rows: DataFrame) -> DataFrame:
     """The 21 tab-separated columns of match reports: query first, its ends always ascending, strand words last."""
     nothing = F.lit("")
@@ -88,6 +102,13 @@ def snp_lines(found: DataFrame) -> DataFrame:
     return found.select("aln_id", "p1", _text("p1", "sub_r", "sub_q", "p2", "buff", "dist", "con_r", "con_q", "ref_id", "qry_id", sep="\t").alias("line"))
 
 
+def snp_table(found: DataFrame) -> DataFrame:
+    """Differences for people to read: places around the two letters, distances and names between bars."""
+    places = F.concat(F.lpad(F.col("p1").cast("string"), 8, " "), F.lit("   "), "sub_r", F.lit(" "), "sub_q", F.lit("   "), F.rpad(F.col("p2").cast("string"), 8, " "))
+    distances = F.concat_ws(" ", F.lpad(F.col("buff").cast("string"), 6, " "), F.lpad(F.col("dist").cast("string"), 6, " "))
+    return found.select("aln_id", "p1", F.concat_ws("  | ", places, distances, F.concat_ws("\t", "ref_id", "qry_id")).alias("line"))
+
+
 def feature_lines(features: DataFrame, bare: bool = False) -> DataFrame:
     """Breakpoint rows; ``bare``: only name, kind and ends, for feature files."""
     if bare:
@@ -151,9 +172,9 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 def plot_series(rows: DataFrame, refs: DataFrame, queries: DataFrame, least_identity: float = 0.0) -> DataFrame:
     """``series, x1, y1, x2, y2, similarity``: forward and reverse segments on axes of sequences laid end to end."""
-    from pyspark.sql import Window
+    from helixframe.operators.structure import offsets
 
-    axis = lambda s, name: s.select(F.col("seq_id").alias(name), (F.sum("len").over(Window.partitionBy("seq_set").orderBy("ord")) - F.col("len")).alias(f"_{name}"))
+    axis = lambda s, name: offsets(s).select(F.col("seq_id").alias(name), F.col("offset").alias(f"_{name}"))
     rows = rows.filter(F.col("idy") >= least_identity).join(axis(refs, "ref_id"), "ref_id").join(axis(queries, "qry_id"), "qry_id")
     return rows.select(F.when(F.col("dir2") > 0, "forward").otherwise("reverse").alias("series"), (F.col("_ref_id") + F.col("s1")).alias("x1"), (F.col("_qry_id") + F.col("s2")).alias("y1"), (F.col("_ref_id") + F.col("e1")).alias("x2"), (F.col("_qry_id") + F.col("e2")).alias("y2"), F.col("sim").alias("similarity"))
 

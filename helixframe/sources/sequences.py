@@ -27,13 +27,17 @@ def read_fasta(spark: SparkSession, path: str, seq_set: str = "", clean: str = "
 
 def read_fastq(spark: SparkSession, path: str, seq_set: str = "") -> DataFrame:
     """Records of four-line FASTQ files; a record whose qualities and bases differ in number is an error."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("f"))
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.shiftright(at, 33).alias("_part"), at.alias("_at"))
     from pyspark.sql import Window
 
-    # the lines of one file stay together: a record is four of them in a row
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("n")) - 1)
+    # a record is four lines in a row: each partition's lines of a file are counted, and numbered from where those before end
+    parts = lines.groupBy("f", "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("f").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("f", "_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = lines.join(starts, ["f", "_part"]).select("f", "value", (F.col("_start") + F.col("_at") - F.col("_from")).alias("n"))
     rows = numbered.groupBy("f", F.floor(F.col("n") / 4).alias("ord")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(("head", "bases", "plus", "qual"))])
-    checked = F.when(F.length("bases") == F.length("qual"), F.lower("bases")).otherwise(F.raise_error(F.concat(F.lit("qualities and bases differ: "), "head")).cast("string"))
+    checked = F.when(F.length("bases") == F.length("qual"), F.lower(F.col("bases"))).otherwise(F.raise_error(F.concat(F.lit("qualities and bases differ: "), "head")).cast("string"))
     return rows.select(F.lit(seq_set).alias("seq_set"), F.regexp_extract("head", r"^@\s*(\S+)", 1).alias("seq_id"), "ord", checked.alias("seq"), F.length("bases").cast("long").alias("len"), "qual")
 
 
