@@ -36,6 +36,7 @@ than ``doc_id`` and ``text`` are ignored, and passed through by ``keep_clean``.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -455,14 +456,22 @@ def _calibrated(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, max_rows: int = 4000, max_bytes: int = 20_000) -> Model:
-    """Train on a bounded sample of labelled rows, half of them toxic where there are as many."""
-    sample = labelled_sample(docs, labels, label, folds, fold, max_rows, max_bytes, per_class=True).select("place", "text", "label")
-    found = sample.toArrow().sort_by("place")  # at most ``max_rows`` texts of ``max_bytes``, the driver's only copy once they are words
-    same: dict[str, str] = {}
-    rows = [([same.setdefault(w, w) for w in words_of(t)], y) for t, y in dict.fromkeys(zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True))]
-    del found
+    """Train on a bounded sample of labelled rows, half of them toxic where there are as many.
+
+    One task trains on the whole sample (at most ``max_rows`` texts of ``max_bytes``); the driver gets the model alone.
+    """
     counted = labels.filter(F.col(label).isNotNull() & ~in_fold(F.col("doc_id"), folds, fold)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return train(rows, counted)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((p, t, y) for b in batches for p, t, y in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True))
+        same: dict[str, str] = {}
+        rows = [([same.setdefault(w, w) for w in words_of(t)], y) for t, y in dict.fromkeys((t, y) for _, t, y in found)]
+        del found
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, counted))], pa.binary())], names=["model"])
+
+    sample = labelled_sample(docs, labels, label, folds, fold, max_rows, max_bytes, per_class=True).select("place", "text", "label")
+    made = sample.repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(made.model) if made else train([], counted)
 
 
 def scores(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0) -> DataFrame:
