@@ -85,12 +85,16 @@ def conflict_annotation(rows: DataFrame) -> DataFrame:
     return rows.withColumn("annot", F.coalesce(F.when(a1.isNotNull(), kind), F.lit(""))).drop("_lo1", "_hi1", "_lo2", "_hi2")
 
 
+#: Stretches that are walked together.
+RUNS = 4096
+
+
 def _runs(rows: DataFrame) -> DataFrame:
-    """Add ``_run``: stretches of a pair's alignments that no alignment crosses on the reference; what is decided inside one touches no other."""
+    """Add ``_run``: numbers of groups of ``RUNS`` stretches of a pair's alignments that no alignment crosses on the reference; what is decided inside one touches no other."""
     step = Window.partitionBy("ref_id", "qry_id").orderBy("lo1", "lo2", "aln_id")
     reach = F.max("hi1").over(step.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.coalesce((F.col("lo1") > reach).cast("int"), F.lit(1)))
-    return rows.withColumn("_run", F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return rows.withColumn("_run", F.floor(F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0)) / RUNS)).drop("_new")
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -137,7 +141,8 @@ def knockout(rows: DataFrame) -> DataFrame:
         for i in range(len(part)):
             if out[i]:
                 continue
-            j = np.flatnonzero((np.arange(len(part)) > i) & (lo1 <= hi1[i]) & ~out & (way == way[i]))
+            j = np.arange(i + 1, np.searchsorted(lo1, hi1[i], "right"))
+            j = j[~out[j] & (way[j] == way[i])]
             over1, over2 = hi1[i] - lo1[j] + 1, np.minimum(hi2[i], hi2[j]) - np.maximum(lo2[i], lo2[j]) + 1
             j = j[(over1 >= RIVAL_OVERLAP * np.minimum(one[i], one[j])) & (over2 >= RIVAL_OVERLAP * np.minimum(two[i], two[j]))]
             wins = (sim[i] > sim[j]) & (one[i] >= RIVAL_LENGTH * one[j]) & (two[i] >= RIVAL_LENGTH * two[j])

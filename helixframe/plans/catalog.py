@@ -360,7 +360,7 @@ def uniqueness_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiling_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.operators.tiling import tiling
 
-    return tiling(_some_alignments(spark, sf_dir), max_gap=-1, coverage=60.0, lead=0.1, identity=90.0)
+    return tiling(_some_alignments(spark, sf_dir), max_gap=-1, coverage=3.0, lead=0.1, identity=90.0)
 
 
 #: Text alignment of the planted benchmark passages.
