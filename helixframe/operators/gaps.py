@@ -40,10 +40,12 @@ def annotate(chained: DataFrame, refs: DataFrame, queries: DataFrame) -> DataFra
     order = Window.partitionBy("ref_id", "qry_id", "strand", "cluster_id").orderBy("ord")
     rows = chained.withColumn("_e1", F.lag(F.col("s1") + F.col("len")).over(order)).withColumn("_e2", F.lag(F.col("s2") + F.col("len")).over(order))
     rows = rows.withColumn("gap1", F.col("s1") - F.col("_e1")).withColumn("gap2", F.col("s2") - F.col("_e2"))
-    rows = rows.join(refs.select(F.col("seq_id").alias("ref_id"), F.col("seq").alias("_r")), "ref_id").join(queries.select(F.col("seq_id").alias("qry_id"), F.col("seq").alias("_f")), "qry_id")
-    turned = F.when(F.col("strand") < 0, F.reverse(F.translate("_f", "acgt", "tgca"))).otherwise(F.col("_f"))
     between = lambda seq, start, gap: F.when(F.col(gap) > 0, F.substring(seq, F.col(start).cast("int"), F.col(gap).cast("int"))).otherwise("")
-    rows = rows.withColumn("_a", between(F.col("_r"), "_e1", "gap1")).withColumn("_b", between(turned, "_e2", "gap2")).drop("_r", "_f", "_e1", "_e2")
+    # what lies between is cut out of one sequence before the other is met
+    rows = rows.join(refs.select(F.col("seq_id").alias("ref_id"), F.col("seq").alias("_r")), "ref_id").withColumn("_a", between(F.col("_r"), "_e1", "gap1")).drop("_r", "_e1")
+    rows = rows.join(queries.select(F.col("seq_id").alias("qry_id"), F.col("seq").alias("_f")), "qry_id")
+    turned = F.when(F.col("strand") < 0, F.reverse(F.translate("_f", "acgt", "tgca"))).otherwise(F.col("_f"))
+    rows = rows.withColumn("_b", between(turned, "_e2", "gap2")).drop("_f", "_e2")
     schema = rows.drop("_a", "_b").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,13 +58,13 @@ def stretch(seq: str, start: int, end: int) -> str:
 
 def with_sequences(rows: DataFrame, refs: DataFrame, queries: DataFrame) -> DataFrame:
     """Add ``ref_seq`` and ``qry_seq``: the aligned stretches, cut out before they are moved on."""
-    rows = rows.join(refs.select(F.col("seq_id").alias("ref_id"), F.col("seq").alias("_r")), "ref_id").join(queries.select(F.col("seq_id").alias("qry_id"), F.col("seq").alias("_q")), "qry_id")
     cut = lambda seq, s, e: F.substring(seq, F.least(s, e).cast("int"), (F.abs(F.col(e) - F.col(s)) + 1).cast("int"))
     turned = lambda x: F.reverse(F.translate(x, "acgtryswmkbdhvACGTRYSWMKBDHV", "tgcayrswkmvhdbTGCAYRSWKMVHDB"))
-    for side, seq in (("1", "_r"), ("2", "_q")):
-        part = cut(seq, f"s{side}", f"e{side}")
-        rows = rows.withColumn("ref_seq" if side == "1" else "qry_seq", F.when(F.col(f"s{side}") <= F.col(f"e{side}"), part).otherwise(turned(part)))
-    return rows.drop("_r", "_q")
+    for k, seqs, key, name in (("1", refs, "ref_id", "ref_seq"), ("2", queries, "qry_id", "qry_seq")):
+        part = cut("_whole", f"s{k}", f"e{k}")
+        met = rows.join(seqs.select(F.col("seq_id").alias(key), F.col("seq").alias("_whole")), key)
+        rows = met.withColumn(name, F.when(F.col(f"s{k}") <= F.col(f"e{k}"), part).otherwise(turned(part))).drop("_whole")
+    return rows
 
 
 DIFFERENCES = "aln_id long, ref_id string, qry_id string, p1 long, p2 long, sub_r string, sub_q string, col long, ctx_r string, ctx_q string"

@@ -396,3 +396,25 @@ def vcf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mam_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches.maximal_matches(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), DNA_MATCH)
     return matches.reference_unique(found)
+
+
+@query()
+def preset_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.plans.align import anchored
+
+    return anchored(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), "reference")
+
+
+@query()
+def preset_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.plans.align import anchored
+
+    return anchored(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), "unique")
+
+
+@query()
+def regions_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.gaps import regions
+    from helixframe.plans.align import anchored
+
+    return regions(anchored(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), "reference"))
