@@ -9,7 +9,7 @@ similarity 0.8 exceeds with a chance of 0.002 and a pair of 0.85 with less than
 is linked only if its exact Jaccard similarity is at least ``least``.
 
 Most of a large group of copies is connected before trees are searched: each text is held against
-one member of its largest shard, then against one of each shard. Trees are then searched only from the texts
+one member of each of its shards, another one in each. Trees are then searched only from the texts
 that are not in the shard's largest component, and only for texts of other components. Pairs are
 verified in blocks of texts of bounded size that share partners, so that no text's shingles travel
 once for each pair.
@@ -187,19 +187,16 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     keyed = sketches.select("vertex", "size", F.explode("keys").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("vertex", "key"), "vertex"))["vertex"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(join_counted(keyed, buckets, "key", "n", keyed.count()))
-    alike = members.groupBy("vertex").agg(F.max(F.struct("n", "key", "hub")).alias("h"), F.first("size").alias("size"))
-    alike = cut(alike.select("vertex", "size", F.col("h.key").alias("home"), F.col("h.hub").alias("hub")))
+    alike = members.groupBy("vertex").agg(F.max(F.struct("n", "key")).alias("h"), F.first("size").alias("size"))
+    alike = cut(alike.select("vertex", "size", F.col("h.key").alias("home")))
     spread = alike.groupBy("home").agg(_parts(F.sum("size") * 8).alias("parts"), F.count(F.lit(1)).alias("count"))
     homes = join_counted(alike, spread, "home", "count", alike.count())
     homes = cut(homes.select("vertex", "size", F.xxhash64("home", F.pmod(F.xxhash64("vertex"), F.col("parts"))).alias("block")))
     one = sketches.select("node", "vertex").join(homes.select("vertex"), "vertex", "left_semi").groupBy("vertex").agg(F.min("node").alias("node"))
     sets = cut(texts.join(one, "node").dropDuplicates(["node"]).select("vertex", "text").mapInArrow(_sets(shingle), "vertex long, set binary"))
 
-    links = cut(similar(alike.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")), sets, homes, least))
     star = members.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()
-    found = components(links)
-    star = _rooted(_rooted(star, found, "a", "root_a"), found, "b", "root_b").filter("root_a != root_b").select("a", "b")
-    links = cut(links.unionByName(similar(star, sets, homes, least)))
+    links = cut(similar(star, sets, homes, least))
     rooted = _rooted(members.select("key", "vertex"), components(links), "vertex", "root")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", "n")
     prints = sketches.select("vertex", "fp").dropDuplicates(["vertex"])
