@@ -10,12 +10,11 @@ interval containment with running maxima, never by joining matches with each oth
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import flip, reverse_complement
@@ -179,13 +178,15 @@ def on_forward_strand(matches: DataFrame, queries: DataFrame) -> DataFrame:
     return matches.join(lengths, "qry_id").withColumn("s2", F.when(F.col("strand") < 0, flip(F.col("s2"), F.col("_length"))).otherwise(F.col("s2"))).drop("_length")
 
 
-def find(seqs: DataFrame, pattern: str) -> DataFrame:
-    """``seq_id, pos`` of every occurrence of a pattern, overlapping ones too.
+def find(seqs: DataFrame, pattern: str | Column) -> DataFrame:
+    """``seq_id, pos`` of every occurrence of a pattern (a text or a column of texts), overlapping ones too.
 
     A sequence is split before each occurrence; where the pieces end is where it occurs.
     """
-    pieces = F.split("seq", "(?=" + re.escape(pattern) + ")")
-    rows = seqs.filter(F.col("seq").contains(pattern)).select("seq_id", F.startswith("seq", F.lit(pattern)).alias("_first"), pieces.alias("_p"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    quoted = F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pieces = F.split("seq", F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
+    rows = seqs.filter(F.col("seq").contains(pattern)).select("seq_id", F.startswith("seq", pattern).alias("_first"), pieces.alias("_p"))
     ends = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")), lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(p) + 1)).alias("ends")))["ends"]
     inner = F.slice(ends, F.lit(1), F.size("_p") - 1)  # the last piece ends the sequence
     places = F.when(F.col("_first"), F.concat(F.array(F.lit(1).cast("long")), inner)).otherwise(inner)

@@ -100,3 +100,12 @@ def test_empty_tables(spark):
     assert matches.maximal_matches(none, frame(spark, {"q": "acgt"}), 2).count() == 0
     assert matches.maximal_matches(frame(spark, {"q": "acgt"}), none, 2).count() == 0
     assert matches.find(frame(spark, {"q": "acgt"}), F.lit("gt")).first().pos == 3
+
+
+@pytest.mark.parametrize("pattern", ["gt", "aa", "a.", "\\E", "\\Q", "(", "$"])
+def test_find_takes_texts_and_columns(spark, pattern):
+    rows = frame(spark, {"q": "acgt", "r": "aaaa.a.", "s": "x\\Ey\\E\\Q(($", "t": "", "u": pattern})
+    want = sorted((r.seq_id, i + 1) for r in rows.collect() for i in range(len(r.seq)) if r.seq.startswith(pattern, i))
+    for given in (pattern, F.lit(pattern), F.col("pattern")):
+        found = matches.find(rows.withColumn("pattern", F.lit(pattern)), given)
+        assert sorted((r.seq_id, r.pos) for r in found.collect()) == want
