@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -109,16 +108,19 @@ def _sets(shingle: int):
 
 
 def _verifier(least: float):
-    def run(key: tuple, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        known = {v: np.frombuffer(s, "<u8") for v, s in zip(sets.vertex, sets.set, strict=True)}
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        known = {v: np.frombuffer(s, "<u8") for v, s in zip(sets["vertex"].to_pylist(), sets["set"].to_pylist(), strict=True)}
         out: list[tuple[int, int]] = []
-        for a, partners in pairs.groupby("a").b:
+        asked: dict[int, list[int]] = {}
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            asked.setdefault(a, []).append(b)
+        for a, partners in asked.items():
             mine = known[a]
             fit = [b for b in partners if min(len(mine), len(known[b])) >= least * max(len(mine), len(known[b]))]
             if fit:
                 found = similarities(mine, [known[b] for b in fit])
                 out += [(a, b) for b, s in zip(fit, found, strict=True) if s >= least]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -140,7 +142,7 @@ def similar(pairs: DataFrame, sets: DataFrame, homes: DataFrame, least: float) -
     needed = here.select("block", "chunk", F.col("a").alias("vertex")).unionByName(here.select("block", "chunk", F.col("b").alias("vertex"))).distinct()
     loaded = needed.join(sets, "vertex")
     pairs_of = here.toDF("pairs_block", "pairs_chunk", "a", "b")
-    return loaded.groupBy("block", "chunk").cogroup(pairs_of.groupBy("pairs_block", "pairs_chunk")).applyInPandas(_verifier(least), "a long, b long")
+    return loaded.groupBy("block", "chunk").cogroup(pairs_of.groupBy("pairs_block", "pairs_chunk")).applyInArrow(_verifier(least), "a long, b long")
 
 
 def _searched(radius: int):

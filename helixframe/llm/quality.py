@@ -19,6 +19,7 @@ gives an empty result; columns other than ``doc_id`` and ``text`` are ignored, a
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,17 +106,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, fold: int = 1, max_rows: int = 6000, max_bytes: int = 20_000, bits: int = BITS, epochs: int = 3) -> Model:
-    """Train on a bounded sample of labelled rows."""
+    """Train on a bounded sample of labelled rows.
+
+    One task learns from all their features; the driver gets the model alone.
+    """
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.unique(features(t, bits), return_counts=True) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary())], names=["place", "label", "idx", "counts"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(x for b in batches for x in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 1)], strict=True))
+        rows = [(np.frombuffer(i, "<u4"), np.frombuffer(c, "<u4").astype(float), y) for _, i, c, y in found]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, bits, epochs))], pa.binary())], names=["model"])
+
     sample = labelled_sample(docs, labels, label, folds, fold, max_rows, max_bytes).select("place", "text", "label")
-    found = sample.mapInArrow(featurise, "place long, label int, idx binary, counts binary").toArrow().sort_by("place")
-    rows = [(np.frombuffer(i, "<u4"), np.frombuffer(c, "<u4").astype(float), y) for y, i, c in zip(*[found.column(k).to_pylist() for k in (1, 2, 3)], strict=True)]
-    return train(rows, bits, epochs)
+    made = sample.mapInArrow(featurise, "place long, label int, idx binary, counts binary").repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(made.model) if made else train([], bits, epochs)
 
 
 def scores(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ small however many fingerprints there are). A shard of at most ``tree_size`` fin
 BK-tree whose edges carry the integer Hamming distance to the parent; a search follows only the
 edges within the radius. A larger shard is several trees, and each tree is also searched with the
 members of its sister trees, and a tree is built but once for all sisters that travel with it. Trees give a spanning set of links, not all pairs, and connected
-components are found by alternating star contraction.
+components are found by contraction within tasks, then by alternating star contraction between them.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts with
 fewer words than a shingle count as one shingle; repeated shingles vote repeatedly; very long texts are
@@ -34,6 +34,8 @@ BITS = 64
 SEED = 42
 #: Hashes whose bits are spread out at once.
 VOTES = 1 << 16
+#: Links that one task contracts by itself.
+CONTRACTED = 1 << 19
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -168,15 +170,36 @@ def near_links(distinct: DataFrame, radius: int = 3, tree_size: int = 1024) -> D
     return inner.unionByName(across).mapInArrow(_linked(radius), "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of this task's links with the smallest node that they reach from it."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above := root.setdefault(x, x)) != x:
+            root[x] = x = root[above]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (a := top(u)) != (b := top(v)):
+                root[max(a, b)] = min(a, b)
+    found = [(x, t) for x in list(root) if (t := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def components(links: DataFrame, rounds: int = 60, at_once: int = CONTRACTED) -> DataFrame:
     """``node``, ``root``: each linked node with the smallest node that it reaches, itself included.
 
-    Alternating large-star and small-star contraction; links are only counted and hashed by the
-    driver. It ends when a round changes nothing.
+    Tasks contract ``at_once`` links each to stars; what more than one task gives is joined by
+    alternating large-star and small-star contraction, until a round changes nothing. Links are only
+    counted and hashed by the driver, whose plans are few as long as one task does.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"))
     size, state = edges.count(), None
-    for _ in range(rounds):
+    tasks = max(1, -(-size // at_once))
+    # deal out anew only what is many tasks' work: coalesced partitions keep no bound on their rows
+    edges = cut((edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)).mapInArrow(_contracted, "u long, v long"))
+    for _ in range(rounds if tasks > 1 else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -188,7 +211,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         state = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if tasks > 1:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -164,6 +164,13 @@ def test_ftrl_learns_and_is_sparse():
     assert w[3] > 1 and w[3] == w[:50].max()
 
 
+def test_quality_is_not_learned_on_the_driver(spark, tables, monkeypatch):
+    docs, labels = [spark.read.parquet(f"{tables[0]}/{t}.parquet") for t in ("documents", "labels")]
+    monkeypatch.setattr(quality, "train", lambda rows, bits, epochs: (os.getpid(), len(rows)))
+    pid, rows = quality.fit(docs, labels)
+    assert pid != os.getpid() and rows > 200
+
+
 def test_pipeline(spark, tables):
     home, truth, _ = tables
     docs = spark.read.parquet(f"{home}/documents.parquet")

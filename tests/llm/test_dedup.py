@@ -76,6 +76,22 @@ def test_components_of_a_long_chain(spark):
     assert {found[i] for i in range(61)} == {0} and found[-5] == found[-9] == -9
 
 
+def test_components_within_one_task_and_between_tasks(spark):
+    rng = random.Random(8)
+    nodes = rng.sample(range(-10_000, 10_000), 400)
+    chains = [nodes[:250], nodes[250:390], nodes[390:]]
+    pairs = [(a, b) for c in chains for a, b in zip(c, c[1:])]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {x: min(c) for c in chains for x in c}
+    spark.sparkContext.setJobGroup("components", "")
+    assert {r.node: r.root for r in simhash.components(links).collect()} == want
+    # the driver's plans don't grow with the length of the chains
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 10
+    spark.sparkContext.setJobGroup("others", "")
+    assert {r.node: r.root for r in simhash.components(links, at_once=40).collect()} == want
+
+
 def test_keep_one_keeps_columns(odd, odd_rows):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
