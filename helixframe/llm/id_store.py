@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ WINDOW = 16
 LEAST, MASK, GREATEST = 64, 255, 1024
 #: Segments whose ids a worker remembers before it starts afresh.
 REMEMBERED = 1 << 19
+#: Texts that are encoded at once.
+ENCODED = 2048
 #: Letters of Latin-1 and then other signs, but no apostrophe: two pre-tokens, the first one the same in either case.
 STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -127,17 +130,25 @@ def _encode_stems(words: list[str], path: str) -> dict[str, bytes]:
     return {w: data[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str] | pa.Array, path: str) -> list[bytes]:
     """The ids of whole texts as 16-bit little-endian strings, without special tokens being added."""
     known = _segments.setdefault(path, {})
     if len(known) >= REMEMBERED:
         known.clear()
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    whole = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    parts = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
+    numbered = parts.flatten().dictionary_encode()
+    # words of ASCII letters have their ids by their lower-cased form, found without a look at each of them
+    words = numbered.dictionary
+    plain = pc.and_(pc.utf8_is_alpha(words), pc.string_is_ascii(words))
+    folded = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
+    distinct = folded.dictionary.to_pylist()
     split, stems, others = {}, set(), set()
-    for p in set().union(*parts).difference(known):
+    for p in distinct:
+        if p in known:
+            continue
         if p.isalpha() and p.isascii():
-            split[p] = p.lower(), ""
-            stems.add(split[p][0])
+            stems.add(p)
         elif m := STEM.fullmatch(p):
             split[p] = m[1].lower(), m[2]
             stems.add(split[p][0])
@@ -155,7 +166,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             known[x] = struct.pack(f"<{len(ids)}H", *ids)
     for p, (stem, rest) in split.items():
         known[p] = known[stem] + known[rest] if rest else known[stem]
-    return [b"".join(map(known.__getitem__, some)) for some in parts]
+    # the distinct parts' ids once, and each part's place among them
+    held = [known[p] for p in distinct]
+    table, sizes = np.frombuffer(b"".join(held), "<u2"), np.fromiter(map(len, held), np.int64, len(held)) // 2
+    which = folded.indices.to_numpy()[numbered.indices.to_numpy()]
+    n = sizes[which]
+    ends = np.cumsum(n)
+    ids = table[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(int(n.sum()))]
+    bounds = (2 * np.concatenate([[0], ends])[parts.offsets.to_numpy()]).tolist()
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -206,9 +226,9 @@ def cut_documents(docs: DataFrame, vocabulary: str, cuts: list[int], end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u2").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                data = [d + end for d in encode(b.column(2).to_pylist(), vocabulary)]
+            for at in range(0, whole.num_rows, ENCODED):
+                b = whole.slice(at, ENCODED)
+                data = [d + end for d in encode(b.column(2), vocabulary)]
                 lengths, digests = [], []
                 for d in data:
                     ends = chunk_ends(np.frombuffer(d, "<u2"))

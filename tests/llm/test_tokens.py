@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -136,6 +137,15 @@ def test_store_encoding_is_the_library():
     assert [np.frombuffer(b, "<u2").tolist() for b in id_store.encode(texts, WORDS)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_store_encodes_slices_of_arrow_columns():
+    tok = Tokenizer.from_file(WORDS)
+    texts = ["left out", "Straße STRASSE straße", "", "  Ab aB\n\nAB ab ", "<|endoftext|> <|ENDOFTEXT|>", "don't DON'T İI K x.Y,z", "漢字é É", "left out"]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string())):
+        found = id_store.encode(column.slice(1, 6), WORDS)
+        assert [np.frombuffer(b, "<u2").tolist() for b in found] == [tok.encode(t, add_special_tokens=False).ids for t in texts[1:7]]
+    assert id_store.encode(pa.array([], pa.string()), WORDS) == []
+
+
 def test_chunks_are_found_again_after_an_insertion():
     ids = np.random.default_rng(6).integers(0, 40_000, 20_000).astype("<u2")
 
