@@ -10,9 +10,13 @@ is linked only if its exact Jaccard similarity is at least ``least``.
 
 Most of a large group of copies is connected before trees are searched: each text is held against
 one member of each of its shards, another one in each. Trees are then searched only from the texts
-that are not in the shard's largest component, and only for texts of other components. Pairs are
-verified in blocks of texts of bounded size that share partners, so that no text's shingles travel
-once for each pair.
+that are not in the shard's largest component, and only for texts of other components. No row is made
+for a pair that a search finds: of each shard come the texts that have a partner there, and these are
+verified together, in tasks of bounded size, which give no more links than connect what is similar. A
+partner is one within the radius that may be similar by the parities of its shingles: sets differ in at
+least as many shingles as their ``odd`` bits do, so that no similar pair is lost by them. A pair counts in
+the first shard only that it shares. Pairs of the first step, at most ``BANDS`` a text, are verified in
+blocks of texts of bounded size that share partners, so that no text's shingles travel once for each pair.
 
 Defined results: null and empty texts are alike; texts with fewer words than a shingle are one
 shingle; A-Z is lower-cased, words are split at ASCII white space; texts of equal sets of shingles are
@@ -31,13 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import cut, join_counted
+from helixframe.llm._shared import HOT_SHARE, cut, join_counted
 from helixframe.llm.simhash import SEED, BKTree, components
 
 BANDS, ROWS = 24, 4
 #: Bits of a fingerprint, and bits that a link may differ in.
 WIDE, RADIUS = 512, 101
 TREE = 1024
+#: Cells whose parities are held against each other.
+ODD = 2048
 #: Shingles that are mixed at once.
 BLOCK = 4096
 #: Bytes of shingle sets that are verified against each other at once, on each side.
@@ -73,6 +79,21 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     return keys, np.packbits(votes * 2 > len(hashes)).tobytes()
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of ``ODD`` cells: whether the number of hashes in it is odd. Sets differ in as many hashes at least as their bits."""
+    cells = _mixed(hashes, np.array([0x9E3779B97F4A7C15], np.uint64), 0).reshape(-1) >> np.uint64(65 - ODD.bit_length())
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=ODD) & 1).tobytes()
+
+
+def _differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64)
+
+
+def _fits(differ: np.ndarray, one: int, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes that differ in ``differ`` hashes at least can be similar."""
+    return np.maximum(differ, np.abs(others - one)) * (1 + least) <= (others + one) * (1 - least) + 1e-6
+
+
 def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Exact Jaccard similarities of sorted sets."""
     sizes = np.array([len(x) for x in others])
@@ -86,14 +107,26 @@ def _node() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``join_counted`` for a small written ``table`` that has few of the keys: hot keys, fewer than ``HOT_SHARE``, are named in a filter, so that no other row goes through their join."""
+    hot = table.filter(F.col(count) * HOT_SHARE > total)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(table, key)
+    own = [c for c in table.columns if c != key]
+    at_once = rows.filter(F.col(key).isin(keys)).join(F.broadcast(hot.withColumnRenamed(key, "_hot_key")), F.col(key) == F.col("_hot_key"))
+    rest = rows.filter(~F.col(key).isin(keys)).join(table.filter(~F.col(key).isin(keys)), key)
+    return at_once.select(*rows.columns, *own).unionByName(rest.select(*rows.columns, *own))
+
+
 def _sketched(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             made = [sketch(x) for x in sets]
             vertex = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-            columns = [b.column(0), pa.array(vertex, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([f for _, f in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "vertex", "size", "keys", "fp"])
+            columns = [b.column(0), pa.array(vertex, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([f for _, f in made], pa.binary()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "vertex", "size", "keys", "fp", "odd"])
 
     return run
 
@@ -145,37 +178,123 @@ def similar(pairs: DataFrame, sets: DataFrame, homes: DataFrame, least: float) -
     return loaded.groupBy("block", "chunk").cogroup(pairs_of.groupBy("pairs_block", "pairs_chunk")).applyInArrow(_verifier(least), "a long, b long")
 
 
+def _found(members: list[bytes], asking: list[bytes], radius: int) -> Iterator[list[int]]:
+    """For each fingerprint of ``asking`` the places in ``members`` within ``radius``."""
+    by_value: dict[int, list[int]] = {}
+    for i, fp in enumerate(members):
+        by_value.setdefault(int.from_bytes(fp, "big"), []).append(i)
+    tree = BKTree(list(by_value))
+    for fp in asking:
+        yield [i for at in tree.search(int.from_bytes(fp, "big"), radius) for i in by_value[tree.values[at]]]
+
+
 def _searched(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: set[tuple[int, int]] = set()
-            for members, asking in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_value: dict[int, list[dict]] = {}
-                for m in members:
-                    by_value.setdefault(int.from_bytes(m["fp"], "big"), []).append(m)
-                tree = BKTree(list(by_value))
-                for q in asking:
-                    for at in tree.search(int.from_bytes(q["fp"], "big"), radius):
-                        for m in by_value[tree.values[at]]:
-                            if m["root"] != q["root"]:
-                                out.add((min(q["vertex"], m["vertex"]), max(q["vertex"], m["vertex"])))
+            for members, asking in zip(batch.column("members").to_pylist(), batch.column("asking").to_pylist(), strict=True):
+                for q, near in zip(asking, _found([m["fp"] for m in members], [q["fp"] for q in asking], radius), strict=True):
+                    out.update((min(q["vertex"], m["vertex"]), max(q["vertex"], m["vertex"])) for m in map(members.__getitem__, near) if m["root"] != q["root"])
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def searched(members: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
-    """Pairs of different components within ``radius`` in one shard; ``members`` have ``key, vertex, fp, root``, vertices of one shard of more than one component only."""
+def _met(members: DataFrame, tree_size: int) -> DataFrame:
+    """``key, members, asking``: each tree of a shard with each part of the texts that search it; ``members`` have ``key, vertex, fp, root`` and what else is to travel."""
     counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = cut(counts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     dealt = join_counted(members, sizes, "key", "n", total)
     parts = F.ceil(F.col("n") / tree_size).cast("int")
-    dealt = dealt.withColumn("tree", F.pmod(F.xxhash64("vertex"), parts).cast("int")).withColumn("m", F.struct("vertex", "fp", "root"))
+    dealt = dealt.withColumn("tree", F.pmod(F.xxhash64("vertex"), parts).cast("int")).withColumn("m", F.struct(*[c for c in members.columns if c != "key"]))
     trees = dealt.groupBy("key", "tree").agg(F.collect_list("m").alias("members"))
     asking = dealt.filter("root != main").groupBy("key", F.col("tree").alias("part")).agg(F.collect_list("m").alias("asking"))
-    met = trees.join(asking, "key").repartition(F.col("key"), F.col("tree"), F.col("part"))
-    return met.select("members", "asking").mapInArrow(_searched(radius), "a long, b long").distinct()
+    return trees.join(asking, "key").repartition(F.col("key"), F.col("tree"), F.col("part")).select("key", "members", "asking")
+
+
+def searched(members: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """Pairs of different components within ``radius`` in one shard; ``members`` have ``key, vertex, fp, root``, vertices of one shard of more than one component only.
+
+    All pairs, whose number grows with the square of a shard: ``classes`` takes ``promising`` and ``linked`` instead.
+    """
+    return _met(members, tree_size).mapInArrow(_searched(radius), "a long, b long").distinct()
+
+
+def _promising(radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+            for at, key in enumerate(batch.column("key").to_pylist()):
+                sides = []
+                for side in ("members", "asking"):
+                    structs = batch.column(side)[at].values
+                    of = dict(zip([f.name for f in structs.type], structs.flatten(), strict=True))
+                    fps, odd = of["fp"].to_pylist(), np.frombuffer(b"".join(of["odd"].to_pylist()), np.uint64).reshape(len(structs), -1)
+                    keys = of["keys"].flatten().to_numpy().reshape(len(structs), -1)
+                    sides.append((of["vertex"].to_numpy(), of["root"].to_numpy(), of["size"].to_numpy(), fps, odd, keys))
+                (vertex, root, size, fps, odd, keys), asking = sides
+                for (v, r, n, fp, bits, shards), found in zip(zip(*asking, strict=True), _found(fps, asking[3], radius), strict=True):
+                    near = np.array(found, np.int64)
+                    near = near[root[near] != r]
+                    near = near[_fits(_differing(bits, odd[near]), n, size[near], least)]
+                    near = near[shards[(keys[near] == shards).argmax(axis=1)] == key]
+                    for i in near:
+                        out[key, int(vertex[i])] = int(root[i]), int(size[i]), fps[i]
+                    if len(near):
+                        out[key, int(v)] = int(r), int(n), fp
+            columns = [[k for k, _ in out], [v for _, v in out], *[[x[i] for x in out.values()] for i in range(3)]]
+            types = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "vertex", "root", "size", "fp"])
+
+    return run
+
+
+def promising(members: DataFrame, least: float, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """``key, vertex, root, size, fp``: the ``members`` (with ``size, odd, keys`` too) that have a partner of another component in the shard, once a shard."""
+    return _met(members, tree_size).mapInArrow(_promising(radius, least), "key long, vertex long, root long, size long, fp binary").distinct()
+
+
+def _linker(radius: int, least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        asks, vertex, size = (rows[c].to_numpy() for c in ("asks", "vertex", "size"))
+        component = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(s, "<u8") for s in rows["set"].to_pylist()]
+        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(len(sets), -1)
+        odd = np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(len(sets), -1)
+        held, out = np.flatnonzero(~asks), []
+        for q in np.flatnonzero(asks):
+            near = held[component[held] != component[q]]
+            near = near[_differing(fps[q], fps[near]) <= radius]
+            differ = _differing(odd[q], odd[near])
+            fit = _fits(differ, size[q], size[near], least)
+            near = near[fit][np.argsort(differ[fit], kind="stable")]
+            at_once = 1
+            while len(near):
+                some, near = near[:at_once], near[at_once:]
+                for m in some[similarities(sets[q], [sets[i] for i in some]) >= least]:
+                    if component[m] != component[q]:
+                        out.append((int(vertex[q]), int(vertex[m])))
+                        component[component == component[m]] = component[q]
+                near = near[component[near] != component[q]]
+                at_once *= 2
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def linked(found: DataFrame, sets: DataFrame, least: float, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """Similar pairs ``a, b`` that connect the components of ``promising`` texts in their shards; a task gives less links than it has components."""
+    counts = found.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    parts = F.greatest(_parts(F.col("all") * 8), F.ceil(F.col("n") / tree_size).cast("int"))
+    sizes = sizes.select("key", "n", "main", parts.alias("parts"))
+    placed = join_counted(found, sizes, "key", "n", found.count()).withColumn("own", _dealt("vertex", "parts"))
+    every, rest = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), ["vertex", "root", "size", "fp"]
+    members = placed.select("key", F.col("own").alias("tree"), every.alias("part"), F.lit(False).alias("asks"), *rest)
+    asking = placed.filter("root != main").select("key", every.alias("tree"), F.col("own").alias("part"), F.lit(True).alias("asks"), *rest)
+    loaded = members.unionByName(asking).join(sets, "vertex")
+    return loaded.groupBy("key", "tree", "part").applyInArrow(_linker(radius, least), "a long, b long")
 
 
 def _rooted(rows: DataFrame, found: DataFrame, vertex: str, root: str) -> DataFrame:
@@ -185,10 +304,10 @@ def _rooted(rows: DataFrame, found: DataFrame, vertex: str, root: str) -> DataFr
 def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``node, root``: every text's hash with its component's."""
     texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = cut(texts.mapInArrow(_sketched(shingle), "node long, vertex long, size long, keys array<long>, fp binary"))
+    sketches = cut(texts.mapInArrow(_sketched(shingle), "node long, vertex long, size long, keys array<long>, fp binary, odd binary"))
     keyed = sketches.select("vertex", "size", F.explode("keys").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("vertex", "key"), "vertex"))["vertex"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(join_counted(keyed, buckets, "key", "n", keyed.count()))
+    members = cut(_joined(keyed, cut(buckets), "key", "n", keyed.count()))
     alike = members.groupBy("vertex").agg(F.max(F.struct("n", "key")).alias("h"), F.first("size").alias("size"))
     alike = cut(alike.select("vertex", "size", F.col("h.key").alias("home")))
     spread = alike.groupBy("home").agg(_parts(F.sum("size") * 8).alias("parts"), F.count(F.lit(1)).alias("count"))
@@ -201,9 +320,9 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     links = cut(similar(star, sets, homes, least))
     rooted = _rooted(members.select("key", "vertex"), components(links), "vertex", "root")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", "n")
-    prints = sketches.select("vertex", "fp").dropDuplicates(["vertex"])
+    prints = sketches.select("vertex", "size", "fp", "odd", "keys").dropDuplicates(["vertex"])
     rest = cut(join_counted(rooted, mixed, "key", "n", members.count()).select("key", "vertex", "root").join(prints, "vertex"))
-    links = links.unionByName(similar(searched(rest), sets, homes, least))
+    links = links.unionByName(linked(cut(promising(rest, least)), sets, least))
     return _rooted(sketches.select("node", "vertex").distinct(), components(links), "vertex", "root").select("node", "root")
 
 

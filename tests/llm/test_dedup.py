@@ -117,6 +117,88 @@ def test_tree_search_in_shards_is_exact(spark, monkeypatch):
     assert got == want and got
 
 
+def test_near_copies_make_no_row_for_each_pair(spark, monkeypatch):
+    """A hot group of texts below the similarity, some of them with partners beside the hubs, against brute force."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+
+    def edited(words, places):
+        words = list(words)
+        for at in places:
+            words[at] = "x" + str(rng.random())
+        return words
+
+    far = [edited(base, rng.sample(range(0, 120, 10), 3)) for _ in range(400)]
+    texts = [" ".join(w) for w in far] + [" ".join(edited(far[k], [rng.choice([50, 51, 52])])) for k in range(0, 400, 20)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = {(j, i) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    root = list(range(len(texts)))
+    for j, i in sorted(pairs):
+        if root[i] != root[j]:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+
+    def counting(map_, self, run, schema):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def counted(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return map_(self, counted, schema)
+
+    plain = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: counting(plain, self, run, schema))
+    kept = sorted(r.doc_id for r in near_copies.keep_one(frame).collect())
+    assert kept == sorted(set(root)) and len(kept) < len(texts)
+    assert 0 < max(rows.value for rows in made) <= near_copies.BANDS * len(texts)
+
+
+def test_parities_lose_no_similar_pair():
+    rng = random.Random(6)
+    for _ in range(300):
+        one = {rng.getrandbits(64) for _ in range(rng.randint(1, 3000))}
+        both = set(rng.sample(sorted(one), rng.randint(0, len(one)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 400))}
+        sets = [near_copies.np.array(sorted(x or {1}), near_copies.np.uint64) for x in (one, both)]
+        bits = [near_copies.np.frombuffer(near_copies.parities(x), near_copies.np.uint64) for x in sets]
+        differ = near_copies._differing(bits[0], bits[1][None])
+        assert differ[0] <= len(set(sets[0].tolist()) ^ set(sets[1].tolist()))
+        similar = near_copies.similarities(sets[0], [sets[1]])[0] >= 0.8
+        assert not similar or near_copies._fits(differ, len(sets[0]), near_copies.np.array([len(sets[1])]), 0.8)[0]
+
+
+def test_linked_texts_are_connected_whatever_the_trees(spark):
+    """Parts of a shard, and of its texts a few in each, against all pairs of the shard."""
+    rng = random.Random(8)
+    base, rows = [rng.getrandbits(64) for _ in range(200)], []
+    for v in range(80):
+        hashes = near_copies.np.unique(near_copies.np.array([x if rng.random() > 0.05 + v % 4 / 50 else rng.getrandbits(64) for x in base], near_copies.np.uint64))
+        fp = near_copies.sketch(hashes)[1]
+        rows.append((7, v, v, len(hashes), fp, near_copies.parities(hashes), [7] + [v * 100 + k for k in range(1, near_copies.BANDS)], hashes.astype("<u8").tobytes()))
+    frame = spark.createDataFrame(rows, "key long, vertex long, root long, size long, fp binary, odd binary, keys array<long>, set binary")
+    decoded = [set(near_copies.np.frombuffer(r[7], "<u8").tolist()) for r in rows]
+    near = lambda i, j: (int.from_bytes(rows[i][4], "big") ^ int.from_bytes(rows[j][4], "big")).bit_count() <= near_copies.RADIUS
+    true = {(j, i) for i in range(80) for j in range(i) if len(decoded[i] & decoded[j]) >= 0.8 * len(decoded[i] | decoded[j]) and near(i, j)}
+    for tree_size in (8, 1024):
+        found = near_copies.promising(frame.drop("set"), 0.8, tree_size=tree_size)
+        links = {(min(r), max(r)) for r in near_copies.linked(found, frame.select("vertex", "set"), 0.8, tree_size=tree_size).collect()}
+        assert links <= true and 0 < len(links)
+        assert classes_of(links, 80) == classes_of(true, 80) and len(set(classes_of(true, 80))) > 1
+        if tree_size == 1024:
+            assert len(links) < 80 < len(true)
+
+
+def classes_of(pairs, n):
+    root = list(range(n))
+    for a, b in pairs:
+        low, high = min(root[a], root[b]), max(root[a], root[b])
+        root = [low if r == high else r for r in root]
+    return root
+
+
 def test_hot_keys_are_joined_where_they_are(spark):
     from helixframe.llm._shared import join_counted
 
