@@ -42,8 +42,12 @@ BANDS, ROWS = 24, 4
 #: Bits of a fingerprint, and bits that a link may differ in.
 WIDE, RADIUS = 512, 101
 TREE = 1024
+#: Texts that a worker has in hand at once.
+AT_ONCE = 256
 #: Cells whose parities are held against each other.
 ODD = 2048
+#: Texts of one block, which are verified against the members that they share.
+BLOCKED = 256
 #: Shingles that are mixed at once.
 BLOCK = 4096
 #: Bytes of shingle sets that are verified against each other at once, on each side.
@@ -119,13 +123,22 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return at_once.select(*rows.columns, *own).unionByName(rest.select(*rows.columns, *own))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few texts, so that a worker holds no more of them decoded."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def _sketched(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            made = [sketch(x) for x in sets]
-            vertex = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-            columns = [b.column(0), pa.array(vertex, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([f for _, f in made], pa.binary()), pa.array([parities(x) for x in sets], pa.binary())]
+        for b in _slices(batches):
+            made = []
+            for text in b.column(1):
+                hashes = shingle_set(text.as_py(), shingle)
+                made.append((xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), len(hashes), *sketch(hashes), parities(hashes)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            columns = [b.column(0), *[pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "vertex", "size", "keys", "fp", "odd"])
 
     return run
@@ -133,8 +146,8 @@ def _sketched(shingle: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+        for b in _slices(batches):
+            sets = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["vertex", "set"])
 
     return run
@@ -158,8 +171,9 @@ def _verifier(least: float):
     return run
 
 
-def _parts(bytes_: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(bytes_ / SIDE)).cast("int")
+def _parts(bytes_: Column, rows: Column | None = None, most: int = TREE) -> Column:
+    """Into how many parts so many bytes and rows are dealt, so that none has many more than ``SIDE`` of the one and ``most`` of the other."""
+    return F.greatest(F.lit(1), F.ceil(bytes_ / SIDE), *[] if rows is None else [F.ceil(rows / most)]).cast("int")
 
 
 def _dealt(by: str, parts: str) -> Column:
@@ -188,18 +202,6 @@ def _found(members: list[bytes], asking: list[bytes], radius: int) -> Iterator[l
         yield [i for at in tree.search(int.from_bytes(fp, "big"), radius) for i in by_value[tree.values[at]]]
 
 
-def _searched(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: set[tuple[int, int]] = set()
-            for members, asking in zip(batch.column("members").to_pylist(), batch.column("asking").to_pylist(), strict=True):
-                for q, near in zip(asking, _found([m["fp"] for m in members], [q["fp"] for q in asking], radius), strict=True):
-                    out.update((min(q["vertex"], m["vertex"]), max(q["vertex"], m["vertex"])) for m in map(members.__getitem__, near) if m["root"] != q["root"])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 def _met(members: DataFrame, tree_size: int) -> DataFrame:
     """``key, members, asking``: each tree of a shard with each part of the texts that search it; ``members`` have ``key, vertex, fp, root`` and what else is to travel."""
     counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -213,14 +215,6 @@ def _met(members: DataFrame, tree_size: int) -> DataFrame:
     return trees.join(asking, "key").repartition(F.col("key"), F.col("tree"), F.col("part")).select("key", "members", "asking")
 
 
-def searched(members: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
-    """Pairs of different components within ``radius`` in one shard; ``members`` have ``key, vertex, fp, root``, vertices of one shard of more than one component only.
-
-    All pairs, whose number grows with the square of a shard: ``classes`` takes ``promising`` and ``linked`` instead.
-    """
-    return _met(members, tree_size).mapInArrow(_searched(radius), "a long, b long").distinct()
-
-
 def _promising(radius: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,12 +299,15 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``node, root``: every text's hash with its component's."""
     texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut(texts.mapInArrow(_sketched(shingle), "node long, vertex long, size long, keys array<long>, fp binary, odd binary"))
-    keyed = sketches.select("vertex", "size", F.explode("keys").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("vertex", "key"), "vertex"))["vertex"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(_joined(keyed, cut(buckets), "key", "n", keyed.count()))
-    alike = members.groupBy("vertex").agg(F.max(F.struct("n", "key")).alias("h"), F.first("size").alias("size"))
-    alike = cut(alike.select("vertex", "size", F.col("h.key").alias("home")))
-    spread = alike.groupBy("home").agg(_parts(F.sum("size") * 8).alias("parts"), F.count(F.lit(1)).alias("count"))
+    prints = sketches.select("vertex", "size", "fp", "odd", "keys").dropDuplicates(["vertex"])
+    keyed = cut(prints.select("vertex", "size", F.explode(F.array_distinct("keys")).alias("key")))
+    # another member of each shard is its hub: the least one under a mask of the shard's own
+    mask = F.xxhash64("key")
+    buckets = keyed.groupBy("key").agg(F.min(F.col("vertex").bitwiseXOR(mask)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = cut(buckets.select("key", F.col("least").bitwiseXOR(mask).alias("hub"), "n"))
+    members = cut(_joined(keyed, buckets, "key", "n", keyed.count()))
+    alike = cut(members.groupBy("vertex").agg(F.max_by("key", "n").alias("home"), F.max("size").alias("size")))
+    spread = alike.groupBy("home").agg(_parts(F.sum("size") * 8, F.count(F.lit(1)), BLOCKED).alias("parts"), F.count(F.lit(1)).alias("count"))
     homes = join_counted(alike, spread, "home", "count", alike.count())
     homes = cut(homes.select("vertex", "size", F.xxhash64("home", F.pmod(F.xxhash64("vertex"), F.col("parts"))).alias("block")))
     one = sketches.select("node", "vertex").join(homes.select("vertex"), "vertex", "left_semi").groupBy("vertex").agg(F.min("node").alias("node"))
@@ -320,7 +317,6 @@ def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     links = cut(similar(star, sets, homes, least))
     rooted = _rooted(members.select("key", "vertex"), components(links), "vertex", "root")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", "n")
-    prints = sketches.select("vertex", "size", "fp", "odd", "keys").dropDuplicates(["vertex"])
     rest = cut(join_counted(rooted, mixed, "key", "n", members.count()).select("key", "vertex", "root").join(prints, "vertex"))
     links = links.unionByName(linked(cut(promising(rest, least)), sets, least))
     return _rooted(sketches.select("node", "vertex").distinct(), components(links), "vertex", "root").select("node", "root")

@@ -1,9 +1,11 @@
 """SimHash components, exact dedup, quartile digests and sharding against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -99,8 +101,8 @@ def test_keep_one_keeps_columns(odd, odd_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in odd_rows} - {2, 4, 6, 7, 8, 12})
 
 
-def test_tree_search_in_shards_is_exact(spark, monkeypatch):
-    """Pairs of different components within the radius, against brute force, with more trees than one a shard."""
+def test_tree_search_in_shards_is_exact(spark):
+    """Texts with a partner of another component within the radius, against brute force, with more trees than one a shard."""
     rng = random.Random(2)
     base = rng.getrandbits(512)
     rows = []
@@ -108,13 +110,42 @@ def test_tree_search_in_shards_is_exact(spark, monkeypatch):
         value = base
         for _ in range(rng.randint(0, 120)):
             value ^= 1 << rng.randrange(512)
-        rows.append((rng.randint(0, 2), v, value.to_bytes(64, "big"), v % 3 if v < 40 else v))
-    frame = spark.createDataFrame(rows, "key long, vertex long, fp binary, root long")
-    got = {(r.a, r.b) for r in near_copies.searched(frame, tree_size=8).collect()}
+        key = rng.randint(0, 2)
+        rows.append((key, v, value.to_bytes(64, "big"), v % 3 if v < 40 else v, 200, bytes(near_copies.ODD // 8), [key] * near_copies.BANDS))
+    frame = spark.createDataFrame(rows, "key long, vertex long, fp binary, root long, size long, odd binary, keys array<long>")
+    got = {(r.key, r.vertex) for r in near_copies.promising(frame, 0.8, tree_size=8).collect()}
     main = {k: max((sum(r[0] == k and r[3] == root for r in rows), root) for root in {r[3] for r in rows})[1] for k in (0, 1, 2)}
-    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[3] != b[3] and (a[3] != main[a[0]] or b[3] != main[b[0]])
-            and (int.from_bytes(a[2], "big") ^ int.from_bytes(b[2], "big")).bit_count() <= near_copies.RADIUS}
-    assert got == want and got
+    pairs = [(a, b) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and (a[3] != main[a[0]] or b[3] != main[b[0]])
+             and (int.from_bytes(a[2], "big") ^ int.from_bytes(b[2], "big")).bit_count() <= near_copies.RADIUS]
+    assert got == {(r[0], r[1]) for pair in pairs for r in pair} and got
+
+
+def similar_pairs(rows, shingle, least=0.8, widest=60):
+    """Brute force: pairs of different texts whose sets are so similar, found through shingles that at most ``widest`` texts hold."""
+    np = near_copies.np
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(near_copies.shingle_set(t or "", shingle).tobytes(), i)
+    ids, sets = list(texts.values()), [np.frombuffer(s, np.uint64) for s in texts]
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    edges = np.flatnonzero(np.diff(every[order], prepend=0, append=0)) if len(order) else []
+    met = set()
+    for a, b in zip(edges, edges[1:]):
+        if 2 <= b - a <= widest:
+            some = of[order[a:b]].tolist()
+            met.update((x, y) for k, x in enumerate(some) for y in some[k + 1 :])
+    return {(ids[x], ids[y]) for x, y in met if near_copies.similarities(sets[x], [sets[y]])[0] >= least}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_near_dedup_finds_every_similar_pair_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pairs = similar_pairs(docs.select("doc_id", "text").collect(), 5)
+    assert len(pairs) == 48
+    placed = docs.select("doc_id", near_copies._node().alias("node")).join(near_copies.classes(docs), "node")
+    root = {r.doc_id: r.root for r in placed.select("doc_id", "root").collect()}
+    assert all(root[a] == root[b] for a, b in pairs)
 
 
 def test_near_copies_make_no_row_for_each_pair(spark, monkeypatch):
