@@ -78,6 +78,16 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     return at_once.unionByName(rest)
 
 
+#: Bytes of text that one range of documents is to hold.
+RANGE_BYTES = 64 << 20
+
+
+def range_count(texts: DataFrame, most: int = RANGE_BYTES) -> int:
+    """Into how many ranges ``texts`` are dealt: as many as shuffle partitions, more where a range would hold over ``most`` bytes."""
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), -(-held // most))
+
+
 def range_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending values that split ``column`` into ranges of about equal counts."""
     if parts < 2:
@@ -86,16 +96,6 @@ def range_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def range_bucket(value: Column, cuts: list[int]) -> Column:
-    """How many of ``cuts`` are at most ``value`` (null: 0), by binary search inside the JVM."""
-    if not cuts:
-        return F.lit(0)
-    table = F.array(*[F.lit(c).cast("long") for c in cuts])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-    found = lambda at, step: F.when((at + step <= len(cuts)) & (F.element_at(table, F.least(at + step, F.lit(len(cuts)))) <= value), at + step).otherwise(at)
-    return F.aggregate(steps, F.lit(0), found)
-
-
 def numbered(df: DataFrame, keys: list[str], spread: Column, slices: int, name: str) -> DataFrame:
     """Add ``name``: a number from 0 without gaps within each of ``keys``, however hot a key is.
 

@@ -47,7 +47,7 @@ AT_ONCE = 256
 #: Cells whose parities are held against each other.
 ODD = 2048
 #: Texts of one block, which are verified against the members that they share.
-BLOCKED = 256
+BLOCKED = 64
 #: Shingles that are mixed at once.
 BLOCK = 4096
 #: Bytes of shingle sets that are verified against each other at once, on each side.

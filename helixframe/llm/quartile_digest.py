@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import doc_texts, range_bucket, range_cuts, shuffle_partitions
+from helixframe.llm._shared import doc_texts, range_count, range_cuts
 
 BUCKETS = 128
 WORST = 160
@@ -113,25 +113,54 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=names)
 
 
+def _range_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(), "right")
+
+
+def _heads(cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            rows = pa.table({"part": _range_of(ids, cuts), "doc_id": ids, "nulls": ids.is_null()}).group_by("part").aggregate([("doc_id", "min"), ("nulls", "max")])
+            yield from rows.select(["part", "doc_id_min", "nulls_max"]).rename_columns(["part", "first", "nulls"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _placed(cuts: np.ndarray, heads: np.ndarray, back: np.ndarray, nulls_first: bool):
+    """Each row in its range, and the rows of a range's first id once more after the range before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, of = b.column(0), _range_of(b.column(0), cuts)
+            head = ids.is_null().to_numpy(zero_copy_only=False)
+            if nulls_first:
+                head |= (ids.fill_null(0).to_numpy() == heads[of]) & ~head & (of != 0)
+            else:
+                head = ids.fill_null(0).to_numpy() == heads[of]
+            for part, copied, some in ((of, 0, b), (back[of[head]], 1, b.filter(pa.array(head)))):
+                columns = [pa.array(part, pa.int32()), pa.array(np.full(some.num_rows, copied), pa.int32()), some.column(0), some.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "copied", "doc_id", "text"])
+
+    return run
+
+
 def with_following(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``part, copied, doc_id, text``: each range of ``doc_id`` in order, and then the first row of the range after it."""
-    spark = docs.sparkSession
+    """``part, copied, doc_id, text``: each range of ``doc_id`` in order, and then the first row of the range after it.
+
+    Range ``k`` is partition ``k``, and there are the more of them the more text there is. The driver
+    holds a number for each range.
+    """
     texts = doc_texts(docs)
-    parts = parts or shuffle_partitions(spark)
-    cuts = range_cuts(texts.filter("doc_id is not null"), "doc_id", parts)
-    part = range_bucket(F.col("doc_id"), cuts)
-    # at most one row a range
-    heads = sorted((r["part"], r["first"], r["nulls"]) for r in texts.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect())
-    ranges = [h[0] for h in heads]
-    before = {p: ranges[i - 1] for i, p in enumerate(ranges)}
-    back = F.array(*[F.lit(before.get(p, -1)) for p in range(len(cuts) + 1)])
-    first = F.array(*[F.lit(None if nulls else head).cast("long") for p in range(len(cuts) + 1) for head, nulls in [next(((h, n) for q, h, n in heads if q == p), (None, False))]])
-    placed = texts.withColumn("part", part)
-    head_of = F.element_at(first, F.col("part") + 1)
-    copies = F.array(F.struct("part", F.lit(0).alias("copied")), F.struct(F.element_at(back, F.col("part") + 1).alias("part"), F.lit(1).alias("copied")))
-    own = F.array(F.struct("part", F.lit(0).alias("copied")))
-    dealt = placed.withColumn("at", F.explode(F.when(F.col("doc_id").eqNullSafe(head_of), copies).otherwise(own)))
-    return dealt.select(F.col("at.part").alias("part"), F.col("at.copied").alias("copied"), "doc_id", "text").repartition(parts, "part").sortWithinPartitions("part", "copied", "doc_id", "text")
+    cuts = np.array(range_cuts(texts.filter("doc_id is not null"), "doc_id", parts or range_count(texts)), np.int64)
+    found = texts.select("doc_id").mapInArrow(_heads(cuts), "part long, first long, nulls boolean")
+    found = sorted(found.groupBy("part").agg(F.min("first"), F.max("nulls")).collect())  # one row a range
+    heads, back = np.zeros(len(cuts) + 1, np.int64), np.full(len(cuts) + 1, -1, np.int64)
+    for k, (part, first, _) in enumerate(found):
+        heads[part], back[part] = first or 0, found[k - 1][0]
+    nulls_first = bool(found) and found[0][2]
+    placed = texts.mapInArrow(_placed(cuts, heads, back, nulls_first), "part int, copied int, doc_id long, text string")
+    return placed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "copied", "doc_id", "text")
 
 
 def document_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:

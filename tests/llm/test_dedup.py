@@ -318,6 +318,20 @@ def test_digests(odd, odd_rows):
     assert quartile_digest.likeness(long, long) == 1.0
 
 
+def test_ranges_are_partitions_however_many(spark, monkeypatch):
+    """More ranges than shuffle partitions, each in a task of its own, and the same rows."""
+    from helixframe.llm import _shared
+
+    rows = [(i * 7 % 997, "w" * (i % 50) + str(i)) for i in range(900)] + [(None, "x"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, quartile_digest.document_fingerprints(docs, parts=1).collect()))
+    placed = quartile_digest.with_following(docs, parts=23)
+    held = placed.rdd.mapPartitionsWithIndex(lambda k, rows: [(k, {r.part for r in rows})]).collect()
+    assert len(held) > int(spark.conf.get("spark.sql.shuffle.partitions")) and all(parts <= {k} for k, parts in held) and sum(map(len, (p for _, p in held))) > 15
+    assert sorted(map(str, quartile_digest.document_fingerprints(docs, parts=23).collect())) == few
+    assert _shared.range_count(docs, most=500) == -(-sum(len(t) for _, t in rows) // 500)
+
+
 def test_one_document_is_its_own_next(spark):
     row = quartile_digest.document_fingerprints(spark.createDataFrame([(3, "abcdef")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1.0
