@@ -18,16 +18,19 @@ least as many shingles as their ``odd`` bits do, so that no similar pair is lost
 the first shard only that it shares. Pairs of the first step, at most ``BANDS`` a text, are verified in
 blocks of texts of bounded size that share partners, so that no text's shingles travel once for each pair.
 
+What connects sets (``set_components``) serves any banded sketch; ``minhash`` calls it with another one
+and without fingerprints.
+
 Defined results: null and empty texts are alike; texts with fewer words than a shingle are one
 shingle; A-Z is lower-cased, words are split at ASCII white space; texts of equal sets of shingles are
-one node; texts are told apart by 64 bits. Very long texts are taken whole. Of a component the row
+one node; texts and sets are told apart by digests of 128 bits. Very long texts are taken whole. Of a component the row
 with the smallest ``doc_id`` stays (of rows that repeat it with the same text, one), one without an id
 only where none has one; an empty table stays empty; other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm._shared import HOT_SHARE, cut, join_counted
+from helixframe.llm._shared import HOT_SHARE, cut, doc_texts, join_counted
 from helixframe.llm.simhash import SEED, BKTree, components
 
 BANDS, ROWS = 24, 4
@@ -108,7 +111,12 @@ def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _node() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def twin(hashes: np.ndarray) -> bytes:
+    """Which set this is: sets of the same digest are the same."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
@@ -123,7 +131,7 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return at_once.select(*rows.columns, *own).unionByName(rest.select(*rows.columns, *own))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few texts, so that a worker holds no more of them decoded."""
     for b in batches:
         for at in range(0, b.num_rows, AT_ONCE):
@@ -132,21 +140,21 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketched(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             made = []
-            for text in b.column(1):
+            for text in b.column(2):
                 hashes = shingle_set(text.as_py(), shingle)
-                made.append((xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), len(hashes), *sketch(hashes), parities(hashes)))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            columns = [b.column(0), *[pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "vertex", "size", "keys", "fp", "odd"])
+                made.append((twin(hashes), len(hashes), *sketch(hashes), parities(hashes)))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            columns = [b.column(0), b.column(1), *[pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "twin", "size", "keys", "fp", "odd"])
 
     return run
 
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             sets = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["vertex", "set"])
 
@@ -215,7 +223,7 @@ def _met(members: DataFrame, tree_size: int) -> DataFrame:
     return trees.join(asking, "key").repartition(F.col("key"), F.col("tree"), F.col("part")).select("key", "members", "asking")
 
 
-def _promising(radius: int, least: float):
+def _promising(radius: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[tuple[int, int], tuple[int, int, bytes]] = {}
@@ -224,42 +232,50 @@ def _promising(radius: int, least: float):
                 for side in ("members", "asking"):
                     structs = batch.column(side)[at].values
                     of = dict(zip([f.name for f in structs.type], structs.flatten(), strict=True))
-                    fps, odd = of["fp"].to_pylist(), np.frombuffer(b"".join(of["odd"].to_pylist()), np.uint64).reshape(len(structs), -1)
+                    fps, odd = of["fp"].to_pylist() if radius is not None else range(len(structs)), np.frombuffer(b"".join(of["odd"].to_pylist()), np.uint64).reshape(len(structs), -1)
                     keys = of["keys"].flatten().to_numpy().reshape(len(structs), -1)
                     sides.append((of["vertex"].to_numpy(), of["root"].to_numpy(), of["size"].to_numpy(), fps, odd, keys))
                 (vertex, root, size, fps, odd, keys), asking = sides
-                for (v, r, n, fp, bits, shards), found in zip(zip(*asking, strict=True), _found(fps, asking[3], radius), strict=True):
+                every = np.arange(len(vertex))
+                searched = _found(fps, asking[3], radius) if radius is not None else (every for _ in asking[3])
+                for (v, r, n, fp, bits, shards), found in zip(zip(*asking, strict=True), searched, strict=True):
                     near = np.array(found, np.int64)
                     near = near[root[near] != r]
+                    near = near[_fits(np.zeros(len(near), np.int64), n, size[near], least)]
                     near = near[_fits(_differing(bits, odd[near]), n, size[near], least)]
                     near = near[shards[(keys[near] == shards).argmax(axis=1)] == key]
                     for i in near:
                         out[key, int(vertex[i])] = int(root[i]), int(size[i]), fps[i]
                     if len(near):
                         out[key, int(v)] = int(r), int(n), fp
-            columns = [[k for k, _ in out], [v for _, v in out], *[[x[i] for x in out.values()] for i in range(3)]]
+            columns = [[k for k, _ in out], [v for _, v in out], *[[x[i] for x in out.values()] for i in range(2 if radius is None else 3)]]
             types = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "vertex", "root", "size", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=["key", "vertex", "root", "size", "fp"][: len(columns)])
 
     return run
 
 
-def promising(members: DataFrame, least: float, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
-    """``key, vertex, root, size, fp``: the ``members`` (with ``size, odd, keys`` too) that have a partner of another component in the shard, once a shard."""
-    return _met(members, tree_size).mapInArrow(_promising(radius, least), "key long, vertex long, root long, size long, fp binary").distinct()
+def promising(members: DataFrame, least: float, radius: int | None = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """``key, vertex, root, size, fp``: the ``members`` (with ``size, odd, keys`` too) that have a partner of another component in the shard, once a shard.
+
+    Without a ``radius`` there are no trees and no ``fp``: partners are told by sizes and parities alone.
+    """
+    out = "key long, vertex long, root long, size long" + ("" if radius is None else ", fp binary")
+    return _met(members, tree_size).mapInArrow(_promising(radius, least), out).distinct()
 
 
-def _linker(radius: int, least: float):
+def _linker(radius: int | None, least: float):
     def run(rows: pa.Table) -> pa.Table:
         asks, vertex, size = (rows[c].to_numpy() for c in ("asks", "vertex", "size"))
         component = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
         sets = [np.frombuffer(s, "<u8") for s in rows["set"].to_pylist()]
-        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(len(sets), -1)
+        fps = None if radius is None else np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(len(sets), -1)
         odd = np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(len(sets), -1)
         held, out = np.flatnonzero(~asks), []
         for q in np.flatnonzero(asks):
             near = held[component[held] != component[q]]
-            near = near[_differing(fps[q], fps[near]) <= radius]
+            if radius is not None:
+                near = near[_differing(fps[q], fps[near]) <= radius]
             differ = _differing(odd[q], odd[near])
             fit = _fits(differ, size[q], size[near], least)
             near = near[fit][np.argsort(differ[fit], kind="stable")]
@@ -277,49 +293,79 @@ def _linker(radius: int, least: float):
     return run
 
 
-def linked(found: DataFrame, sets: DataFrame, least: float, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+def linked(found: DataFrame, sets: DataFrame, least: float, radius: int | None = RADIUS, tree_size: int = TREE) -> DataFrame:
     """Similar pairs ``a, b`` that connect the components of ``promising`` texts in their shards; a task gives less links than it has components."""
     counts = found.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     sizes = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("n", "root"))["root"].alias("main"))
     parts = F.greatest(_parts(F.col("all") * 8), F.ceil(F.col("n") / tree_size).cast("int"))
     sizes = sizes.select("key", "n", "main", parts.alias("parts"))
     placed = join_counted(found, sizes, "key", "n", found.count()).withColumn("own", _dealt("vertex", "parts"))
-    every, rest = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), ["vertex", "root", "size", "fp"]
+    every, rest = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), [c for c in found.columns if c != "key"]
     members = placed.select("key", F.col("own").alias("tree"), every.alias("part"), F.lit(False).alias("asks"), *rest)
     asking = placed.filter("root != main").select("key", every.alias("tree"), F.col("own").alias("part"), F.lit(True).alias("asks"), *rest)
     loaded = members.unionByName(asking).join(sets, "vertex")
     return loaded.groupBy("key", "tree", "part").applyInArrow(_linker(radius, least), "a long, b long")
 
 
-def _rooted(rows: DataFrame, found: DataFrame, vertex: str, root: str) -> DataFrame:
+def rooted(rows: DataFrame, found: DataFrame, vertex: str, root: str) -> DataFrame:
+    """``rows`` with the root of their ``vertex``: itself where nothing was ``found``."""
     return rows.join(found.select(F.col("node").alias(vertex), F.col("root").alias(root)), vertex, "left").withColumn(root, F.coalesce(root, vertex))
 
 
-def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``node, root``: every text's hash with its component's."""
-    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = cut(texts.mapInArrow(_sketched(shingle), "node long, vertex long, size long, keys array<long>, fp binary, odd binary"))
-    prints = sketches.select("vertex", "size", "fp", "odd", "keys").dropDuplicates(["vertex"])
-    keyed = cut(prints.select("vertex", "size", F.explode(F.array_distinct("keys")).alias("key")))
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, text``: ``node`` tells which text it is."""
+    return doc_texts(docs).select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
+
+
+def one_each(sketches: DataFrame) -> DataFrame:
+    """A row for each different set (``twin``) with a ``vertex`` number of its own; ``of`` names one of its rows, the one with the least id, of ``rows``."""
+    same = [c for c in sketches.columns if c not in ("doc_id", "node", "twin")]
+    own = [F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "node")).alias("of")]
+    return cut(sketches.groupBy("twin").agg(*own, *[F.first(c).alias(c) for c in same])).withColumn("vertex", F.monotonically_increasing_id())
+
+
+def sets_of(prints: DataFrame, texts: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
+    """``vertex, set``; of all rows that have a set only the one that names it moves."""
+    one = prints.join(vertices, "vertex", "left_semi").select("vertex", F.col("of.doc_id").alias("with_id"), F.col("of.node").alias("with_node"))
+    asked = texts.join(one, (F.col("node") == F.col("with_node")) & F.col("doc_id").eqNullSafe(F.col("with_id")))
+    return asked.dropDuplicates(["vertex"]).select("vertex", "text").mapInArrow(_sets(shingle), "vertex long, set binary")
+
+
+def set_components(prints: DataFrame, load: Callable[[DataFrame], DataFrame], least: float, radius: int | None = RADIUS) -> DataFrame:
+    """``node, root``: components of the sets of ``prints`` (``vertex, size, keys, odd`` and, with a ``radius``, ``fp``) that share a key and are similar.
+
+    ``load`` gives ``vertex, set`` of the vertices that it is asked for.
+    """
+    keyed = prints.select("vertex", "size", F.explode(F.array_distinct("keys")).alias("key"))
     # another member of each shard is its hub: the least one under a mask of the shard's own
     mask = F.xxhash64("key")
     buckets = keyed.groupBy("key").agg(F.min(F.col("vertex").bitwiseXOR(mask)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = cut(buckets.select("key", F.col("least").bitwiseXOR(mask).alias("hub"), "n"))
-    members = cut(_joined(keyed, buckets, "key", "n", keyed.count()))
+    members = cut(_joined(keyed, buckets, "key", "n", prints.agg(F.sum(F.size("keys"))).first()[0] or 0))
     alike = cut(members.groupBy("vertex").agg(F.max_by("key", "n").alias("home"), F.max("size").alias("size")))
     spread = alike.groupBy("home").agg(_parts(F.sum("size") * 8, F.count(F.lit(1)), BLOCKED).alias("parts"), F.count(F.lit(1)).alias("count"))
     homes = join_counted(alike, spread, "home", "count", alike.count())
     homes = cut(homes.select("vertex", "size", F.xxhash64("home", F.pmod(F.xxhash64("vertex"), F.col("parts"))).alias("block")))
-    one = sketches.select("node", "vertex").join(homes.select("vertex"), "vertex", "left_semi").groupBy("vertex").agg(F.min("node").alias("node"))
-    sets = cut(texts.join(one, "node").dropDuplicates(["node"]).select("vertex", "text").mapInArrow(_sets(shingle), "vertex long, set binary"))
+    sets = cut(load(homes.select("vertex")))
 
     star = members.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(similar(star, sets, homes, least))
-    rooted = _rooted(members.select("key", "vertex"), components(links), "vertex", "root")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", "n")
-    rest = cut(join_counted(rooted, mixed, "key", "n", members.count()).select("key", "vertex", "root").join(prints, "vertex"))
-    links = links.unionByName(linked(cut(promising(rest, least)), sets, least))
-    return _rooted(sketches.select("node", "vertex").distinct(), components(links), "vertex", "root").select("node", "root")
+    placed = rooted(members.select("key", "vertex"), components(links), "vertex", "root")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("key", "n")
+    own = prints.select("vertex", "size", "odd", "keys", *["fp"] * (radius is not None))
+    rest = cut(join_counted(placed, mixed, "key", "n", members.count()).select("key", "vertex", "root").join(own, "vertex"))
+    links = links.unionByName(linked(cut(promising(rest, least, radius)), sets, least, radius))
+    return components(links)
+
+
+def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``node, root``: every text's digest with its component's number."""
+    texts = texts_of(docs)
+    sketches = cut(texts.mapInArrow(_sketched(shingle), "doc_id long, node binary, twin binary, size long, keys array<long>, fp binary, odd binary"))
+    prints = one_each(sketches)
+    found = set_components(prints, lambda some: sets_of(prints, texts, some, shingle), least)
+    placed = rooted(prints.select("twin", "vertex"), found, "vertex", "root")
+    return sketches.select("node", "twin").distinct().join(placed, "twin").select("node", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import id_store, packing, piece_codec, quality, quartile_digest, sharding, simhash, stream_dedup, token_counts, toxicity
+from helixframe.llm import id_store, importance, lexical, minhash, packing, piece_codec, quality, quartile_digest, sharding, simhash, stream_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -56,6 +60,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -67,5 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_store": op8_id_store,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_minhash": op11_minhash,
+    "op12_importance": op12_importance,
+    "op13_lexical": op13_lexical,
 }
-ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_stream_dedup": stream_dedup.ORACLE_SQL, "op11_minhash": minhash.ORACLE_SQL, "op13_lexical": lexical.ORACLE_SQL}
