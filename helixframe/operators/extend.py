@@ -1,10 +1,12 @@
 """Gapped alignments from clusters of exact matches.
 
 One row per pair of sequences holds its clusters and both sequences; a pair is extended by itself.
-Between the matches of a cluster, and on to a following cluster within reach, the letters are
-aligned end to end; outwards an alignment grows until its score has not risen for ``break_length``
-anti-diagonals, and is cut back to its best end. A cluster inside an alignment of its own direction
-is not started again.
+Between the matches of a cluster, and on to the cluster that is the best target, the letters are
+aligned end to end; an alignment grows until its score has not risen for ``break_length``
+anti-diagonals, and is cut back to its best end. An alignment that starts anew also grows backwards,
+towards the earlier alignment that is its best target, and where it reaches that one's end the two
+become one, with the letters between them aligned once more, forwards and to their ends. A cluster
+inside an alignment of its own direction is not started again, and none is continued twice.
 """
 
 from __future__ import annotations
@@ -100,15 +102,22 @@ PROTEIN = Options(min_match=6, min_cluster=20, max_gap=30, factor=0.11, break_le
 LOW = -(1 << 40)
 
 
-def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tuple[int, int, str, str] | None:
+#: How ``affine`` ends: at its best place; at the far corner if the search gets there, else at its best place; at the far corner in any case.
+BEST, TARGET, FORCED = "best", "target", "forced"
+
+
+def affine(ref: np.ndarray, qry: np.ndarray, o: Options, mode: str) -> tuple[int, int, str, bool]:
     """Align two stretches from their first letters; their gapped forms as letters ``M, D, I``.
 
-    ``to_corner``: both to their ends, None if the score drops too far before. Otherwise as far as
-    it pays. Returns the letters used of each, and the operations.
+    The search goes by anti-diagonals and leaves out cells that are too far below the best score so far; it
+    is over when that has not risen for ``break_length`` anti-diagonals. ``FORCED`` compares a cell with its own
+    anti-diagonal alone and never gives up. Returns the letters used of each, the operations, and whether the far
+    corner was reached.
     """
     n, m = len(ref), len(qry)
     if not n or not m:
-        return (n, m, "D" * n + "I" * m, "") if to_corner else (0, 0, "", "")
+        far = mode == FORCED or not n + m or mode == TARGET and n + m <= o.break_length
+        return (n, m, "D" * n + "I" * m, True) if far and mode != BEST else (0, 0, "", not n + m)
     drop = o.good * o.break_length
     # by anti-diagonal: best scores ending in a pair (M), a reference base alone (D), a query base alone (I)
     lo = 0
@@ -118,6 +127,8 @@ def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tup
     high, high_at, high_d = 0, (0, 0), 0
     acgt = np.isin(ref, np.frombuffer(b"acgtACGT", np.uint8)) if not o.text else np.ones(n, bool)
     for d in range(1, n + m + 1):
+        if mode != FORCED and d - high_d > o.break_length:
+            break
         lo, hi = max(last_lo, d - m), min(last_lo + len(last[0]), d, n)
         if lo > hi:
             break
@@ -144,7 +155,7 @@ def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tup
         opened = np.stack([up[0] + o.gap_open, up[1] + o.gap_open, up[2] + o.gap_more])
         i_from, score_i = opened.argmax(axis=0), np.where(j > 0, opened.max(axis=0), LOW)
         best = np.maximum(np.maximum(score_m, score_d), score_i)
-        keep = np.flatnonzero(high - best <= drop)
+        keep = np.flatnonzero((best.max() if mode == FORCED else high) - best <= drop)
         if not len(keep):
             break
         s = slice(keep[0], keep[-1] + 1)
@@ -155,15 +166,12 @@ def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tup
         if top >= high:
             k = int(np.flatnonzero(best[s] == top)[-1])
             high, high_at, high_d = top, (last_lo + k, d - last_lo - k), d
-        elif d - high_d > 2 * o.break_length and not to_corner:
-            break
-    if to_corner:
-        if len(trace) != n + m + 1 or not last_lo <= n < last_lo + len(last[0]):
-            return None
+    far = len(trace) == n + m + 1 and last_lo <= n < last_lo + len(last[0])
+    if far and mode != BEST:
         at, state = (n, m), int(np.argmax([x[n - last_lo] for x in last]))
     else:
         if high_at == (0, 0):
-            return 0, 0, "", ""
+            return 0, 0, "", False
         at, state = high_at, 0
     i, j = at
     ops: list[str] = []
@@ -179,7 +187,7 @@ def affine(ref: np.ndarray, qry: np.ndarray, o: Options, to_corner: bool) -> tup
         else:
             ops.append("I")
             state, j = came >> 4 & 3, j - 1
-    return at[0], at[1], "".join(reversed(ops)), ""
+    return at[0], at[1], "".join(reversed(ops)), far and at == (n, m)
 
 
 def _reachable(gap1: int, gap2: int, o: Options) -> bool:
@@ -187,61 +195,128 @@ def _reachable(gap1: int, gap2: int, o: Options) -> bool:
     return more < o.break_length or less * o.good + (more - less) * o.gap_more >= 0
 
 
+def _best_target(gaps: Iterator[tuple[int, int, object]], dist: int, o: Options):
+    """Of what lies ``gap1, gap2`` letters away the first within reach, else the one that is least out of the way, if less than ``dist``."""
+    found = None
+    for gap1, gap2, what in gaps:
+        if _reachable(gap1, gap2, o):
+            return what
+        away = 2 * max(gap1, gap2) - min(gap1, gap2)
+        if away < dist:
+            found, dist = what, away
+    return found
+
+
+class _Extender:
+    """The alignments of one pair and direction: lists of ``lo1, hi1, lo2, hi2`` (half open) and operations."""
+
+    def __init__(self, ref: np.ndarray, qry: np.ndarray, todo: list[list[tuple[int, int, int]]], o: Options):
+        self.r, self.q, self.todo, self.o = ref, qry, todo, o
+        self.used = [False] * len(todo)
+        self.out: list[list] = []
+
+    def inside(self, k: int) -> bool:
+        """Whether a finished alignment covers the cluster on both sides."""
+        (a, b, _), (x, y, size) = self.todo[k][0], self.todo[k][-1]
+        return self.o.simplify and any(lo1 <= a and x + size <= hi1 and lo2 <= b and y + size <= hi2 for lo1, hi1, lo2, hi2, _ in self.out)
+
+    def _before(self, now: list) -> Iterator[tuple[int, int, list]]:
+        for other in reversed(self.out):
+            gap1, gap2 = now[0] + 1 - other[1], now[2] + 1 - other[3]
+            if gap1 >= 0 and gap2 >= 0:
+                yield gap1, gap2, other
+
+    def _after(self, k: int, now: list) -> Iterator[tuple[int, int, tuple[int, int]]]:
+        for x in range(k + 1, len(self.todo)):
+            if not self.used[x]:
+                # the first match of the cluster that starts beyond
+                for i, (s1, s2, _) in enumerate(self.todo[x]):
+                    gap1, gap2 = s1 + 1 - now[1], s2 + 1 - now[3]
+                    if gap1 >= 0 and gap2 >= 0:
+                        yield gap1, gap2, (x, i)
+                        break
+
+    def backwards(self, now: list) -> list:
+        """Grow ``now``, an exact match, towards an earlier alignment; the alignment that it is part of afterwards."""
+        o = self.o
+        target = _best_target(self._before(now), min(now[0], now[2]) + 1, o)
+        if target is not None:
+            shared = max(0, target[1] - now[0], target[3] - now[2])  # the last letter of one may be the first of the other
+            now[0], now[2], now[4] = now[0] + shared, now[2] + shared, now[4][shared:]
+        far1, far2 = (target[1], target[3]) if target is not None else (0, 0)
+        a, b = max(far1, now[0] - o.window), max(far2, now[2] - o.window)
+        within = target is not None and (a, b) == (far1, far2)
+        u, v, _, reached = affine(self.r[a : now[0]][::-1], self.q[b : now[2]][::-1], o, TARGET if within else BEST)
+        joined = affine(self.r[now[0] - u : now[0]], self.q[now[2] - v : now[2]], o, FORCED)[2]
+        if within and reached:
+            target[1], target[3], target[4] = now[1], now[3], target[4] + joined + now[4]
+            return target
+        now[0], now[2], now[4] = now[0] - u, now[2] - v, joined + now[4]
+        self.out.append(now)
+        return now
+
+    def forwards(self, now: list, to: tuple[int, int] | None) -> bool:
+        """Grow ``now`` to where a match begins, or as far as it pays; whether it got there."""
+        far1, far2 = to or (len(self.r), len(self.q))
+        a, b = min(far1, now[1] + self.o.window), min(far2, now[3] + self.o.window)
+        within = to is not None and (a, b) == to
+        u, v, ops, reached = affine(self.r[now[1] : a], self.q[now[3] : b], self.o, TARGET if within else BEST)
+        now[1], now[3], now[4] = now[1] + u, now[3] + v, now[4] + ops
+        return within and reached
+
+    def run(self) -> None:
+        o, k, first, entry, now = self.o, 0, 0, 0, None
+        while k < len(self.todo):
+            if now is None and (self.used[k] or o.extend and self.inside(k)):
+                first += 1
+                k = first
+                continue
+            self.used[k], target = True, None
+            cluster = self.todo[k]
+            for i in range(entry, len(cluster)):
+                s1, s2, size = cluster[i]
+                skip = max(0, now[1] - s1, now[3] - s2) if now is not None else 0
+                if skip >= size:
+                    continue
+                if now is not None:
+                    now[1], now[3], now[4] = s1 + size, s2 + size, now[4] + "M" * (size - skip)
+                else:
+                    now = [s1, s1 + size, s2, s2 + size, "M" * size]
+                    if o.extend or i:
+                        now = self.backwards(now)
+                    else:
+                        self.out.append(now)
+                if i + 1 < len(cluster):
+                    beyond = max(0, now[1] - cluster[i + 1][0], now[3] - cluster[i + 1][1])
+                    to = (cluster[i + 1][0] + beyond, cluster[i + 1][1] + beyond)
+                elif o.extend:
+                    target = _best_target(self._after(k, now), min(len(self.r) - now[1], len(self.q) - now[3]) + 1, o)
+                    to = None
+                    if target is not None:
+                        s1, s2, _ = self.todo[target[0]][target[1]]
+                        beyond = max(0, now[1] - s1, now[3] - s2)
+                        to = (s1 + beyond, s2 + beyond)
+                else:
+                    break
+                if not self.forwards(now, to):
+                    now = None
+            if target is None or now is None:
+                now, entry = None, 0
+                first += 1
+                k = first
+            else:
+                k, entry = target
+
+
 def extend_pair(ref: str, qry: str, found: list[list[tuple[int, int, int]]], o: Options) -> list[tuple[int, int, int, int, str]]:
     """Alignments of one direction: ``lo1, hi1, lo2, hi2`` from 1, and operations; ``found`` are clusters of matches."""
     r, q = code_points(ref), code_points(qry)
     if not o.text:
         r, q = r.astype(np.uint8), q.astype(np.uint8)
-    todo = sorted((c for c in found if c), key=lambda c: (c[0][0], c[0][1]))
-    used = [False] * len(todo)
-    out: list[tuple[int, int, int, int, str]] = []
-
-    def inside(c: list[tuple[int, int, int]]) -> bool:
-        return o.simplify and any(lo1 <= c[0][0] and c[-1][0] + c[-1][2] - 1 <= hi1 and lo2 <= c[0][1] and c[-1][1] + c[-1][2] - 1 <= hi2 for lo1, hi1, lo2, hi2, _ in out)
-
-    for k, first in enumerate(todo):
-        if used[k] or inside(first):
-            continue
-        used[k] = True
-        chain, at = list(first), 0
-        parts: list[list] = []  # lo1, hi1, lo2, hi2 (half open), operations
-        current = [chain[0][0] - 1, chain[0][0] - 1 + chain[0][2], chain[0][1] - 1, chain[0][1] - 1 + chain[0][2], "M" * chain[0][2]]
-        while True:
-            at += 1
-            if at == len(chain):
-                nearest = None
-                for x in range(k + 1, len(todo)):
-                    g1, g2 = todo[x][0][0] - 1 - current[1], todo[x][0][1] - 1 - current[3]
-                    if not used[x] and g1 >= 0 and g2 >= 0 and _reachable(g1, g2, o) and (nearest is None or max(g1, g2) < nearest[0]):
-                        nearest = (max(g1, g2), x)
-                if not o.extend or nearest is None:
-                    break
-                used[nearest[1]] = True
-                chain += todo[nearest[1]]
-            s1, s2, size = chain[at]
-            s1, s2 = s1 - 1, s2 - 1
-            skip = max(0, current[1] - s1, current[3] - s2)
-            if skip >= size:
-                continue
-            s1, s2, size = s1 + skip, s2 + skip, size - skip
-            g1, g2 = s1 - current[1], s2 - current[3]
-            bridge = affine(r[current[1] : s1], q[current[3] : s2], o, True) if max(g1, g2) <= o.window else None
-            if bridge is None:
-                parts.append(current)
-                current = [s1, s1 + size, s2, s2 + size, "M" * size]
-            else:
-                current = [current[0], s1 + size, current[2], s2 + size, current[4] + bridge[2] + "M" * size]
-        parts.append(current)
-        if o.extend:
-            for p, part in enumerate(parts):
-                if p == 0:
-                    a, b = max(0, part[0] - o.window), max(0, part[2] - o.window)
-                    u, v, ops, _ = affine(r[a : part[0]][::-1], q[b : part[2]][::-1], o, False)
-                    part[0], part[2], part[4] = part[0] - u, part[2] - v, ops[::-1] + part[4]
-                if p == len(parts) - 1:
-                    u, v, ops, _ = affine(r[part[1] : part[1] + o.window], q[part[3] : part[3] + o.window], o, False)
-                    part[1], part[3], part[4] = part[1] + u, part[3] + v, part[4] + ops
-        out += [(a + 1, b, c + 1, d, ops) for a, b, c, d, ops in parts]
+    todo = sorted([(a - 1, b - 1, size) for a, b, size in c] for c in found if c)
+    made = _Extender(r, q, todo, o)
+    made.run()
+    out = [(a + 1, b, c + 1, d, ops) for a, b, c, d, ops in made.out]
     if o.simplify:
         out = [x for x in out if not any(y is not x and y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and x[3] <= y[3] and (y[:4] != x[:4]) for y in out)]
     return out

@@ -93,10 +93,10 @@ def test_affine_is_optimal_on_short_strings():
 
         return go(0, 0, "M")
 
-    for _ in range(60):
+    for mode in [extend.TARGET, extend.FORCED] * 40:
         a, b = bases(rng, rng.randint(1, 9)), bases(rng, rng.randint(1, 9))
         x, y = (np.frombuffer(t.encode(), np.uint8) for t in (a, b))
-        ops = extend.affine(x, y, o, True)[2]
+        ops = extend.affine(x, y, o, mode)[2]
         one, two = extend.gapped(a, b, ops)
         score, last = 0, "M"
         for op, p, q in zip(ops, one, two, strict=True):
@@ -106,6 +106,109 @@ def test_affine_is_optimal_on_short_strings():
         assert variants.expand(a, b, variants.contract(one, two)) == (one, two)
 
 
+def worth(ref, qry, row, o):
+    """The score of an alignment, and that it covers what it says."""
+    lo1, hi1, lo2, hi2, ops = row
+    one, two = extend.gapped(ref[lo1 - 1 : hi1], qry[lo2 - 1 : hi2], ops)
+    assert one.replace(extend.GAP, "") == ref[lo1 - 1 : hi1] and two.replace(extend.GAP, "") == qry[lo2 - 1 : hi2]
+    score, last = 0, "M"
+    for op, p, q in zip(ops, one, two, strict=True):
+        score += (o.good if p == q else o.bad) if op == "M" else o.gap_more if op == last else o.gap_open
+        last = op
+    return score
+
+
+def best_global(ref, qry, o):
+    """The best score of an alignment of both whole strings, by rows."""
+    low = -(10**9)
+    rows = [[(low, low, low)] * (len(qry) + 1) for _ in range(len(ref) + 1)]
+    rows[0][0] = (0, low, low)
+    for i in range(len(ref) + 1):
+        for j in range(len(qry) + 1):
+            if i or j:
+                m = max(rows[i - 1][j - 1]) + (o.good if ref[i - 1] == qry[j - 1] else o.bad) if i and j else low
+                d = max(rows[i - 1][j][0] + o.gap_open, rows[i - 1][j][1] + o.gap_more, rows[i - 1][j][2] + o.gap_open) if i else low
+                q = max(rows[i][j - 1][0] + o.gap_open, rows[i][j - 1][1] + o.gap_open, rows[i][j - 1][2] + o.gap_more) if j else low
+                rows[i][j] = (m, d, q)
+    return max(rows[-1][-1])
+
+
+def test_alignments_join_backwards():
+    """A cluster off the diagonal is the first one's target and can't be reached; the one on the diagonal reaches back."""
+    rng = random.Random(21)
+    joined = 0
+    for _ in range(25):
+        a, between, b, rest = bases(rng, 60), bases(rng, rng.randint(24, 40)), bases(rng, 60), bases(rng, 300)
+        changed = [c if rng.random() < 0.8 else rng.choice("acgt") for c in between]
+        if rng.random() < 0.5:
+            del changed[rng.randrange(len(changed))]
+        ref = a + between + b
+        qry = a + "".join(changed) + b + rest
+        gap = len(changed)
+        # as if eight letters just after the first cluster matched far on in the query
+        off = (60 + 9, 60 + gap + 95, 9)
+        o = extend.Options(min_match=20, break_length=200)
+        clusters = [[(1, 1, 60)], [off], [(61 + len(between), 61 + gap, 60)]]
+        rows = extend.extend_pair(ref, qry, clusters, o)
+        whole = max(rows, key=lambda r: r[1] - r[0])
+        assert whole[:2] == (1, len(ref)) and whole[2] == 1 and whole[3] >= 60 + gap + 60
+        at = 60 + gap + 60
+        assert worth(ref, qry, (1, len(ref), 1, at, whole[4][: len(whole[4]) - (whole[3] - at)]), o) == best_global(ref, qry[:at], o)
+        joined += 1
+        # without the way back there are two
+        assert len([r for r in extend.extend_pair(ref, qry, clusters[:2], o) if r[0] == 1]) == 1
+    assert joined == 25
+
+
+def test_extension_covers_planted_pairs():
+    """Random edits between clusters, all orders of clusters given, no letter used twice on the way."""
+    rng = random.Random(22)
+    for _ in range(40):
+        o = extend.Options(min_match=12, break_length=rng.choice([40, 200]))
+        blocks, ref, qry, clusters = rng.randint(1, 5), "", "", []
+        for _ in range(blocks):
+            ref, qry = ref + bases(rng, rng.randint(0, 30)), qry + bases(rng, rng.randint(0, 30))
+            same = bases(rng, rng.randint(12, 50))
+            clusters.append([(len(ref) + 1, len(qry) + 1, len(same))])
+            ref, qry = ref + same, qry + same
+        rng.shuffle(clusters)
+        rows = extend.extend_pair(ref, qry, clusters, o)
+        for row in rows:
+            worth(ref, qry, row, o)
+        for c in clusters:
+            s1, s2, size = c[0]
+            assert any(r[0] <= s1 and s1 + size - 1 <= r[1] and r[2] <= s2 and s2 + size - 1 <= r[3] for r in rows)
+
+
+def test_a_search_stops_when_the_score_no_longer_rises():
+    rng = random.Random(23)
+    o = extend.Options(break_length=40)
+    code = lambda t: np.frombuffer(t.encode(), np.uint8)
+    good = bases(rng, 50)
+    # 30 letters of no kinship are 60 anti-diagonals, and 50 good ones don't make up for them
+    a, b = good + "a" * 30 + good, good + "c" * 30 + good
+    for mode in (extend.BEST, extend.TARGET):
+        assert extend.affine(code(a), code(b), o, mode) == (50, 50, "M" * 50, False)
+    u, v, ops, reached = extend.affine(code(a), code(b), o, extend.FORCED)
+    assert (u, v, reached) == (130, 130, True)
+    assert extend.affine(code(a), code(b), extend.Options(break_length=170), extend.TARGET)[3]
+    assert extend.affine(code(good), code(good), o, extend.BEST) == (50, 50, "M" * 50, True)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_pair_with_two_indels_and_a_substitution(spark, seed):
+    """One letter lost on each side and one changed: errors and deltas are counted, whatever the random letters."""
+    rng = random.Random(seed)
+    ref = bases(rng, 1000)
+    qry = ref[900:] + bases(rng, 900)
+    ref = ref[:950] + ref[951:]
+    qry = qry[:75] + qry[76:]
+    qry = qry[:25] + ("c" if qry[25] == "a" else "a") + qry[26:]
+    rows = align(frame(spark, {"r": ref}), frame(spark, {"q": qry}), extend.Options(min_match=10, min_cluster=15)).collect()
+    best = [r for r in rows if r.s1 == 901]
+    assert len(best) == 1 and (best[0].e1 >= 998 and best[0].s2 == 1 and best[0].errors <= 4 and len(best[0].deltas) == 2)
+
+
 def test_iupac_and_translation():
     assert fn.compatible("r", "a") and fn.compatible("a", "r") and not fn.compatible("r", "k")
     assert fn.compatible("y", "b") and not fn.compatible("b", "y") and fn.compatible("n", "t") and fn.compatible("r", "d")
