@@ -2,9 +2,11 @@
 
 Maximal matches come in one of two ways. A reference that is proven small (its letters are counted
 first) is broadcast as a sorted table of window hashes and queries stream past it, and nothing is
-shuffled. A larger one is joined by window hash. Either way runs of hits on a diagonal are the
-matches (gaps and islands), and their letters are compared when they are assembled: a run in which
-two windows only share a hash is cut where letters differ. Uniqueness is decided by
+shuffled. A larger one is joined by sampled seeds (``seeds.sampled``), which any two equal stretches of
+enough letters share; a seed that is very frequent is dealt over a grid of tasks. Either way hits that
+follow each other on a diagonal are runs (gaps and islands), and letters are compared when matches are
+assembled: a match is what is equal, whatever hashes say. Letters travel as short pieces of
+their sequences, and what is equal over the border of two pieces is glued. Uniqueness is decided by
 interval containment with running maxima, never by joining matches with each other.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import flip, reverse_complement
-from helixframe.operators.seeds import code_points, extract, window_hashes
+from helixframe.operators.seeds import code_points, sampled, seed_length, window_hashes
 
 SCHEMA = "ref_id string, qry_id string, strand int, s1 long, s2 long, len long"
 #: Letters of reference up to which it is broadcast: eight bytes of hash and four of place for each.
@@ -98,55 +100,145 @@ def equal_runs(one: np.ndarray, two: np.ndarray, length: int) -> list[tuple[int,
     return [(int(a), int(z - a)) for a, z in zip(starts, ends, strict=True) if z - a >= length]
 
 
-#: Starts of matches of one sequence that are cut out of it together.
-STRETCH = 1 << 20
+#: Letters of one piece of a sequence.
+PIECE = 1 << 14
+#: Seeds of each side that may be dealt over a grid of tasks, and rows of either side that one of these tasks has.
+HOTTEST, HOT_ROWS = 1000, 1 << 13
 
 
-def with_letters(rows: DataFrame, seqs: DataFrame, id_column: str, start: str, name: str) -> DataFrame:
-    """Add ``name``: the letters of each row's stretch. A sequence moves once for each ``STRETCH`` of it that has rows, not once for each row."""
-    kept = [c for c in rows.columns if c != id_column]
-    held = rows.groupBy(id_column, F.floor((F.col(start) - 1) / STRETCH).alias("_part")).agg(F.collect_list(F.struct(*kept)).alias("_rows"))
-    met = held.join(seqs.select(F.col("seq_id").alias(id_column), F.col("seq").alias("_seq")), id_column)
-    cut = F.transform("_rows", lambda r: F.struct(r.alias("r"), F.substring(F.col("_seq"), r[start].cast("int"), r["len"].cast("int")).alias("l")))
-    return met.select(id_column, F.explode(cut).alias("_c")).select(id_column, *[F.col("_c.r")[c].alias(c) for c in kept], F.col("_c.l").alias(name))
+def pieces(seqs: DataFrame, id_column: str, size: int = PIECE, overlap: int = 0) -> DataFrame:
+    """``id_column, part, letters``: each sequence in pieces of ``size`` letters, with the ``overlap`` letters after each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for seq_id, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts = range(-(-len(seq) // size))
+                yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array([seq[k * size : (k + 1) * size + overlap] for k in parts], pa.string())], names=[id_column, "part", "letters"])
+
+    return seqs.select("seq_id", F.coalesce("seq", F.lit("")).alias("seq")).mapInArrow(run, f"{id_column} string, part long, letters string")
+
+
+def with_letters(rows: DataFrame, seqs: DataFrame, id_column: str, start: str, name: str, size: int = PIECE) -> DataFrame:
+    """Add ``name``: the letters of each row's stretch; rows join the pieces of the sequence that they lie in."""
+    first, last = F.floor((F.col(start) - 1) / size), F.floor((F.col(start) + F.greatest(F.col("len"), F.lit(1)) - 2) / size)
+    placed = rows.withColumn("_first", first).withColumn("_last", last)
+    held = pieces(seqs, id_column, size).select(F.col(id_column).alias("_id"), F.col("part").alias("_part"), F.col("letters").alias("_letters"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        begin = F.greatest(F.col(start), F.col("_part") * size + 1)
+        end = F.least(F.col(start) + F.col("len"), (F.col("_part") + 1) * size + 1)
+        met = df.join(held.withColumnRenamed("_part", "_of"), (F.col("_id") == F.col(id_column)) & (F.col("_of") == F.col("_part")))
+        return met.withColumn("_cut", F.substring(F.col("_letters"), (begin - F.col("_part") * size).cast("int"), (end - begin).cast("int")))
+
+    own = rows.columns
+    within = cut(placed.filter("_first = _last").withColumn("_part", F.col("_first"))).select(*own, F.col("_cut").alias(name))
+    # rows over a border: each once for every piece, equal rows counted and given back
+    over = placed.filter("_first < _last").groupBy(*own, "_first", "_last").agg(F.count(F.lit(1)).alias("_n"))
+    apart = cut(over.withColumn("_part", F.explode(F.sequence("_first", "_last"))))
+    whole = apart.groupBy(*own, "_n").agg(F.array_sort(F.collect_list(F.struct("_part", "_cut"))).alias("_cuts"))
+    joined = whole.withColumn(name, F.array_join(F.transform("_cuts", lambda c: c["_cut"]), "")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return within.unionByName(joined.select(*own, name))
+
+
+def _by_seed(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``ref_id, way_id, s1, s2`` of all equal seeds. The rows of the ``HOTTEST`` seeds of either side, if over ``HOT_ROWS``, are dealt over a grid of tasks."""
+    counts: dict[int, list[int]] = {}
+    for side, rows in enumerate((ours, theirs)):
+        hot = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOTTEST)
+        for r in hot.collect():
+            counts.setdefault(r.kmer, [1, 1])[side] = -(-r.n // HOT_ROWS)
+    out = ["ref_id", "way_id", "s1", "s2"]
+    if not counts:
+        return ours.join(theirs, "kmer").select(*out)
+    grid = F.broadcast(ours.sparkSession.createDataFrame([(k, *parts) for k, parts in counts.items()], "kmer long, parts1 int, parts2 int"))
+    hot = F.col("kmer").isin(list(counts))
+    rows1, rows2 = (side.filter(hot).join(grid, "kmer") for side in (ours, theirs))
+    part = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows1 = rows1.select("kmer", "ref_id", "s1", part("parts1", "ref_id", "s1").alias("part1"), every("parts2").alias("part2"))
+    rows2 = rows2.select("kmer", "way_id", "s2", every("parts1").alias("part1"), part("parts2", "way_id", "s2").alias("part2"))
+    calm = ours.filter(~hot).join(theirs.filter(~hot), "kmer").select(*out)
+    return calm.unionByName(rows1.join(rows2, ["kmer", "part1", "part2"]).select(*out))
+
+
+def _keyed(queries: DataFrame) -> DataFrame:
+    """Dealt queries under names that hold the strand."""
+    return queries.select(F.concat_ws("\t", F.col("strand").cast("string"), "seq_id").alias("seq_id"), "seq")
 
 
 def _joined(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
-    ours = extract(refs, length).select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), "kmer")
-    keyed = queries.select(F.concat_ws("\t", F.col("strand").cast("string"), "seq_id").alias("seq_id"), "seq")
-    return verified(ours.join(extract(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer"), "kmer").drop("kmer"), refs, keyed, length)
+    return _from_seeds(sampled(refs, length), refs, _keyed(queries), length, seed_length(length))
 
 
-def from_index(seeds: DataFrame, refs: DataFrame, queries: DataFrame, length: int, strand: str = "forward") -> DataFrame:
-    """Maximal matches against a reference whose windows were extracted before (``seq_id, pos, kmer``, as saved and loaded)."""
-    keyed = strands(queries, strand).select(F.concat_ws("\t", F.col("strand").cast("string"), "seq_id").alias("seq_id"), "seq")
-    ours = seeds.select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), "kmer")
-    theirs = extract(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer")
-    return verified(ours.join(theirs, "kmer").drop("kmer"), refs, keyed, length)
+def from_index(seeds: DataFrame, refs: DataFrame, queries: DataFrame, length: int, strand: str = "forward", seed: int | None = None) -> DataFrame:
+    """Maximal matches against a reference whose seeds were taken before (``seq_id, pos, kmer``, as saved and loaded).
 
+    ``seeds`` are those of ``sampled(refs, length, seed)``; of ``extract(refs, length)`` if ``seed`` is ``length``.
+    """
+    return _from_seeds(seeds, refs, _keyed(strands(queries, strand)), length, seed or seed_length(length))
 
-def verified(hits: DataFrame, refs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
-    """Matches of hits (``ref_id, way_id, s1, s2``) whose letters are equal; ``keyed`` has the queries by strand and id."""
-    found = islands(hits, length)
-    both = with_letters(with_letters(found, refs, "ref_id", "s1", "one"), keyed, "way_id", "s2", "two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for ref_id, way_id, s1, s2, one, two in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
-                way, qry_id = way_id.split("\t", 1)
-                out += [(ref_id, qry_id, int(way), s1 + i, s2 + i, n) for i, n in equal_runs(code_points(one), code_points(two), length)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(KINDS)], names=NAMES)
+def _from_seeds(seeds: DataFrame, refs: DataFrame, keyed: DataFrame, length: int, seed: int) -> DataFrame:
+    ours = seeds.select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), "kmer")
+    theirs = sampled(keyed, length, seed).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer")
+    return verified(islands(_by_seed(ours, theirs), length, seed), refs, keyed, length)
 
-    return both.select("ref_id", "way_id", "s1", "s2", "one", "two").mapInArrow(run, SCHEMA)
 
+def islands(hits: DataFrame, length: int, seed: int) -> DataFrame:
+    """``ref_id, way_id, s1, s2, len``: stretches that hold every match of at least ``length`` letters with the ``hits`` on its diagonal.
 
-def islands(hits: DataFrame, length: int) -> DataFrame:
-    """Runs of consecutive hits on a diagonal: ``ref_id, way_id, s1, s2, len``."""
-    on = ["ref_id", "way_id", "diagonal"]
+    Within a match hits are at most ``length - seed + 1`` letters apart, and it reaches less than that beyond them.
+    """
+    span = length - seed + 1
+    on = Window.partitionBy("ref_id", "way_id", "diagonal").orderBy("s1")
     rows = hits.withColumn("diagonal", F.col("s1") - F.col("s2"))
-    rows = rows.withColumn("run", F.col("s1") - F.row_number().over(Window.partitionBy(*on).orderBy("s1")))
-    return rows.groupBy(*on, "run").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.count(F.lit(1)) + length - 1).alias("len")).select("ref_id", "way_id", "s1", "s2", "len")
+    rows = rows.withColumn("_new", F.coalesce((F.col("s1") - F.lag("s1").over(on) > span).cast("int"), F.lit(0)))
+    rows = rows.withColumn("run", F.sum("_new").over(on))
+    found = rows.groupBy("ref_id", "way_id", "diagonal", "run").agg(F.min("s1").alias("first"), F.max("s1").alias("last"))
+    back = F.least(F.lit(span - 1), F.col("first") - 1, F.col("first") - F.col("diagonal") - 1)
+    found = found.withColumn("s1", F.col("first") - back)
+    return found.select("ref_id", "way_id", "s1", (F.col("s1") - F.col("diagonal")).alias("s2"), (F.col("last") - F.col("s1") + seed + span - 1).alias("len"))
+
+
+def verified(stretches: DataFrame, refs: DataFrame, keyed: DataFrame, length: int, size: int = PIECE) -> DataFrame:
+    """Matches of at least ``length`` equal letters in ``stretches`` (``ref_id, way_id, s1, s2, len``); ``keyed`` has the queries by strand and id."""
+    # cut at the reference's pieces; a query piece holds the letters of the next one too
+    first, last = F.floor((F.col("s1") - 1) / size), F.floor((F.col("s1") + F.col("len") - 2) / size)
+    cut = stretches.withColumn("part1", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("s1"), F.col("part1") * size + 1)
+    end = F.least(F.col("s1") + F.col("len"), (F.col("part1") + 1) * size + 1)
+    cut = cut.select("ref_id", "way_id", begin.alias("s1"), (begin - F.col("s1") + F.col("s2")).alias("s2"), (end - begin).alias("len"), "part1", (begin > F.col("s1")).alias("left"), (end < F.col("s1") + F.col("len")).alias("right"))
+    cut = cut.withColumn("part2", F.floor((F.col("s2") - 1) / size))
+    ours = pieces(refs, "ref_id", size).select("ref_id", F.col("part").alias("part1"), F.col("letters").alias("one"))
+    theirs = pieces(keyed, "way_id", size, size).select("way_id", F.col("part").alias("part2"), F.col("letters").alias("two"))
+    inner = lambda text, start, part: F.substring(F.col(text), (F.col(start) - F.col(part) * size).cast("int"), F.col("len").cast("int")).alias(text)
+    kept = ["ref_id", "way_id", "s1", "s2", "len", "left", "right"]
+    met = cut.join(ours, ["ref_id", "part1"]).select(*kept, "part2", inner("one", "s1", "part1"))
+    met = met.join(theirs, ["way_id", "part2"]).select(*kept, "one", inner("two", "s2", "part2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for ref_id, way_id, s1, s2, size_, left, right, one, two in zip(*[b.column(i).to_pylist() for i in range(9)], strict=True):
+                n = min(len(one), len(two))
+                for i, m in equal_runs(code_points(one[:n]), code_points(two[:n]), 1 if left or right else length):
+                    before, after = left and i == 0, right and i + m == size_
+                    if m and (m >= length or before or after):
+                        out.append((ref_id, way_id, s1 + i, s2 + i, m, before, after))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["ref_id", "way_id", "s1", "s2", "len", "left", "right"])
+
+    runs = met.mapInArrow(run, "ref_id string, way_id string, s1 long, s2 long, len long, left boolean, right boolean")
+    plain = ["ref_id", "way_id", "s1", "s2", "len"]
+    # runs that touch a border go on where the one before ends
+    diagonal = F.col("s1") - F.col("s2")
+    on = Window.partitionBy("ref_id", "way_id", diagonal).orderBy("s1")
+    touching = runs.filter("left OR right").withColumn("_new", F.coalesce((F.lag(F.col("s1") + F.col("len")).over(on) < F.col("s1")).cast("int"), F.lit(0)))
+    touching = touching.withColumn("_run", F.sum("_new").over(on)).groupBy("ref_id", "way_id", diagonal.alias("_diagonal"), "_run")
+    glued = touching.agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.max(F.col("s1") + F.col("len")) - F.min("s1")).alias("len")).filter(F.col("len") >= length)
+    found = runs.filter("NOT left AND NOT right").select(*plain).unionByName(glued.select(*plain))
+    way = F.split("way_id", "\t", 2)
+    return found.select("ref_id", way[1].alias("qry_id"), way[0].cast("int").alias("strand"), "s1", "s2", "len")
 
 
 def _outermost(matches: DataFrame, over: list[str], start: str) -> DataFrame:

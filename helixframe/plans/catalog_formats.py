@@ -107,7 +107,7 @@ def mem_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.operators import seeds
 
     refs, path = table(spark, sf_dir, "benchmark"), scratch(spark, "seeds")
-    seeds.save(seeds.extract(refs, TEXT_MATCH), path)
+    seeds.save(seeds.sampled(refs, TEXT_MATCH), path)
     return matches.from_index(seeds.load(spark, path), refs, table(spark, sf_dir, "documents"), TEXT_MATCH)
 
 

@@ -95,6 +95,57 @@ def test_seeds_are_kept_and_read_again(spark, tmp_path):
     assert sorted(map(tuple, seeds.load(spark, str(tmp_path / "seeds")).select("seq_id", "pos", "kmer").collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_equal_stretches_share_a_sampled_seed():
+    rng = random.Random(7)
+    for _ in range(150):
+        length = rng.randint(1, 30)
+        seed = rng.choice([seeds.seed_length(length), rng.randint(1, length)])
+        core = "".join(rng.choice("acgt"[: rng.randint(1, 4)]) for _ in range(rng.randint(length, 3 * length)))
+        texts = ["".join(rng.choice("acgt") for _ in range(rng.randint(0, 40))) + core + "".join(rng.choice("acgt") for _ in range(rng.randint(0, 40))) for _ in range(2)]
+        found = []
+        for t in texts:
+            at = seeds.sampled_places(seeds.window_hashes(seeds.code_points(t), seed), length - seed + 1) - t.index(core)
+            found.append(set(at[(at >= 0) & (at + seed <= len(core))].tolist()))
+        shared = sorted(found[0] & found[1])
+        gaps = [b - a for a, b in zip(shared, shared[1:])]
+        span = length - seed + 1
+        assert shared and shared[0] < span and len(core) - seed - shared[-1] < span and max(gaps, default=0) <= span
+
+
+def test_sampling_leaves_few_rows(spark):
+    texts = made(8, 4, 4000, "acgt")
+    whole, some = seeds.extract(frame(spark, texts), 30).count(), seeds.sampled(frame(spark, texts), 30).count()
+    assert whole / some > 0.8 * (30 - seeds.seed_length(30) + 2) / 2
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_frequent_seeds_and_borders_of_pieces(spark, monkeypatch, hot):
+    """One seed in most rows of both sides, dealt over a grid or not, and pieces shorter than the matches."""
+    monkeypatch.setattr(matches, "HOT_ROWS", hot)
+    rng = random.Random(9)
+    bits = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    refs = {f"r{i}": bits(rng.randint(0, 9)) + "acca" * 4 + bits(rng.randint(0, 30)) for i in range(4)} | {"a": "a" * 25}
+    queries = {f"q{i}": bits(rng.randint(0, 9)) + "acca" * 3 + bits(9) for i in range(9)} | {"t": refs["r1"] * 2, "u": "a" * 17, "v": ""}
+    want = sorted(brute(refs, queries, 6))
+    assert sorted(map(tuple, matches.maximal_matches(frame(spark, refs), frame(spark, queries), 6, broadcast_letters=0).collect())) == want
+    one, keyed = frame(spark, refs), matches._keyed(matches.strands(frame(spark, queries)))
+    for seed, size in ((6, 5), (4, 11)):
+        ours = seeds.sampled(one, 6, seed).toDF("ref_id", "s1", "kmer")
+        theirs = seeds.sampled(keyed, 6, seed).toDF("way_id", "s2", "kmer")
+        rows = matches.verified(matches.islands(matches._by_seed(ours, theirs), 6, seed), one, keyed, 6, size)
+        assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_letters_of_stretches(spark):
+    texts = made(10, 3, 60) | {"e": "é漢x" * 9}
+    rows = [(k, s + 1, n, s % 3) for k, t in texts.items() for s in range(0, len(t), 5) for n in (1, 4, 23) if s + n <= len(t)] * 2
+    df = spark.createDataFrame(rows, "ref_id string, s1 long, len long, other int")
+    for size in (7, 1 << 14):
+        got = matches.with_letters(df, frame(spark, texts), "ref_id", "s1", "letters", size)
+        assert got.columns == ["ref_id", "s1", "len", "other", "letters"]
+        assert sorted(map(tuple, got.collect())) == sorted((k, s, n, o, texts[k][s - 1 : s - 1 + n]) for k, s, n, o in rows)
+
+
 def test_empty_tables(spark):
     none = frame(spark, {"x": ""}).limit(0)
     assert matches.maximal_matches(none, frame(spark, {"q": "acgt"}), 2).count() == 0

@@ -91,8 +91,11 @@ def test_letters_decide_where_hashes_collide(spark, monkeypatch):
     assert {tuple(r) for r in streamed.collect()} == want and want
     one, keyed = frame(refs), frame([(f"1\t{i}", s) for i, s in queries])
     hits = [(r, f"1\t{q}", a + 1, b + 1) for r, x in refs for q, y in queries for a in range(len(x) - 4) for b in range(len(y) - 4)]
-    joined = matches.verified(spark.createDataFrame(hits, "ref_id string, way_id string, s1 long, s2 long"), one, keyed, 5)
-    assert {tuple(r) for r in joined.collect()} == want
+    for size in (matches.PIECE, 6):
+        joined = matches.verified(matches.islands(spark.createDataFrame(hits, "ref_id string, way_id string, s1 long, s2 long"), 5, 5), one, keyed, 5, size)
+        assert sorted(tuple(r) for r in joined.collect()) == sorted(want)
+    monkeypatch.setattr(seeds, "window_hashes", lambda x, n, whole=seeds.window_hashes: whole(x, n) & np.uint64(1))
+    assert sorted(tuple(r) for r in matches.maximal_matches(frame(refs), frame(queries), 5, broadcast_letters=0).collect()) == sorted(want)
 
 
 def test_every_occurrence_is_found(spark):
