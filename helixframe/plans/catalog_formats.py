@@ -111,13 +111,15 @@ def mem_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.from_index(seeds.load(spark, path), refs, table(spark, sf_dir, "documents"), TEXT_MATCH)
 
 
-_ONLY = (5, "SELECT item_id::VARCHAR AS id, regexp_replace(lower(text), '[^acgt]', '#', 'g') AS seq FROM benchmark", "SELECT item_id::VARCHAR AS id, 1 AS strand, regexp_replace(lower(text), '[^acgt]', '~', 'g') AS seq FROM benchmark")
+#: Letters as bases, but e as any base: stretches of acgt between others.
+_MIXED = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtncgtacgtacgtacgtacgtac')"
+_ONLY = (7, f"SELECT item_id::VARCHAR AS id, regexp_replace({_MIXED}, '[^acgt]', '#', 'g') AS seq FROM benchmark", f"SELECT item_id::VARCHAR AS id, 1 AS strand, regexp_replace({_MIXED}, '[^acgt]', '~', 'g') AS seq FROM benchmark")
 
 
 @query(_mem_sql(*_ONLY) + _MEM_OUT + "mem")
 def mem_nucleotides_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    return matches.maximal_matches(items, items, 5, nucleotides_only=True)
+    items = table(spark, sf_dir, "benchmark").withColumn("seq", F.translate("seq", "abcdefghijklmnopqrstuvwxyz", "acgtncgtacgtacgtacgtacgtac"))
+    return matches.maximal_matches(items, items, 7, nucleotides_only=True)
 
 
 _TURNED = (12, f"SELECT item_id::VARCHAR AS id, {DNA.format('text')} AS seq FROM benchmark", f"SELECT item_id::VARCHAR AS id, -1 AS strand, {REVCOMP.format(DNA.format('text'))} AS seq FROM benchmark")
@@ -418,3 +420,103 @@ def regions_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.plans.align import anchored
 
     return regions(anchored(table(spark, sf_dir, "benchmark", dna=True), table(spark, sf_dir, "documents", dna=True), "reference"))
+
+
+# Differences with indels: each benchmark item's DNA against an edited copy, and its middle against another one on the other strand
+
+_EDITED = f"""WITH d AS (SELECT item_id, item_id::VARCHAR AS id, {DNA.format('text')} AS r, length({DNA.format('text')}) AS n FROM benchmark WHERE length({DNA.format('text')}) > 5),
+p AS (SELECT *, unnest(range(1, n + 1)) AS p FROM d),
+e AS (SELECT *, substring(r, p, 1) AS x, p BETWEEN 3 AND n - 3 AND (p % 23 IN (7, 8) OR p % 41 = 20) AS gone, p BETWEEN 3 AND n - 3 AND p % 17 = 3 AS other,
+  CASE WHEN p NOT BETWEEN 3 AND n - 3 THEN '' WHEN p % 29 = 11 THEN 'acg' WHEN p % 23 = 9 THEN 't' ELSE '' END AS more FROM p),
+c AS (SELECT 2 * item_id AS aln_id, id, 'a' AS kind, n, r, p, 0 AS k, x, CASE WHEN gone THEN NULL WHEN other THEN translate(x, 'acgt', 'cgta') ELSE x END AS y FROM e
+  UNION ALL SELECT 2 * item_id, id, 'a', n, r, p, k, NULL, substring(more, k, 1) FROM (SELECT *, unnest(range(1, length(more) + 1)) AS k FROM e)
+  UNION ALL SELECT 2 * item_id + 1, id, 'b', n, r, p, 0, x, CASE WHEN p % 13 = 4 THEN translate(x, 'acgt', 'cgta') ELSE x END FROM e WHERE p BETWEEN n // 3 + 1 AND 2 * n // 3),
+w AS (SELECT *, row_number() OVER o - 1 AS col, CASE kind WHEN 'a' THEN 0 ELSE n // 3 END + count(x) OVER o AS p1, count(y) OVER o AS at2, count(y) OVER (PARTITION BY aln_id) AS m2,
+  CASE kind WHEN 'a' THEN 1 ELSE n // 3 + 1 END AS lo, CASE kind WHEN 'a' THEN n ELSE 2 * n // 3 END AS hi,
+  {' || '.join(f"coalesce({f}(coalesce(x, '-'), {abs(i)}) OVER o, '-')" if i else "coalesce(x, '-')" for i, f in ((-2, 'lag'), (-1, 'lag'), (0, ''), (1, 'lead'), (2, 'lead')))} AS ctx_r,
+  {' || '.join(f"coalesce({f}(coalesce(y, '-'), {abs(i)}) OVER o, '-')" if i else "coalesce(y, '-')" for i, f in ((-2, 'lag'), (-1, 'lag'), (0, ''), (1, 'lead'), (2, 'lead')))} AS ctx_q
+  FROM c WINDOW o AS (PARTITION BY aln_id ORDER BY p, k)),
+z AS (SELECT *, CASE kind WHEN 'a' THEN 2 + at2 ELSE m2 - at2 + 2 END AS p2, CASE kind WHEN 'a' THEN m2 + 5 ELSE m2 + 3 END AS qry_len FROM w),
+s AS (SELECT aln_id, id, r, n, id AS ref_id, id || kind AS qry_id, p1, p2, coalesce(upper(x), '.') AS sub_r, coalesce(upper(y), '.') AS sub_q, col, upper(ctx_r) AS ctx_r, upper(ctx_q) AS ctx_q, lo, hi, qry_len,
+  CASE WHEN kind = 'b' OR p1 BETWEEN n // 3 + 1 AND 2 * n // 3 THEN 1 ELSE 0 END AS con_r FROM z WHERE x IS DISTINCT FROM y),
+f AS (SELECT *, least(p1 - lo + 1, hi - p1 + 1, coalesce(p1 - lag(p1) OVER o, n), coalesce(lead(p1) OVER o - p1, n)) AS buff, least(p1, n - p1 + 1, p2, qry_len - p2 + 1) AS dist FROM s WINDOW o AS (PARTITION BY aln_id ORDER BY p1, p2, col)) """
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Alignments with runs of planted indels and substitutions and with clipped ends, two over each item's middle, and the same with their stretches."""
+    import pyarrow as pa
+
+    refs = table(spark, sf_dir, "benchmark", dna=True).filter("len > 5")
+    changed, columns = str.maketrans("acgt", "cgta"), "aln_id long, ref_id string, qry_id string, ref_len long, qry_len long, s1 long, e1 long, s2 long, e2 long, deltas array<long>, errors long, dir2 long, query string"
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string()]
+
+    def plant(batches):
+        for b in batches:
+            out = []
+            for k, name, seq in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                n, one, two = len(seq), [], []
+                for p, x in enumerate(seq, 1):
+                    inner = 3 <= p <= n - 3
+                    gone = inner and (p % 23 in (7, 8) or p % 41 == 20)
+                    more = ("acg" if p % 29 == 11 else "t" if p % 23 == 9 else "") if inner else ""
+                    one.append(x + variants.GAP * len(more))
+                    two.append((variants.GAP if gone else x.translate(changed) if inner and p % 17 == 3 else x) + more)
+                one, two = "".join(one), "".join(two)
+                whole = two.replace(variants.GAP, "")
+                off = sum(x != y for x, y in zip(one, two, strict=True))
+                out.append((2 * k, name, f"{name}a", n, len(whole) + 5, 1, n, 3, len(whole) + 2, variants.contract(one, two), off, 1, f"gg{whole}ttt"))
+                lo, hi = n // 3 + 1, 2 * n // 3
+                middle = "".join(x.translate(changed) if p % 13 == 4 else x for p, x in enumerate(seq[lo - 1 : hi], lo))
+                off = sum(x != y for x, y in zip(seq[lo - 1 : hi], middle, strict=True))
+                out.append((2 * k + 1, name, f"{name}b", n, len(middle) + 3, lo, hi, len(middle) + 1, 2, [], off, -1, "a" + fn.revcomp(middle) + "cc"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in columns.split(", ")])
+
+    rows = refs.select("ord", "seq_id", "seq").mapInArrow(plant, columns)
+    queries = rows.select(F.col("qry_id").alias("seq_id"), F.col("query").alias("seq"))
+    rows = rows.drop("query")
+    return rows, variants.with_sequences(rows, refs, queries)
+
+
+def _edited_snps(spark: SparkSession, sf_dir: str, context: int = 0) -> DataFrame:
+    rows, both = _edited(spark, sf_dir)
+    return variants.snps(variants.differences(both, context), rows)
+
+
+@query(_EDITED + "SELECT aln_id, ref_id, qry_id, p1, p2, sub_r, sub_q, buff, dist, con_r, 0 AS con_q, ctx_r, ctx_q FROM f")
+def snps_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited_snps(spark, sf_dir, context=2).select("aln_id", "ref_id", "qry_id", "p1", "p2", "sub_r", "sub_q", "buff", "dist", "con_r", "con_q", "ctx_r", "ctx_q")
+
+
+@query(_EDITED + "SELECT aln_id, p1, p2, sub_r, sub_q FROM f WHERE con_r = 0")
+def snps_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.unambiguous(_edited_snps(spark, sf_dir)).select("aln_id", "p1", "p2", "sub_r", "sub_q")
+
+
+@query(_EDITED + "SELECT aln_id, p1, p2, sub_r, sub_q FROM f WHERE sub_r <> '.' AND sub_q <> '.'")
+def snps_without_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.without_indels(_edited_snps(spark, sf_dir)).select("aln_id", "p1", "p2", "sub_r", "sub_q")
+
+
+@query(_EDITED + """, g AS (SELECT *, CASE WHEN sub_r = '.' THEN 'I' WHEN sub_q = '.' THEN 'D' ELSE 'S' END AS kind FROM f),
+h AS (SELECT *, CASE kind WHEN 'S' THEN col ELSE col - row_number() OVER (PARTITION BY aln_id, kind ORDER BY col) END AS run FROM g),
+v AS (SELECT ref_id, aln_id, kind, any_value(r) AS r, CASE kind WHEN 'D' THEN min(p1) - 1 ELSE min(p1) END AS pos, string_agg(sub_r, '' ORDER BY col) AS gone, string_agg(sub_q, '' ORDER BY col) AS come FROM h GROUP BY ref_id, aln_id, kind, run),
+b AS (SELECT *, upper(substring(r, pos, 1)) AS base FROM v)
+SELECT ref_id AS chrom, pos, CASE kind WHEN 'S' THEN gone WHEN 'D' THEN base || gone ELSE base END AS ref, CASE kind WHEN 'S' THEN come WHEN 'I' THEN base || come ELSE base END AS alt
+FROM b QUALIFY row_number() OVER (PARTITION BY ref_id, pos ORDER BY aln_id, kind) = 1""")
+def vcf_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of indels are one variant, and of two alignments at a place the first wins."""
+    return variants.vcf_rows(variants.differences(_edited(spark, sf_dir)[1]), table(spark, sf_dir, "benchmark", dna=True))
+
+
+@query(_EDITED + """, o AS (SELECT *, CASE WHEN x IS NULL THEN 'I' WHEN y IS NULL THEN 'D' ELSE 'M' END AS op FROM z),
+i AS (SELECT *, col - row_number() OVER (PARTITION BY aln_id, op ORDER BY col) AS run FROM o),
+q AS (SELECT aln_id, kind, op, run, min(col) AS col, count(*) AS n FROM i GROUP BY ALL),
+t AS (SELECT aln_id, CASE kind WHEN 'a' THEN '2S' ELSE '2S' END || string_agg(n || op, '' ORDER BY col) || CASE kind WHEN 'a' THEN '3S' ELSE '1S' END AS cigar FROM q GROUP BY aln_id, kind),
+m AS (SELECT *, p1 - lo + 1 AS nth, y IS NULL AS gone, coalesce(lag(y IS NULL) OVER (PARTITION BY aln_id ORDER BY col), false) AS before FROM z WHERE x IS NOT NULL),
+u AS (SELECT *, nth - coalesce(lag(nth) OVER (PARTITION BY aln_id ORDER BY col), 0) - 1 AS same FROM m WHERE x IS DISTINCT FROM y),
+x AS (SELECT aln_id, string_agg(CASE WHEN gone AND before THEN '' ELSE same || CASE WHEN gone THEN '^' ELSE '' END END || upper(x), '' ORDER BY col) AS md, max(nth) AS last FROM u GROUP BY aln_id),
+y AS (SELECT aln_id, max(p1 - lo + 1) AS size, sum((x IS DISTINCT FROM y)::INT)::BIGINT AS nm FROM z GROUP BY aln_id)
+SELECT aln_id, cigar, coalesce(md, '') || (size - coalesce(last, 0)) AS md, nm FROM t JOIN y USING (aln_id) LEFT JOIN x USING (aln_id)""")
+def sam_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CIGAR with clips on both strands, and MD."""
+    return variants.sam_columns(_edited(spark, sf_dir)[1]).select("aln_id", "cigar", "md", "nm")
