@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.chains import Bests, best_links
+
 SCHEMA = "ref_id string, qry_id string, strand int, cluster_id long, ord int, s1 long, s2 long, len long, adj long"
 
 
@@ -22,21 +26,53 @@ def thin(matches: np.ndarray) -> np.ndarray:
     place = np.arange(len(m))
     beaten, before, after = (np.zeros(len(m), bool) for _ in range(3))
     for same, across in ((0, 1), (1, 0)):
-        order = np.argsort(m[:, same], kind="stable")
+        order = np.lexsort((place, m[:, across], m[:, same]))
         for group in np.split(order, np.flatnonzero(np.diff(m[order, same])) + 1):
-            if len(group) < 2:
-                continue
-            start, size = m[group, across], m[group, 2]
-            shared = np.minimum.outer(start + size, start + size) - np.maximum.outer(start, start)
-            rival = shared >= np.minimum.outer(size, size) // 2
-            beaten[group] |= (rival & (size[None, :] > size[:, None])).any(axis=1)
-            twin = rival & (size[None, :] == size[:, None])
-            earlier = place[group][None, :] < place[group][:, None]
-            before[group] |= (twin & earlier).any(axis=1)
-            after[group] |= (twin & earlier.T).any(axis=1)
+            if len(group) > 1:
+                _rivals(m[group, across], m[group, 2], place[group], group, beaten, before, after)
     return m[~(beaten | before & after)]
 
 
+def _rivals(start: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray, beaten: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Mark matches of one ``group``, which begin at one place and on the other side at ascending ``start``.
+
+    Matches enter from the longest to the shortest. One of size ``n`` is rivalled by a longer one that
+    shares ``n // 2`` letters, so that begins at most ``n - n // 2`` later and ends at least ``n // 2`` after
+    the start: of those in reach of the one bound the furthest end decides. Twins of one size that share as
+    much begin at most ``n - n // 2`` apart, so their places' least and greatest are those of a window.
+    """
+    rank = {x: i for i, x in enumerate(np.unique(start).tolist())}
+    starts, reach = list(rank), Bests(len(rank))
+    by_size = np.argsort(-size, kind="stable")
+    for some in np.split(by_size, np.flatnonzero(np.diff(size[by_size])) + 1):
+        n = int(size[some[0]])
+        some = some[np.argsort(start[some], kind="stable")]
+        for i in some.tolist():
+            furthest = reach.below(bisect_right(starts, int(start[i]) + n - n // 2))
+            if furthest is not None and furthest[0] >= start[i] + n // 2:
+                beaten[group[i]] = True
+        at, slots = start[some], place[some]
+        lo, hi = np.searchsorted(at, at - (n - n // 2), "left"), np.searchsorted(at, at + (n - n // 2), "right")
+        before[group[some]] |= _window(np.minimum, slots, lo, hi) < slots
+        after[group[some]] |= _window(np.maximum, slots, lo, hi) > slots
+        for i in some.tolist():
+            reach.add(rank[int(start[i])], (int(start[i]) + n,))
+
+
+def _window(least: np.ufunc, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least (or greatest) of ``values`` from each ``lo`` up to ``hi``, by stretches of powers of two."""
+    levels, width = [values], 1
+    while 2 * width <= len(values):
+        levels.append(least(levels[-1][: len(levels[-1]) - width], levels[-1][width:]))
+        width *= 2
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), values.dtype)
+    for k in np.unique(level).tolist():
+        some = level == k
+        out[some] = least(levels[k][lo[some]], levels[k][hi[some] - (1 << k)])
+    return out
+
+
 def _one_on_a_diagonal(m: np.ndarray) -> np.ndarray:
     if not len(m):
         return m
@@ -129,13 +165,10 @@ def consistent_set(matches: DataFrame) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["s1", "s2"], kind="stable").reset_index(drop=True)
         s1, s2, size = (part[c].to_numpy(np.int64) for c in ("s1", "s2", "len"))
-        score, came = size.copy(), np.full(len(part), -1)
-        for i in range(1, len(part)):
-            over = np.maximum(np.maximum(s1[:i] + size[:i] - s1[i], s2[:i] + size[:i] - s2[i]), 0)
-            value = np.where((s1[:i] < s1[i]) & (s2[:i] < s2[i]) & (over < size[i]), score[:i] + size[i] - over, -1)
-            k = int(np.argmax(value))
-            if value[k] > score[i]:
-                score[i], came[i] = value[k], k
+        score, _, came = best_links(
+            s1, s1 + size - 1, s2, s2 + size - 1, np.ones(len(part), np.int64), size, lambda i, overlap: size[i] - overlap,
+            lambda i, j, overlap: (s1[j] < s1[i]) & (s2[j] < s2[i]) & (overlap < size[i]), near=False,
+        )
         kept, at = np.zeros(len(part), bool), int(np.argmax(score))
         while at >= 0:
             kept[at], at = True, came[at]

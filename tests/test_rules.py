@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from helixframe.operators import coords, extend, gaps, matches, protein, seeds, variants
@@ -146,3 +147,124 @@ def test_ids_of_alignments_fit_or_fail():
     assert len(ids) == 12 and max(ids) < 1 << 63
     with pytest.raises(OverflowError):
         _id(1 << 23, 0)
+
+
+def all_pairs_chain(lo1, hi1, lo2, hi2, way, own, after, allowed, near):
+    """Every row against every earlier one."""
+    n = len(lo1)
+    score, gap, came = [float(x) for x in own], [0.0] * n, [-1] * n
+    for i in range(n):
+        best = None
+        for j in range(i):
+            overlap = max(hi1[j] - lo1[i] + 1, hi2[j] - lo2[i] + 1, 0)
+            one, shared = np.array([j]), np.array([overlap])
+            if way[j] == way[i] and lo1[j] <= lo1[i] and lo2[j] <= lo2[i] and (overlap == 0 or allowed(i, one, shared)[0]):
+                d = gap[j] + abs(lo1[i] - hi1[j]) + abs(lo2[i] - hi2[j]) if near else 0
+                key = (-(score[j] + after(i, shared)[0]), d, j)
+                best = key if best is None else min(best, key)
+        if best is not None and -best[0] > score[i]:
+            score[i], gap[i], came[i] = -best[0], best[1], best[2]
+    return score, gap, came
+
+
+def test_links_are_those_of_all_pairs():
+    from helixframe.operators.chains import best_links
+
+    rng = np.random.default_rng(4)
+    for k in range(150):
+        n, wide = int(rng.integers(1, 40)), int(rng.choice([30, 200]))
+        lo1, lo2 = np.sort(rng.integers(0, wide, n)), rng.integers(0, wide, n)
+        size = rng.integers(1, 25, n)
+        hi1, hi2 = lo1 + size - 1, lo2 + size - 1 + (rng.integers(0, 3, n) if k % 2 else 0)
+        way, weight = rng.choice([1, -1], n) if k % 3 else np.ones(n, np.int64), rng.choice([0.25, 0.81, 1.0], n)
+        most = float(rng.choice([30.0, 100.0]))
+        after = lambda i, o: np.floor((size[i] - o) * weight[i])  # noqa: E731, B023
+        allowed = lambda i, j, o: (o * 100.0 <= most * size[i]) & (o < size[i])  # noqa: E731, B023
+        for near in (True, False):
+            given = (lo1, hi1, lo2, hi2, way, np.floor(size * weight), after, allowed, near)
+            got, want = best_links(*given), all_pairs_chain(*given)
+            assert [x.tolist() for x in got] == [list(map(type(x.tolist()[0]), w)) for x, w in zip(got, want)]
+
+
+def test_global_chain_is_the_best_of_all_chains():
+    from itertools import combinations
+
+    from helixframe.operators import filters
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        lo1, a2, size = np.sort(rng.integers(1, 80, n)), rng.integers(1, 80, n), rng.integers(3, 25, n)
+        part = pd.DataFrame({"lo1": lo1, "hi1": lo1 + size - 1, "lo2": a2, "a2": a2, "z2": a2 + size - 1, "hi2": a2 + size - 1, "dir2": rng.choice([1, -1], n), "idy": rng.choice([80.0, 100.0], n), "aln_id": range(n)}).sort_values(["lo1", "lo2", "aln_id"], kind="stable")
+        p = part.reset_index(drop=True)
+
+        def worth(chain):
+            total = 0
+            for before, i in zip((None, *chain), chain):
+                share = 0
+                if before is not None:
+                    if p.dir2[before] != p.dir2[i] or p.a2[before] > p.a2[i]:
+                        return -1
+                    share = max(p.hi1[before] - p.lo1[i] + 1, p.z2[before] - p.a2[i] + 1, 0)
+                    if share >= p.hi1[i] - p.lo1[i] + 1:
+                        return -1
+                total += np.floor((p.hi1[i] - p.lo1[i] + 1 - share) * (p.idy[i] / 100) ** 2)
+            return total
+
+        chosen = np.flatnonzero(filters.global_chain(part))
+        assert worth(chosen) == max(worth(c) for k in range(1, n + 1) for c in combinations(range(n), k))
+
+
+def test_many_rows_in_one_group_are_chained_in_time():
+    import time
+
+    from helixframe.operators.chains import best_links
+
+    rng = np.random.default_rng(6)
+    n = 60_000
+    lo1, lo2, size = np.sort(rng.integers(0, 10**8, n)), rng.integers(0, 10**8, n), rng.integers(20, 400, n)
+    began = time.process_time()
+    score, _, came = best_links(lo1, lo1 + size - 1, lo2, lo2 + size - 1, np.ones(n, np.int64), size, lambda i, o: size[i] - o, lambda i, j, o: o < size[i], True)
+    assert (came >= 0).sum() > n // 2 and score.max() > 100 * size.mean()
+    assert time.process_time() - began < 60  # 10**6 rows: some minutes
+
+
+def all_rivals(start, size, place, group, beaten, before, after):
+    """Each match with all of the group, one at a time."""
+    for i, g in enumerate(group.tolist()):
+        shared = np.minimum(start + size, start[i] + size[i]) - np.maximum(start, start[i])
+        rival = shared >= np.minimum(size, size[i]) // 2
+        beaten[g] |= bool((rival & (size > size[i])).any())
+        twin = rival & (size == size[i])
+        before[g] |= bool((twin & (place < place[i])).any())
+        after[g] |= bool((twin & (place > place[i])).any())
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_rivals_by_sweep_are_those_by_pairs(least):
+    from helixframe.operators import cluster
+
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n = int(rng.integers(2, 30))
+        start, size, place = np.sort(rng.integers(0, 40, n)), rng.integers(least, 14, n), rng.permutation(n)
+        found = []
+        for how in (cluster._rivals, all_rivals):
+            flags = [np.zeros(n, bool) for _ in range(3)]
+            how(start, size, place, np.arange(n), *flags)
+            found.append([f.tolist() for f in flags])
+        assert found[0] == found[1]
+
+
+def test_many_matches_at_one_start_stay_small():
+    import tracemalloc
+
+    from helixframe.operators.cluster import thin
+
+    rng = np.random.default_rng(8)
+    n = 30_000
+    m = np.column_stack([np.full(n, 5), rng.choice(10**7, n, replace=False), rng.integers(20, 60, n)])
+    tracemalloc.start()
+    kept = thin(m)
+    assert 0 < len(kept) <= n and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
