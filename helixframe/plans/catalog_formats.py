@@ -278,20 +278,50 @@ def filter_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filtered(_alignments(spark, sf_dir)).select("aln_id")
 
 
-# Tiles: the alignments of a query's smallest id as placed contigs
-
-_TILES = ALN + ", t AS (SELECT ref_id, lo1 AS start, hi1 AS \"end\", qry_id, hi2 - lo2 + 1 AS len, idy, CASE WHEN dir2 > 0 THEN '+' ELSE '-' END AS ori, {0} AS cov, lead(lo1) OVER w - hi1 - 1 AS gap, lead(qry_id) OVER w AS q, lead(CASE WHEN dir2 > 0 THEN '+' ELSE '-' END) OVER w AS o, greatest(0, coalesce(max(hi1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - lo1 + 1, 0)) AS trim FROM b WHERE aln_id IN (SELECT min(aln_id) FROM b GROUP BY ref_id, qry_id) WINDOW w AS (PARTITION BY ref_id ORDER BY lo1, hi1)) ".format("(floor((hi2 - lo2 + 1) * 10000.0::DOUBLE / qry_len + 0.5::DOUBLE) / 100)")
+# Tiles: each alignment's letters as a contig with five more at either end, and a shorter copy of it on the next reference
+
+_CONTIGS = ALN + """, c AS (SELECT aln_id::VARCHAR AS qry_id, ref_id, lo1, hi1, idy, dir2, hi1 - lo1 + 1 AS size, (hi1 - lo1 + 1) * (70 + aln_id % 30) // 100 AS less, hi1 - lo1 + 11 AS len FROM b),
+k AS (SELECT qry_id, ref_id, lo1 - 5 AS start, hi1 + 5 AS "end", len, idy, CASE WHEN dir2 > 0 THEN '+' ELSE '-' END AS ori, size * 100.0::DOUBLE / len AS cov, less * 100.0::DOUBLE / len AS second,
+  greatest(0, 6 - lo1) + greatest(0, hi1 + 5 - 100000) AS over FROM c),
+u AS (SELECT *, greatest(cov, CASE WHEN len > over THEN cov * len / (len - over) ELSE 0 END) >= 95 AND idy >= 90 AND cov - second >= 10 AS usable FROM k) """
+_TILES = _CONTIGS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY start, "end", qry_id) AS i FROM u WHERE usable),
+walk AS (SELECT ref_id, i, "end" AS e FROM o WHERE i = 1 UNION ALL
+  SELECT ref_id, m.i, m."end" FROM (SELECT walk.ref_id, coalesce(
+      (SELECT x.i FROM o x WHERE x.ref_id = walk.ref_id AND x.i > walk.i AND x.start <= walk.e AND x."end" > walk.e ORDER BY x."end" DESC, x.i LIMIT 1),
+      (SELECT min(x.i) FROM o x WHERE x.ref_id = walk.ref_id AND x.i > walk.i AND x.start > walk.e)) AS i FROM walk) n JOIN o m USING (ref_id, i)),
+t AS (SELECT ref_id, start, "end", qry_id, len, floor(idy * 100 + 0.5) / 100 AS idy, ori, floor(cov * 100 + 0.5) / 100 AS cov, lead(start) OVER w - "end" - 1 AS gap, lead(qry_id) OVER w AS q, lead(ori) OVER w AS o,
+  greatest(0, coalesce(max("end") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - start + 1, 0)) AS trim FROM walk JOIN o USING (ref_id, i) WINDOW w AS (PARTITION BY ref_id ORDER BY start, "end")) """
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two alignments of each contig, made of one alignment of the table."""
+    size = F.col("hi1") - F.col("lo1") + 1
+    rows = _alignments(spark, sf_dir).select("aln_id", "ref_id", F.col("aln_id").cast("string").alias("qry_id"), "ref_len", (size + 10).alias("qry_len"), "lo1", "hi1", F.lit(6).cast("long").alias("lo2"), (size + 5).alias("hi2"), "dir2", "idy")
+    less = F.floor(size * (70 + F.col("aln_id") % 30) / 100).cast("long")
+    # on the reverse strand the copy's first letters are the contig's last ones
+    lo2 = F.when(F.col("dir2") > 0, F.lit(6)).otherwise(size + 6 - less).cast("long")
+    other = rows.withColumn("ref_id", F.concat(F.lit("r"), ((F.substring("ref_id", 2, 9).cast("int") + 1) % 20).cast("string")))
+    other = other.withColumn("lo2", lo2).withColumn("hi2", F.col("lo2") + less - 1).withColumn("hi1", F.col("lo1") + less - 1)
+    return rows.unionByName(other)
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _alignments(spark, sf_dir)
-    first = rows.groupBy("ref_id", "qry_id").agg(F.min("aln_id").alias("aln_id")).select("aln_id")
-    size, order = F.col("hi2") - F.col("lo2") + 1, Window.partitionBy("ref_id").orderBy("lo1", "hi1")
-    cov = F.floor(size * 10000.0 / F.col("qry_len") + 0.5) / 100
-    return rows.join(first, "aln_id").select("ref_id", F.col("lo1").alias("start"), F.col("hi1").alias("end"), (F.lead("lo1").over(order) - F.col("hi1") - 1).alias("gap"), size.alias("len"), cov.alias("cov"), coords.two_decimals(F.col("idy")).alias("idy"), F.when(F.col("dir2") > 0, "+").otherwise("-").alias("ori"), "qry_id")
+    cut = lambda c: (F.floor(F.col(c) * 100 + 0.5) / 100).alias(c)
+    return tiling.tiling(_contigs(spark, sf_dir)).select("ref_id", "start", "end", "gap", "len", cut("cov"), cut("idy"), "ori", "qry_id")
+
+
+@query(_TILES + 'SELECT ref_id, start, "end", gap, len, cov, idy, ori, qry_id FROM t')
+def tiling_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs placed, chosen and linked over all alignments."""
+    return _tiles(spark, sf_dir)
+
+
+@query(_CONTIGS + "SELECT qry_id, len AS qry_len, ref_id, floor(cov * 100 + 0.5) / 100 AS covered FROM u WHERE NOT usable")
+def tiling_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.unusable(_contigs(spark, sf_dir)).select("qry_id", "qry_len", "ref_id", (F.floor(F.col("covered") * 100 + 0.5) / 100).alias("covered"))
 
 
-@query(_TILES + f"SELECT ref_id, start, concat_ws(chr(9), start, \"end\", coalesce(gap::VARCHAR, '-'), len, printf('%.2f', cov), printf('%.2f', {_TWO.format('idy')}), ori, qry_id) AS line FROM t")
+@query(_TILES + f"SELECT ref_id, start, concat_ws(chr(9), start, \"end\", coalesce(gap::VARCHAR, '-'), len, printf('%.2f', cov), printf('%.2f', idy), ori, qry_id) AS line FROM t")
 def tiling_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.tiling_lines(_tiles(spark, sf_dir))
 
