@@ -15,7 +15,8 @@ there are:
 Both give patterns (lengths in order) and how many sequences follow each. Pieces are numbered
 within their length, and a piece's number tells its pattern, sequence and offset.
 
-Defined results: a null text counts as empty and is its end id alone; equal rows are packed each;
+Defined results: a null text counts as empty and is its end id alone; very long texts are encoded whole
+and cut into pieces; equal rows and rows of one id are packed each;
 an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 

@@ -8,10 +8,11 @@ by ``WORST``, which is what unrelated texts reach, and ``likeness`` maps it to 1
 
 The edited text of a document is made of its own head and the head of the next document in
 ascending ``doc_id``. Rows are dealt into ranges of ``doc_id``, each range also gets the first row
-of the range after it, and a range is streamed in order: texts are shuffled once.
+of the range after it, and a range is streamed in order: texts are shuffled once. There are as many
+ranges as the bytes of text need, and range ``k`` is partition ``k``.
 
 Defined results: a null text counts as empty; the empty text has the all-zero digest; equal texts
-have equal digests; rows with a null ``doc_id`` come first; rows of one ``doc_id`` follow each
+have equal digests; very long texts are digested whole, in windows; rows with a null ``doc_id`` come first; rows of one ``doc_id`` follow each
 other in text order; a single row is its own next; an empty table gives an empty result; columns
 other than ``doc_id`` and ``text`` are ignored.
 """

@@ -13,7 +13,8 @@ cut can touch is atomic. So the driver holds a bounded number of sums, and the r
 
 Law: ``bytes``. A row's size is its text's UTF-8 bytes plus 16. Defined results: a null text counts
 as empty; a group larger than the ideal capacity fills a shard of its own bound; shards may stay
-empty at the end when there are fewer groups; a null ``doc_id`` is placed like any other; an empty
+empty at the end when there are fewer groups; very long texts count whole; rows that repeat an id or a
+text each have a slot of their own, in the shard of their text; a null ``doc_id`` is placed like any other; an empty
 table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 

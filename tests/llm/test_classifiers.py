@@ -1,5 +1,6 @@
 """The classifiers on made-up labels, the pipeline on made-up documents."""
 
+import math
 import os
 import random
 import zlib
@@ -132,9 +133,39 @@ def test_odd_rows_are_scored(odd, odd_rows, none):
     kept = toxicity.keep_clean(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(alone[t or ""] < 0.5 for _, t in odd_rows)
     assert toxicity.scores(none, model).count() == 0 and toxicity.keep_clean(none, model).count() == 0
-    quiet = quality.train([], 10)
-    assert sorted(r.doc_id for r in quality.scores(odd, quiet).collect()) == sorted(i for i, _ in odd_rows)
-    assert quality.keep_good(odd, quiet).columns == odd.columns
+    counted = [(*np.unique(quality.features(" ".join(words), 12), return_counts=True), 1 - label) for words, label in texts]
+    trained = quality.train(counted, 12)
+    scored = quality.scores(odd, trained).collect()
+    assert sorted(r.doc_id for r in scored) == sorted(i for i, _ in odd_rows)
+    assert all(np.isclose(r.score, trained.score(by_id[r.doc_id])) and r.predicted == (r.score >= 0.5) for r in scored) and len({r.score for r in scored}) > 10
+    good = quality.keep_good(odd, trained)
+    assert good.columns == odd.columns and good.count() == sum(trained.score(t or "") >= 0.5 for _, t in odd_rows)
+    assert trained.score("fine words 3") > 0.5 > trained.score("fine vilest 3")
+
+
+def test_training_is_that_of_a_plain_learner():
+    """Each coordinate by itself, in Python floats, after the published update."""
+    rng = np.random.default_rng(4)
+    size, alpha, beta, l1, l2 = 1 << 6, 0.3, 1.0, 0.02, 0.1
+    rows = [(np.unique(rng.integers(0, size, 9)), None, int(rng.integers(0, 2))) for _ in range(60)]
+    rows = [(idx, rng.integers(1, 4, len(idx)), label) for idx, _, label in rows]
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for idx, counts, label in rows:
+            x = {int(i): c / math.sqrt(int(counts.sum())) for i, c in zip(idx, counts.tolist())} | {size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    model = quality.train(rows, 6)
+    assert np.allclose(model.weights, [weight(i) for i in range(size)], atol=1e-6) and abs(model.bias - weight(size)) < 1e-9
+    assert (model.weights != 0).sum() > 20
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no tables")
