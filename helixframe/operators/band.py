@@ -8,6 +8,8 @@ say which of the tiles' groups are one. Only those travel further, as links that
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,6 +30,31 @@ def _with_axis(matches: DataFrame) -> DataFrame:
     return matches.select("ref_id", "qry_id", F.col("strand").cast("int").alias("strand"), *(F.col(c).cast("long").alias(c) for c in ("s1", "s2", "len")), axis.cast("long").alias("axis"))
 
 
+def _in_groups(rows: DataFrame, on: list[str], order: list[str], kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel(rows, bounds)`` over rows in the order of ``on`` and ``order``, of which group ``k`` lies between two bounds.
+
+    A partition's groups come as a stream, many small ones at a time; only the one that goes on is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            if not len(part):
+                continue
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            new = np.zeros(len(part), bool)
+            for c in on:
+                new[1:] |= part[c].to_numpy()[1:] != part[c].to_numpy()[:-1]
+            starts = np.append(0, np.flatnonzero(new))
+            held = part.iloc[starts[-1] :].reset_index(drop=True)
+            if len(starts) > 1:
+                yield kernel(part.iloc[: starts[-1]].reset_index(drop=True), starts)
+        if held is not None:
+            yield kernel(held, np.array([0, len(held)]))
+
+    return rows.repartition(*on).sortWithinPartitions(*on, *order).mapInPandas(run, schema)
+
+
 def without_repeats(matches: DataFrame, on: list[str] = PAIR) -> DataFrame:
     """``thin`` of each ``on``, by windows over diagonals and by starts: ``ref_id, qry_id, strand, s1, s2, len, axis``.
 
@@ -47,16 +74,16 @@ def without_repeats(matches: DataFrame, on: list[str] = PAIR) -> DataFrame:
     flags = "beaten boolean, before boolean, after boolean"
 
     def rivals(other: str):
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(other, kind="stable").reset_index(drop=True)
-            n = len(part)
-            beaten, before, after = (np.zeros(n, bool) for _ in range(3))
-            cluster._rivals(part[other].to_numpy(np.int64), part["len"].to_numpy(np.int64), np.arange(n), np.arange(n), beaten, before, after)
+        def run(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+            beaten, before, after = (np.zeros(len(part), bool) for _ in range(3))
+            place, size, every = part[other].to_numpy(np.int64), part["len"].to_numpy(np.int64), np.arange(len(part))
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                cluster._rivals(place[a:z], size[a:z], every[a:z], every[a:z], beaten, before, after)
             return part[plain].assign(beaten=beaten, before=before, after=after)
 
         return run
 
-    judged = [counted.filter(f"{n} > 1").select(*plain).groupBy(*on, start).applyInPandas(rivals(other), f"{CELLS}, {flags}") for n, start, other in (("_n1", "s1", "s2"), ("_n2", "s2", "s1"))]
+    judged = [_in_groups(counted.filter(f"{n} > 1").select(*plain), [*on, start], [other], rivals(other), f"{CELLS}, {flags}") for n, start, other in (("_n1", "s1", "s2"), ("_n2", "s2", "s1"))]
     lone = counted.filter("_n1 = 1 AND _n2 = 1").select(*plain)
     verdict = judged[0].unionByName(judged[1]).groupBy(*plain).agg(*(F.max(c).alias(c) for c in ("beaten", "before", "after")))
     return lone.unionByName(verdict.filter("NOT beaten AND NOT (before AND after)").select(*plain))
@@ -79,12 +106,14 @@ def connected(matches: DataFrame, max_gap: int = 90, diagonal: int = 5, factor:
     travels = (tile(place) != tile(end)) | (tile(line - reach) != tile(line + reach))
     dealt = dealt.withColumn("travels", travels)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["s2", "s1"], kind="stable").reset_index(drop=True)
-        root = cluster.connected(part[["s1", "s2", "len"]].to_numpy(np.int64), max_gap, diagonal, factor) if len(part) > 1 else np.zeros(1, np.int64)
-        return part[[*plain, "own", "travels"]].assign(root_s2=part.s2.to_numpy()[root], root_s1=part.s1.to_numpy()[root])
+    def run(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        m, root = part[["s1", "s2", "len"]].to_numpy(np.int64), np.arange(len(part))
+        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            a, z = bounds[k], bounds[k + 1]
+            root[a:z] = a + cluster.connected(m[a:z], max_gap, diagonal, factor)
+        return part[[*plain, "own", "travels"]].assign(root_s2=m[root, 1], root_s1=m[root, 0])
 
-    grouped = dealt.groupBy(*on, "_p", "_q").applyInPandas(run, f"{CELLS}, own boolean, travels boolean, root_s2 long, root_s1 long")
+    grouped = _in_groups(dealt, [*on, "_p", "_q"], ["s2", "s1"], run, f"{CELLS}, own boolean, travels boolean, root_s2 long, root_s1 long")
     found = written(grouped, "tiles")
     node = lambda s2, s1: F.struct(*on, F.col(s2).alias("s2"), F.col(s1).alias("s1"))
     roots = components(found.filter("travels").select(node("s2", "s1").alias("a"), node("root_s2", "root_s1").alias("b")))
@@ -110,22 +139,22 @@ def clusters(matches: DataFrame, max_gap: int = 90, min_cluster: int = 65, diago
     if not by_extent:  # no chain of these is long enough
         grouped = grouped.withColumn("_sum", F.sum("len").over(Window.partitionBy(*on, "root_s2", "root_s1"))).filter(F.col("_sum") >= min_cluster).drop("_sum")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["s2", "s1"], kind="stable").reset_index(drop=True)
-        at = {(a, b): i for i, (a, b) in enumerate(zip(part.s1.tolist(), part.s2.tolist(), strict=True))}
-        refs_, axes = part.ref_id.tolist(), part.axis.tolist()
+    def run(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        m = part[["s1", "s2", "len"]].to_numpy(np.int64)
+        refs_, queries, strands, axes = (part[c].tolist() for c in ("ref_id", "qry_id", "strand", "axis"))
         cells = []
-        for rows_ in cluster.peel(part[["s1", "s2", "len"]].to_numpy(np.int64), min_cluster, by_extent):
-            head, last, n = None, None, 0
-            for s1, s2, size, adj in rows_.tolist():
-                i = at[s1 - adj, s2 - adj]
-                if refs_[i] != last:
-                    head, last, n = (s1 - axes[i], s2), refs_[i], 0
-                cells.append((last, s1 - axes[i], s2, size, adj, n, *head))
-                n += 1
-        frame = pd.DataFrame(cells, columns=["ref_id", "s1", "s2", "len", "adj", "ord", "h1", "h2"])
-        return frame.assign(qry_id=part.qry_id.iloc[0], strand=int(part.strand.iloc[0]))[["ref_id", "qry_id", "strand", "s1", "s2", "len", "adj", "ord", "h1", "h2"]]
-
-    chained = grouped.groupBy(*on, "root_s2", "root_s1").applyInPandas(run, "ref_id string, qry_id string, strand int, s1 long, s2 long, len long, adj long, ord int, h1 long, h2 long")
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at = {(a, b): i for i, (a, b) in enumerate(m[lo:hi, :2].tolist(), lo)}
+            for rows_ in cluster.peel(m[lo:hi], min_cluster, by_extent):
+                head, last, n = None, None, 0
+                for s1, s2, size, adj in rows_.tolist():
+                    i = at[s1 - adj, s2 - adj]
+                    if refs_[i] != last:
+                        head, last, n = (s1 - axes[i], s2), refs_[i], 0
+                    cells.append((last, queries[i], strands[i], s1 - axes[i], s2, size, adj, n, *head))
+                    n += 1
+        return pd.DataFrame(cells, columns=["ref_id", "qry_id", "strand", "s1", "s2", "len", "adj", "ord", "h1", "h2"])
+
+    chained = _in_groups(grouped, [*on, "root_s2", "root_s1"], ["s2", "s1"], run, "ref_id string, qry_id string, strand int, s1 long, s2 long, len long, adj long, ord int, h1 long, h2 long")
     number = F.dense_rank().over(Window.partitionBy(*PAIR).orderBy("h1", "h2")) - 1
     return chained.withColumn("cluster_id", number.cast("long")).select(*(c.split()[0] for c in cluster.SCHEMA.split(", ")))

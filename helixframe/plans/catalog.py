@@ -382,6 +382,74 @@ def cluster_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(_text_matches(spark, sf_dir), min_cluster=40)
 
 
+#: Rows of ``lineitem`` as matches between suppliers and parts, on near diagonals and often from one start; in words of both engines.
+_LINES = {
+    "ref_id": "CAST(l_suppkey AS VARCHAR(20))", "qry_id": "CAST(l_partkey % 20 AS VARCHAR(20))", "strand": "CAST(1 AS INT)",
+    "s1": "CAST(1001 + 20 * (l_orderkey * 7 % 200) + 20 * (CAST(l_quantity AS INT) % 3) + l_linenumber % 2 AS BIGINT)", "s2": "CAST(1 + 20 * (l_orderkey * 7 % 200) AS BIGINT)",
+    "len": "CAST(12 + 9 * l_linenumber + CAST(l_quantity AS INT) % 5 * 8 AS BIGINT)",
+}
+
+
+def _line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*(f"{how} AS {name}" for name, how in _LINES.items()))
+
+
+_LINE_MEM = "WITH RECURSIVE lines AS (SELECT " + ", ".join(f"{how} AS {name}" for name, how in _LINES.items()) + """ FROM lineitem),
+    reach AS (SELECT *, max(s2 + len) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM lines),
+    runs AS (SELECT *, sum(CASE WHEN s2 <= far THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2 ROWS UNBOUNDED PRECEDING) AS run FROM reach),
+    mem AS MATERIALIZED (SELECT ref_id, qry_id, strand, min(s1) AS s1, min(s2) AS s2, max(s2 + len) - min(s2) AS len FROM runs GROUP BY ref_id, qry_id, strand, s2 - s1, run)
+"""
+
+
+def _rivals_sql(side: str, other: str) -> str:
+    """Matches with a rival that starts with them on ``side`` and shares half of the shorter on the ``other``."""
+    return f"""
+    SELECT a.ref_id, a.qry_id, a.strand, a.s1, a.s2, a.len, bool_or(b.len > a.len) AS beaten,
+      bool_or(b.len = a.len AND (b.s2, b.s1) < (a.s2, a.s1)) AS ahead, bool_or(b.len = a.len AND (b.s2, b.s1) > (a.s2, a.s1)) AS behind
+    FROM mem a JOIN mem b ON b.ref_id = a.ref_id AND b.qry_id = a.qry_id AND b.strand = a.strand AND b.{side} = a.{side} AND b.{other} <> a.{other}
+      AND least(a.{other} + a.len, b.{other} + b.len) - greatest(a.{other}, b.{other}) >= least(a.len, b.len) // 2
+    GROUP BY ALL"""
+
+
+_THIN = f""", rivals AS ({_rivals_sql("s1", "s2")} UNION ALL {_rivals_sql("s2", "s1")}),
+    gone AS (SELECT ref_id, qry_id, strand, s1, s2, len FROM rivals GROUP BY ALL HAVING bool_or(beaten) OR bool_or(ahead) AND bool_or(behind)),
+    thin AS MATERIALIZED (SELECT ref_id, qry_id, strand, s1, s2, len FROM mem ANTI JOIN gone USING (ref_id, qry_id, strand, s1, s2, len))
+"""
+
+
+@query(_LINE_MEM + _THIN + "SELECT * FROM thin")
+def repeat_internal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.band import without_repeats
+
+    return without_repeats(_line_matches(spark, sf_dir)).drop("axis")
+
+
+@query(
+    _LINE_MEM + _THIN + """,
+    links AS MATERIALIZED (
+      SELECT a.ref_id, a.qry_id, a.strand, a.s1, a.s2, b.s1 AS t1, b.s2 AS t2 FROM thin a JOIN thin b USING (ref_id, qry_id, strand)
+      WHERE (a.s2, a.s1) < (b.s2, b.s1) AND b.s2 - a.s2 - a.len <= 40
+        AND abs((b.s2 - b.s1) - (a.s2 - a.s1)) <= greatest(5, trunc(0.12::DOUBLE * (b.s2 - a.s2 - a.len)))),
+    ways AS MATERIALIZED (FROM links UNION ALL SELECT ref_id, qry_id, strand, t1, t2, s1, s2 FROM links),
+    met AS (SELECT ref_id, qry_id, strand, s1, s2, s1 AS t1, s2 AS t2 FROM thin
+      UNION SELECT met.ref_id, met.qry_id, met.strand, met.s1, met.s2, w.t1, w.t2 FROM met JOIN ways w
+        ON w.ref_id = met.ref_id AND w.qry_id = met.qry_id AND w.strand = met.strand AND w.s1 = met.t1 AND w.s2 = met.t2),
+    roots AS (SELECT ref_id, qry_id, strand, s1, s2, min((t2, t1)) AS root FROM met GROUP BY ALL)
+    SELECT thin.*, root[2] AS root_s1, root[1] AS root_s2 FROM thin JOIN roots USING (ref_id, qry_id, strand, s1, s2)"""
+)
+def band_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.band import connected, without_repeats
+
+    return connected(without_repeats(_line_matches(spark, sf_dir)), max_gap=40, tile_bits=10).drop("axis")
+
+
+@query()
+def clusters_on_one_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.operators.band import clusters
+
+    return clusters(_text_matches(spark, sf_dir), min_cluster=40, refs=table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def align_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir)[2]
