@@ -154,3 +154,26 @@ def knockout(rows: DataFrame) -> DataFrame:
     slim = _runs(rows).select("ref_id", "qry_id", "_run", "aln_id", "lo1", "hi1", "lo2", "hi2", "sim", (F.col("dir1") * F.col("dir2")).alias("way"))
     kept = slim.groupBy("ref_id", "qry_id", "_run").applyInPandas(run, "aln_id long, _out boolean").filter("NOT _out").select("aln_id")
     return rows.join(kept, "aln_id", "left_semi")
+
+
+def listed(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The alignments that ``lines`` (``value``) name by their ends and sequences; a line that names none fails the job, and so does one that is none.
+
+    A line holds start and end on the reference, a bar or none, start and end on the query, and, last,
+    the two sequences. What stands between is ignored, empty lines too, and a line twice counts once. Of equal
+    alignments the one of the least id is named.
+    """
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    words = F.when(F.get(words, F.lit(2)) == "|", F.concat(F.slice(words, 1, 2), F.slice(words, 4, 1_000_000))).otherwise(words)
+    cells = lines.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select("value", words.alias("w"))
+    ends = ["s1", "e1", "s2", "e2"]
+    whole = F.size("w") >= 6
+    for k in range(4):
+        whole = whole & F.get("w", F.lit(k)).rlike("^[0-9]+$")
+    key = [*ends, "ref_id", "qry_id"]
+    named = cells.withColumn("w", F.when(whole, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no line of an alignment: "), "value")).cast("array<string>")))
+    named = named.select(*(F.col("w")[k].cast("long").alias(c) for k, c in enumerate(ends)), F.element_at("w", -2).alias("ref_id"), F.element_at("w", -1).alias("qry_id")).distinct()
+    first = rows.groupBy(*key).agg(F.min("aln_id").alias("aln_id"))
+    met = named.join(first, key, "left")
+    missing = F.raise_error(F.concat(F.lit("no such alignment: "), F.concat_ws(" ", *key))).cast("long")
+    return rows.join(met.select(F.coalesce("aln_id", missing).alias("aln_id")), "aln_id", "left_semi")

@@ -152,6 +152,14 @@ def coords_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coords.coords(coords.selected(_alignments(spark, sf_dir), 97.5, 500))
 
 
+@query(ALN + "SELECT min(aln_id) AS aln_id, s1, e1, s2, e2, ref_id, qry_id FROM b WHERE idy >= 97.5 GROUP BY s1, e1, s2, e2, ref_id, qry_id")
+def coords_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _alignments(spark, sf_dir)
+    bar = F.when(F.col("aln_id") % 2 == 0, " | ").otherwise("  ")
+    lines = rows.filter("idy >= 97.5").select(F.concat("s1", F.lit(" "), "e1", bar, "s2", F.lit(" "), "e2", F.when(F.col("aln_id") % 3 == 0, F.concat(F.lit(" | "), F.col("idy").cast("string"), F.lit(" |"))).otherwise(""), F.lit("\t"), "ref_id", F.lit("\t"), "qry_id").alias("value"))
+    return coords.listed(rows, lines).select("aln_id", "s1", "e1", "s2", "e2", "ref_id", "qry_id")
+
+
 @query(ALN + "SELECT aln_id, CASE WHEN dir2 > 0 THEN (s2 + 2) % 3 + 1 ELSE -((qry_len - s2) % 3 + 1) END AS frm2, (s1 + 2) % 3 + 1 AS frm1 FROM b")
 def coords_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignments(spark, sf_dir).select("aln_id", coords.frame(True, "2").alias("frm2"), coords.frame(True, "1").alias("frm1"))

@@ -268,6 +268,17 @@ def test_gap_errors():
     for _ in range(200):
         a, b = bases(rng, rng.randint(0, 8)), bases(rng, rng.randint(0, 8))
         assert gaps.gap_errors(a, b) == slow(a, b), (a, b)
+        if a and b:
+            assert gaps._least_cost(*(np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b))) == slow(a, b), (a, b)
+    for _ in range(4):  # longer than the limit, with planted changes, against the full table
+        a = bases(rng, 1500)
+        b = a[:200] + bases(rng, rng.randint(0, 40)) + a[230:900] + a[901:1200] + bases(rng, 1) + a[1201:]
+        table = gaps.gap_errors(a[:999], b[:999])
+        assert gaps._least_cost(*(np.frombuffer(x[:999].encode("utf-32-le"), np.uint32) for x in (a, b))) == table
+    a = bases(rng, 30_000)
+    b = a[:5000] + "acgta" * 3 + a[5000:20_000] + a[20_007:]
+    assert gaps.gap_errors(a, b) is None and gaps.gap_errors(a, a, None) == 0
+    assert gaps.gap_errors(a, b, None) <= 16 + 8 and gaps.gap_errors(a, a + "c", None) == 2
 
 
 def alignments(spark, rows):
@@ -351,3 +362,14 @@ def test_six_frames(spark):
     assert long.hi1 - long.lo1 > 200 and (long.dir1 * long.dir2) == -1
     lo1, hi1, lo2, hi2 = long.lo1, long.hi1, long.lo2, long.hi2
     assert ref[lo1 - 1 : hi1] == fn.revcomp(qry[lo2 - 1 : hi2])
+
+
+def test_listed_alignments(spark):
+    rows = alignments(spark, [("r", "q", (1, 10, 5, 14), 0), ("r", "q", (1, 10, 5, 14), 0), ("r", "p", (20, 40, 60, 41), 1), ("s", "q", (1, 9, 1, 9), 0)])
+    lines = ["1 10 | 5 14 | 10 10 | 100.00 | r q", "", "  20\t40 60 41 r p ", "1 10 5 14 r q"]
+    text = lambda some: spark.createDataFrame([(x,) for x in some], "value string")
+    assert sorted(r.aln_id for r in coords.listed(rows, text(lines)).collect()) == [0, 2]
+    assert coords.listed(rows, text([])).count() == 0
+    for wrong in ("1 10 5 15 r q", "1 10 5 r q", "a b c d r q"):
+        with pytest.raises(Exception, match="alignment"):
+            coords.listed(rows, text([*lines, wrong])).collect()
