@@ -91,6 +91,8 @@ class Options:
     bad: int = -7
     gap_open: int = -10
     gap_more: int = -7
+    tiled: bool = False  # a pair's clusters by many tasks (``operators.band``)
+    one_axis: bool = False  # clusters over all references end to end, by many tasks too
     matrix: str = ""  # scores of letters, as text (see ``scores_of``); none: ``good`` and ``bad``
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators import aggregates, coords, filters, gaps, matches, structure, variants
+from helixframe.operators import aggregates, band, coords, filters, gaps, matches, structure, variants
 from helixframe.operators.cluster import clusters, consistent_set
 from helixframe.operators.extend import Options, extend
 from helixframe.sources.alignments import with_bounds, with_identity
@@ -19,7 +19,8 @@ def seeds_of(refs: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
 def align(refs: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """Match, cluster and extend two sets of sequences into alignments with identity and bounds."""
     o = options
-    chained = clusters(seeds_of(refs, queries, o), o.max_gap, o.min_cluster, o.diagonal, o.factor)
+    found, settings = seeds_of(refs, queries, o), (o.max_gap, o.min_cluster, o.diagonal, o.factor)
+    chained = band.clusters(found, *settings, refs=refs if o.one_axis else None) if o.tiled or o.one_axis else clusters(found, *settings)
     return with_bounds(with_identity(extend(chained, refs, queries, o)))
 
 

@@ -106,3 +106,19 @@ def test_one_axis_equals_one_long_reference(spark):
     want = {(where[(r.s1 - 1) // 8001 * 8001], r.strand, (r.s1 - 1) % 8001 + 1, r.s2, r.len, r.adj) for r in whole}
     got = band.clusters(spark.createDataFrame(rows, CELLS), 60, 40, refs=spark.createDataFrame(refs, "seq_id string, ord int, seq string"), tile_bits=9)
     assert {(r.ref_id, r.strand, r.s1, r.s2, r.len, r.adj) for r in got.collect()} == want and want
+
+
+def test_alignment_by_many_tasks(spark):
+    from helixframe.operators.extend import Options
+    from helixframe.plans.align import align
+
+    rng = np.random.default_rng(2)
+    base = "".join(rng.choice(list("acgt"), 1500))
+    cells = "seq_id string, ord long, seq string, len long"
+    make = lambda seqs: spark.createDataFrame([(n, i, s, len(s)) for i, (n, s) in enumerate(seqs)], cells)
+    refs = make([("a", base[:700]), ("b", base[700:])])
+    queries = make([("q", base[:300] + "a" + base[300:650] + base[655:1500])])
+    ends = lambda o: sorted((r.ref_id, r.s1, r.e1, r.s2, r.e2, r.errors, tuple(r.deltas)) for r in align(refs, queries, o).collect())
+    plain = ends(Options())
+    assert len(plain) == 2 and ends(Options(tiled=True)) == plain
+    assert {r[0] for r in ends(Options(one_axis=True))} == {"a", "b"}
