@@ -285,13 +285,36 @@ def find(seqs: DataFrame, pattern: str | Column) -> DataFrame:
     return rows.select("seq_id", F.explode(places).alias("pos"))
 
 
-def self_repeats(seqs: DataFrame, length: int = 20, strand: str = "forward") -> DataFrame:
+#: Letters up to which one task finds the repeats of a sequence by itself.
+SELF_LETTERS = 1 << 16
+
+
+def self_repeats(seqs: DataFrame, length: int = 20, strand: str = "forward", task_letters: int = SELF_LETTERS) -> DataFrame:
     """Pairs of equal stretches within one sequence, extended as far as they go; each pair once.
 
     ``s1 < s2`` on the forward strand. Reverse rows pair a stretch with one of the reverse
     complement, whose place is given on the forward strand, and are kept if ``s2`` isn't before ``s1``.
+    A sequence of more than ``task_letters`` is joined with itself by sampled seeds, in many tasks, with the same rows.
     """
+    held = F.length(F.coalesce("seq", F.lit("")))
+    whole = _own_repeats(seqs.filter(held <= task_letters), length, strand)
+    long = seqs.filter(held > task_letters)
+    return whole if long.isEmpty() else whole.unionByName(_joined_repeats(long, length, strand))
+
+
+def _joined_repeats(seqs: DataFrame, length: int, strand: str) -> DataFrame:
+    seed, keyed = seed_length(length), _keyed(strands(seqs, strand))
+    way = F.split("way_id", "\t", 2)
+    # seeds meet within their sequence only
+    ours = sampled(seqs, length).select(F.col("seq_id").alias("ref_id"), F.col("pos").alias("s1"), F.xxhash64("seq_id", "kmer").alias("kmer"))
+    theirs = sampled(keyed, length).select(F.col("seq_id").alias("way_id"), F.col("pos").alias("s2"), "kmer").withColumn("kmer", F.xxhash64(way[1], "kmer"))
+    # on the forward strand each pair once, and no sequence with itself at the same place
+    hits = _by_seed(ours, theirs).filter((F.col("ref_id") == way[1]) & ((way[0] == "-1") | (F.col("s1") < F.col("s2"))))
+    found = on_forward_strand(verified(islands(hits, length, seed), seqs, keyed, length), seqs.withColumn("len", F.length("seq")))
+    return found.filter((F.col("strand") > 0) | (F.col("s2") >= F.col("s1"))).select(F.col("ref_id").alias("seq_id"), "strand", "s1", "s2", "len")
+
 
+def _own_repeats(seqs: DataFrame, length: int, strand: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []

@@ -217,6 +217,28 @@ def test_iupac_and_translation():
     assert fn.mask_short_orfs("MA*LLLL*K", 3, "X") == "XXJLLLLJX"
 
 
+@pytest.mark.parametrize("overlap", [100.0, 40.0])
+def test_best_chains_part_by_part_are_those_of_the_whole(spark, overlap):
+    rng = random.Random(41)
+    rows = []
+    for ref in range(6):
+        at = 0
+        for _ in range(60):
+            at += rng.choice([0, 1, 3, 10, 25])  # ties, nested and lone alignments
+            lo2, size = rng.randint(1, 300), rng.choice([1, 4, 9, 9, 20])
+            rows.append((len(rows), f"r{ref}", f"q{rng.randint(0, 2)}", at + 1, at + size, lo2, lo2 + size - 1, rng.choice([60.0, 100.0, 100.0])))
+    df = spark.createDataFrame(rows, "aln_id long, ref_id string, qry_id string, lo1 long, hi1 long, lo2 long, hi2 long, idy double")
+    for on, name, found in (("ref_id", "is_r", filters.reference_best(df, max_overlap=overlap)), ("qry_id", "is_q", filters.query_best(df, max_overlap=overlap))):
+        want = set()
+        lo, hi, olo, ohi = ("lo1", "hi1", "lo2", "hi2") if on == "ref_id" else ("lo2", "hi2", "lo1", "hi1")
+        for _, part in df.toPandas().groupby(on):
+            part = part.assign(worth=-np.floor((part[hi] - part[lo] + 1) * (part.idy / 100.0) ** 2)).sort_values([lo, "worth", "aln_id"])
+            best = filters.best_chain(*(part[c].to_numpy() for c in (lo, hi, "idy", olo, ohi)), max_overlap=overlap)
+            want |= set(part.aln_id[best])
+        got = found.collect()
+        assert len(got) == len(rows) and {r.aln_id for r in got if r[name]} == want
+
+
 def test_best_chain_is_the_best_of_all_chains():
     rng = np.random.default_rng(8)
     for _ in range(60):

@@ -79,6 +79,25 @@ def test_reverse_repeats_pair_each_stretch_once(spark):
     assert rows and all(seq[r.s1 - 1 : r.s1 - 1 + r.len] == revcomp(seq[r.s2 - r.len : r.s2]) for r in rows)
 
 
+@pytest.mark.parametrize("strand", ["forward", "both"])
+def test_self_repeats_of_long_sequences_by_many_tasks(spark, strand, monkeypatch):
+    monkeypatch.setattr(matches, "HOT_ROWS", 40)  # the tandem's seeds are dealt over a grid
+    rng = random.Random(17)
+    part = "".join(rng.choice("acgt") for _ in range(40))
+    seqs = {
+        "copies": part + "".join(rng.choice("acgt") for _ in range(60)) + part[5:] + revcomp(part) + part, "tandem": "acg" * 45 + "t" * 50, "none": "", "short": "acgt",
+        "same": part + part, "twin": part + part, "across": "g" * 3 + part * 3,
+    }
+    df = frame(spark, seqs)
+    for length in (8, 21):
+        whole = sorted(map(tuple, matches.self_repeats(df, length, strand).collect()))
+        assert sorted(map(tuple, matches.self_repeats(df, length, strand, task_letters=30).collect())) == whole and whole
+    # stretches over the borders of pieces, which are glued
+    long = {"l": (part * 3 + "".join(rng.choice("acgt") for _ in range(9000))) * 3}
+    df = frame(spark, long)
+    assert sorted(map(tuple, matches.self_repeats(df, 25, strand, task_letters=0).collect())) == sorted(map(tuple, matches.self_repeats(df, 25, strand).collect()))
+
+
 def test_window_hashes_agree_with_equality():
     rng = random.Random(3)
     text = "".join(rng.choice("ab") for _ in range(400))
