@@ -93,6 +93,7 @@ class Options:
     gap_more: int = -7
     tiled: bool = False  # a pair's clusters by many tasks (``operators.band``)
     one_axis: bool = False  # clusters over all references end to end, by many tasks too
+    to_end: bool = False  # an alignment without a target goes on to the end of the shorter sequence, if the search gets there
     matrix: str = ""  # scores of letters, as text (see ``scores_of``); none: ``good`` and ``bad``
 
 
@@ -104,82 +105,125 @@ PROTEIN = Options(min_match=6, min_cluster=20, max_gap=30, factor=0.11, break_le
 LOW = -(1 << 40)
 
 
-#: How ``affine`` ends: at its best place; at the far corner if the search gets there, else at its best place; at the far corner in any case.
-BEST, TARGET, FORCED = "best", "target", "forced"
-
-
-def affine(ref: np.ndarray, qry: np.ndarray, o: Options, mode: str) -> tuple[int, int, str, bool]:
+#: How ``affine`` ends: at its best place; at the far corner if the search gets there, else at its best place; at the far
+#: corner in any case; at the far corner, else where the shorter stretch ends, else at its best place.
+BEST, TARGET, FORCED, TO_END = "best", "target", "forced", "to end"
+#: Places whose origins are kept; beyond them the origins of a block of anti-diagonals are found again when they are needed.
+TRACED = 1 << 22
+
+
+def _taken(arrays: list[np.ndarray] | None, begin: int, at: np.ndarray) -> list[np.ndarray]:
+    if arrays is None:
+        return [np.full(len(at), LOW)] * 3
+    k = at - begin
+    ok = (k >= 0) & (k < len(arrays[0]))
+    k = np.where(ok, k, 0)
+    return [np.where(ok, a[k], LOW) for a in arrays]
+
+
+def _diagonal(ref: np.ndarray, qry: np.ndarray, acgt: np.ndarray, o: Options, d: int, lo: int, hi: int, last: tuple, before: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places ``lo..hi`` of anti-diagonal ``d`` after the two before it: best scores that end in a pair, a reference base alone, a query base alone; and their origins."""
+    i = np.arange(lo, hi + 1)
+    j = d - i
+    left, up, corner = _taken(*last, i - 1), _taken(*last, i), _taken(*before, i - 1)
+    pair = (i > 0) & (j > 0)
+    a, b = ref[np.maximum(i - 1, 0)], qry[np.maximum(j - 1, 0)]
+    worth = scores_of(o.matrix)[np.minimum(a, 127), np.minimum(b, 127)] if o.matrix else np.where((a == b) & acgt[np.maximum(i - 1, 0)], o.good, o.bad)
+    from_m = np.stack(corner)
+    m_from = from_m.argmax(axis=0)  # M before D before I on ties
+    score_m = np.where(pair, from_m.max(axis=0) + worth, LOW)
+    opened = np.stack([left[0] + o.gap_open, left[1] + o.gap_more, left[2] + o.gap_open])
+    d_from, score_d = opened.argmax(axis=0), np.where(i > 0, opened.max(axis=0), LOW)
+    opened = np.stack([up[0] + o.gap_open, up[1] + o.gap_open, up[2] + o.gap_more])
+    i_from, score_i = opened.argmax(axis=0), np.where(j > 0, opened.max(axis=0), LOW)
+    return [score_m, score_d, score_i], (m_from | d_from << 2 | i_from << 4).astype(np.uint8)
+
+
+def affine(ref: np.ndarray, qry: np.ndarray, o: Options, mode: str, traced: int = TRACED) -> tuple[int, int, str, bool]:
     """Align two stretches from their first letters; their gapped forms as letters ``M, D, I``.
 
     The search goes by anti-diagonals and leaves out cells that are too far below the best score so far; it
     is over when that has not risen for ``break_length`` anti-diagonals. ``FORCED`` compares a cell with its own
     anti-diagonal alone and never gives up. Returns the letters used of each, the operations, and whether the far
     corner was reached.
+
+    Origins of ``traced`` places are kept. Of what comes after, the scores of one anti-diagonal in each block
+    are, and the way back finds a block's origins again from them: memory goes with the square root of the number
+    of anti-diagonals times their width, time at most doubles, and the operations are the same.
     """
     n, m = len(ref), len(qry)
     if not n or not m:
         far = mode == FORCED or not n + m or mode == TARGET and n + m <= o.break_length
         return (n, m, "D" * n + "I" * m, True) if far and mode != BEST else (0, 0, "", not n + m)
     drop = o.good * o.break_length
-    # by anti-diagonal: best scores ending in a pair (M), a reference base alone (D), a query base alone (I)
-    lo = 0
-    last = [np.array([0]), np.array([LOW]), np.array([LOW])]
-    last_lo, before, before_lo = 0, None, 0
-    trace: list[tuple[int, np.ndarray]] = [(0, np.zeros(1, np.uint8))]
+    last, before = ([np.array([0]), np.array([LOW]), np.array([LOW])], 0), (None, 0)
+    bounds: list[tuple[int, int]] = [(0, 0)]
+    cells: dict[int, np.ndarray] = {0: np.zeros(1, np.uint8)}
+    block, held, kept = max(16, int((48 * (n + m)) ** 0.5)), 0, {}
     high, high_at, high_d = 0, (0, 0), 0
+    edge, edge_at = LOW, None  # best place where the shorter stretch ends
     acgt = np.isin(ref, np.frombuffer(b"acgtACGT", np.uint8)) if not o.text else np.ones(n, bool)
     for d in range(1, n + m + 1):
         if mode != FORCED and d - high_d > o.break_length:
             break
-        lo, hi = max(last_lo, d - m), min(last_lo + len(last[0]), d, n)
+        lo, hi = max(last[1], d - m), min(last[1] + len(last[0][0]), d, n)
         if lo > hi:
             break
-        i = np.arange(lo, hi + 1)
-        j = d - i
-
-        def take(arrays: list[np.ndarray] | None, begin: int, at: np.ndarray) -> list[np.ndarray]:
-            if arrays is None:
-                return [np.full(len(at), LOW)] * 3
-            k = at - begin
-            ok = (k >= 0) & (k < len(arrays[0]))
-            k = np.where(ok, k, 0)
-            return [np.where(ok, a[k], LOW) for a in arrays]
-
-        left, up, corner = take(last, last_lo, i - 1), take(last, last_lo, i), take(before, before_lo, i - 1)
-        pair = (i > 0) & (j > 0)
-        a, b = ref[np.maximum(i - 1, 0)], qry[np.maximum(j - 1, 0)]
-        worth = scores_of(o.matrix)[np.minimum(a, 127), np.minimum(b, 127)] if o.matrix else np.where((a == b) & acgt[np.maximum(i - 1, 0)], o.good, o.bad)
-        from_m = np.stack(corner)
-        m_from = from_m.argmax(axis=0)  # M before D before I on ties
-        score_m = np.where(pair, from_m.max(axis=0) + worth, LOW)
-        opened = np.stack([left[0] + o.gap_open, left[1] + o.gap_more, left[2] + o.gap_open])
-        d_from, score_d = opened.argmax(axis=0), np.where(i > 0, opened.max(axis=0), LOW)
-        opened = np.stack([up[0] + o.gap_open, up[1] + o.gap_open, up[2] + o.gap_more])
-        i_from, score_i = opened.argmax(axis=0), np.where(j > 0, opened.max(axis=0), LOW)
-        best = np.maximum(np.maximum(score_m, score_d), score_i)
+        scores, origins = _diagonal(ref, qry, acgt, o, d, lo, hi, last, before)
+        best = np.maximum(np.maximum(scores[0], scores[1]), scores[2])
         keep = np.flatnonzero((best.max() if mode == FORCED else high) - best <= drop)
         if not len(keep):
             break
         s = slice(keep[0], keep[-1] + 1)
-        before, before_lo = last, last_lo
-        last, last_lo = [score_m[s], score_d[s], score_i[s]], int(i[keep[0]])
-        trace.append((last_lo, (m_from | d_from << 2 | i_from << 4).astype(np.uint8)[s]))
+        if held > traced and not (d - 1) % block:
+            kept[d] = last, before  # what the block's first anti-diagonal follows
+        before, last = last, ([x[s] for x in scores], lo + int(keep[0]))
+        bounds.append((last[1], last[1] + len(last[0][0]) - 1))
+        if held <= traced or not kept:
+            cells[d] = origins[s]
+            held += len(cells[d])
         top = int(best[s].max())
         if top >= high:
             k = int(np.flatnonzero(best[s] == top)[-1])
-            high, high_at, high_d = top, (last_lo + k, d - last_lo - k), d
-    far = len(trace) == n + m + 1 and last_lo <= n < last_lo + len(last[0])
+            high, high_at, high_d = top, (last[1] + k, d - last[1] - k), d
+        if mode == TO_END:
+            i = n if n <= m else d - m
+            if d >= min(n, m) and bounds[-1][0] <= i <= bounds[-1][1] and best[i - lo] >= edge:
+                edge, edge_at = int(best[i - lo]), ((i, d - i), int(np.argmax([x[i - lo] for x in scores])))
+    far = len(bounds) == n + m + 1 and bounds[-1][0] <= n <= bounds[-1][1]
     if far and mode != BEST:
-        at, state = (n, m), int(np.argmax([x[n - last_lo] for x in last]))
+        at, state = (n, m), int(np.argmax([x[n - last[1]] for x in last[0]]))
+    elif edge_at is not None:
+        at, state = edge_at
+    elif high_at == (0, 0):
+        return 0, 0, "", False
     else:
-        if high_at == (0, 0):
-            return 0, 0, "", False
         at, state = high_at, 0
+
+    def again(first: int, upto: int) -> dict[int, np.ndarray]:
+        """Origins of the anti-diagonals ``first..upto`` once more."""
+        found, (last, before) = {}, kept[first]
+        for d in range(first, upto + 1):
+            lo, hi = max(last[1], d - m), min(last[1] + len(last[0][0]), d, n)
+            scores, origins = _diagonal(ref, qry, acgt, o, d, lo, hi, last, before)
+            s = slice(bounds[d][0] - lo, bounds[d][1] + 1 - lo)
+            found[d] = origins[s]
+            before, last = last, ([x[s] for x in scores], bounds[d][0])
+        return found
+
+    found: dict[int, np.ndarray] = {}
+
+    def block_of(d: int) -> np.ndarray:
+        if d not in found:
+            found.clear()
+            found.update(again(max(x for x in kept if x <= d), d))
+        return found[d]
+
     i, j = at
     ops: list[str] = []
     while i or j:
-        begin, cells = trace[i + j]
-        came = int(cells[i - begin])
+        d = i + j
+        came = int((cells[d] if d in cells else block_of(d))[i - bounds[d][0]])
         if state == 0:
             ops.append("M")
             state, i, j = came & 3, i - 1, j - 1
@@ -248,7 +292,7 @@ class _Extender:
         far1, far2 = (target[1], target[3]) if target is not None else (0, 0)
         a, b = max(far1, now[0] - o.window), max(far2, now[2] - o.window)
         within = target is not None and (a, b) == (far1, far2)
-        u, v, _, reached = affine(self.r[a : now[0]][::-1], self.q[b : now[2]][::-1], o, TARGET if within else BEST)
+        u, v, _, reached = affine(self.r[a : now[0]][::-1], self.q[b : now[2]][::-1], o, TARGET if within else TO_END if target is None and o.to_end else BEST)
         joined = affine(self.r[now[0] - u : now[0]], self.q[now[2] - v : now[2]], o, FORCED)[2]
         if within and reached:
             target[1], target[3], target[4] = now[1], now[3], target[4] + joined + now[4]
@@ -262,7 +306,7 @@ class _Extender:
         far1, far2 = to or (len(self.r), len(self.q))
         a, b = min(far1, now[1] + self.o.window), min(far2, now[3] + self.o.window)
         within = to is not None and (a, b) == to
-        u, v, ops, reached = affine(self.r[now[1] : a], self.q[now[3] : b], self.o, TARGET if within else BEST)
+        u, v, ops, reached = affine(self.r[now[1] : a], self.q[now[3] : b], self.o, TARGET if within else TO_END if to is None and self.o.to_end else BEST)
         now[1], now[3], now[4] = now[1] + u, now[3] + v, now[4] + ops
         return within and reached
 

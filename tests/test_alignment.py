@@ -106,6 +106,55 @@ def test_affine_is_optimal_on_short_strings():
         assert variants.expand(a, b, variants.contract(one, two)) == (one, two)
 
 
+def letters(text):
+    return np.frombuffer(text.encode(), np.uint8)
+
+
+def noisy(rng, text, kept):
+    return "".join(c if rng.random() < kept else rng.choice("acgt") * rng.randint(0, 3) for c in text)
+
+
+def test_origins_found_again_give_the_same_operations():
+    rng = random.Random(3)
+    for n in range(60):
+        a = bases(rng, rng.randint(0, 120))
+        b = noisy(rng, a, 0.85) + bases(rng, rng.randint(0, 30))
+        o = extend.Options(break_length=rng.choice([10, 40, 200]))
+        for mode in (extend.BEST, extend.TARGET, extend.FORCED, extend.TO_END):
+            whole = extend.affine(letters(a), letters(b), o, mode)
+            assert all(extend.affine(letters(a), letters(b), o, mode, few) == whole for few in (300, 0))
+
+
+def test_origins_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    a = bases(rng, 1500)
+    b, o, seen = noisy(rng, a, 0.8), extend.Options(break_length=10**6), []
+    for traced in (1 << 40, 0):
+        tracemalloc.start()
+        seen.append((extend.affine(letters(a), letters(b), o, extend.FORCED, traced), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert seen[0][0] == seen[1][0] and seen[1][1] < 0.75 * seen[0][1]
+
+
+def test_alignments_go_on_to_the_end_of_the_shorter_sequence():
+    rng = random.Random(12)
+    core, o = bases(rng, 80), extend.Options(break_length=60)
+    long, short = core + "a" * 200, core + "cc"  # the last two letters lower the score
+    for x, y, turned in ((long, short, False), (short, long, True)):
+        assert extend.affine(letters(x), letters(y), o, extend.BEST) == (80, 80, "M" * 80, False)
+        u, v, ops, reached = extend.affine(letters(x), letters(y), o, extend.TO_END)
+        assert (u if turned else v) == 82 and ops == "M" * 82 and not reached
+    # where the search ends before, the best place is taken
+    short = core + "c" * 90
+    assert extend.affine(letters(long), letters(short), o, extend.TO_END)[:2] == (80, 80)
+    pad = bases(rng, 40)
+    found = [[(41, 1, 80)]]
+    ends = {to_end: extend.extend_pair(pad + core + "a" * 300, core + "cc", found, extend.Options(break_length=60, to_end=to_end))[0][:4] for to_end in (False, True)}
+    assert ends == {False: (41, 120, 1, 80), True: (41, 122, 1, 82)}
+
+
 def worth(ref, qry, row, o):
     """The score of an alignment, and that it covers what it says."""
     lo1, hi1, lo2, hi2, ops = row
