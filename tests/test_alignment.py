@@ -106,6 +106,22 @@ def test_affine_is_optimal_on_short_strings():
         assert variants.expand(a, b, variants.contract(one, two)) == (one, two)
 
 
+def test_contigs_over_the_origin_of_a_circular_reference(spark):
+    rows = [
+        # over the origin, forwards and backwards, and one that lies within
+        (1, "r", "fwd", 1000, 100, 951, 1000, 1, 50, 1, 100.0), (2, "r", "fwd", 1000, 100, 1, 50, 51, 100, 1, 100.0),
+        (3, "r", "rev", 1000, 60, 971, 1000, 31, 60, -1, 100.0), (4, "r", "rev", 1000, 60, 1, 30, 1, 30, -1, 100.0),
+        (5, "r", "mid", 1000, 80, 301, 340, 1, 40, 1, 100.0), (6, "r", "mid", 1000, 80, 341, 380, 41, 80, 1, 100.0),
+    ]
+    df = spark.createDataFrame(rows, "aln_id long, ref_id string, qry_id string, ref_len long, qry_len long, lo1 long, hi1 long, lo2 long, hi2 long, dir2 int, idy double")
+    found = {r.qry_id: (r.start, r.end, round(r.covered), r.ori) for r in tiling.chains(df, max_gap=100, circular=True).collect()}
+    assert found == {"fwd": (951, 1050, 100, "+"), "rev": (971, 1030, 100, "-"), "mid": (301, 380, 100, "+")}
+    straight = {r.qry_id: r.covered for r in tiling.chains(df, max_gap=100).collect()}
+    assert straight == {"fwd": 50.0, "rev": 50.0, "mid": 100.0}
+    tiles = [(r.qry_id, r.start, r.end, r.gap) for r in tiling.tiling(df, circular=True, max_gap=100).orderBy("start").collect()]
+    assert tiles == [("mid", 301, 380, 570), ("fwd", 951, 1050, 250)]
+
+
 def letters(text):
     return np.frombuffer(text.encode(), np.uint8)
 
