@@ -336,6 +336,26 @@ def tile_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.trims(_tiles(spark, sf_dir)).select("ref_id", "start", "end", "qry_id", "trim")
 
 
+# Contigs over the origin: each part is one, of two alignments with a few letters between them, before and after the origin
+
+_ROUND = """WITH c AS (SELECT p_partkey::VARCHAR AS qry_id, 'r' || (p_partkey % 20) AS ref_id, 20 + p_size AS h, 30 + p_partkey % 40 AS k, p_partkey % 7 AS g, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS ori FROM part) """
+
+
+@query(_ROUND + 'SELECT qry_id, ref_id, 100000 - g - h + 1 AS start, 100000 + k AS "end", floor((h + k) * 100.0::DOUBLE / (h + g + k) * 100 + 0.5) / 100 AS covered, ori FROM c')
+def circular_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each contig once, though its alignments lie at both ends of a circular reference."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, long = F.col("p_partkey").cast("long"), lambda c: c.cast("long")
+    base = part.select(key.alias("id"), (20 + F.col("p_size")).cast("long").alias("h"), (30 + key % 40).alias("k"), (key % 7).alias("g"))
+    size, forward = F.col("h") + F.col("g") + F.col("k"), F.col("id") % 2 == 0
+    own = [F.concat(F.lit("r"), (F.col("id") % 20).cast("string")).alias("ref_id"), F.col("id").cast("string").alias("qry_id"), long(F.lit(100000)).alias("ref_len"), size.alias("qry_len"), F.when(forward, 1).otherwise(-1).alias("dir2"), F.lit(99.0).alias("idy")]
+    # on the reverse strand what comes first on the reference is the contig's last
+    before = base.select((F.col("id") * 2).alias("aln_id"), *own, (100000 - F.col("g") - F.col("h") + 1).alias("lo1"), (100000 - F.col("g")).alias("hi1"), F.when(forward, 1).otherwise(F.col("k") + F.col("g") + 1).cast("long").alias("lo2"), F.when(forward, F.col("h")).otherwise(size).alias("hi2"))
+    after = base.select((F.col("id") * 2 + 1).alias("aln_id"), *own, long(F.lit(1)).alias("lo1"), F.col("k").alias("hi1"), F.when(forward, F.col("h") + F.col("g") + 1).otherwise(1).cast("long").alias("lo2"), F.when(forward, size).otherwise(F.col("k")).alias("hi2"))
+    found = tiling.chains(before.unionByName(after), circular=True)
+    return found.select("qry_id", "ref_id", "start", "end", (F.floor(F.col("covered") * 100 + 0.5) / 100).alias("covered"), "ori")
+
+
 # Differences: each benchmark item's DNA against itself moved on by a letter
 
 _SHIFTED = f"""WITH d AS (SELECT item_id AS aln_id, item_id::VARCHAR AS id, {DNA.format('text')} AS r FROM benchmark WHERE length({DNA.format('text')}) > 1),
