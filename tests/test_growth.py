@@ -19,3 +19,28 @@ def test_many_small_pairs_are_chained_together(spark):
     found = tiling.chains(rows, circular=True).groupBy("start", "end", "covered").count().collect()
     assert [tuple(r) for r in found] == [(961, 1060, 100.0, n)]
     assert time.time() - begin < 60  # one call for each pair took over two minutes
+
+
+def test_dense_intervals_are_chained_in_time():
+    from helixframe.operators.filters import _chained_apart, best_chain
+
+    r = np.random.default_rng(3)
+
+    def dense(n, span, size):
+        lo = r.integers(1, span, n)
+        length, other = r.integers(1, size, n), r.integers(1, span, n)
+        idy = (length - np.minimum(length, r.integers(0, 40, n))) * 100.0 / length
+        order = np.lexsort((np.arange(n), -np.floor(length * (idy / 100.0) ** 2), lo))
+        return [x[order] for x in (lo, lo + length - 1, idy, other, other + length - 1)]
+
+    for _ in range(300):
+        lo, hi, idy, olo, ohi = dense(int(r.integers(1, 60)), int(r.choice([5, 40, 400])), int(r.choice([2, 9, 80])))
+        chosen = best_chain(lo, hi, idy, olo, ohi)
+        score, gap, came = _chained_apart(lo, hi, (idy / 100.0) ** 2, olo, ohi, 100.0)  # each with each
+        at, want = int(np.lexsort((gap, -score))[0]), np.zeros(len(lo), bool)
+        while at >= 0:
+            want[at], at = True, came[at]
+        assert (chosen == want).all()
+    begin = time.time()
+    assert best_chain(*dense(60000, 6000, 2000)).any()
+    assert time.time() - begin < 12  # each with those that it overlaps took 17 seconds
