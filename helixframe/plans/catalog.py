@@ -402,9 +402,10 @@ def _line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*(f"{how} AS {name}" for name, how in _LINES.items()))
 
 
-_LINE_MEM = "WITH RECURSIVE lines AS (SELECT " + ", ".join(f"{how} AS {name}" for name, how in _LINES.items()) + """ FROM lineitem),
-    reach AS (SELECT *, max(s2 + len) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM lines),
-    runs AS (SELECT *, sum(CASE WHEN s2 <= far THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2 ROWS UNBOUNDED PRECEDING) AS run FROM reach),
+# equal lines are one and each window has one order, so that both windows see the same row before another
+_LINE_MEM = "WITH RECURSIVE lines AS (SELECT DISTINCT " + ", ".join(f"{how} AS {name}" for name, how in _LINES.items()) + """ FROM lineitem),
+    reach AS (SELECT *, max(s2 + len) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM lines),
+    runs AS (SELECT *, sum(CASE WHEN s2 <= far THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id, qry_id, strand, s2 - s1 ORDER BY s2, len ROWS UNBOUNDED PRECEDING) AS run FROM reach),
     mem AS MATERIALIZED (SELECT ref_id, qry_id, strand, min(s1) AS s1, min(s2) AS s2, max(s2 + len) - min(s2) AS len FROM runs GROUP BY ref_id, qry_id, strand, s2 - s1, run)
 """
 

@@ -44,3 +44,17 @@ def test_dense_intervals_are_chained_in_time():
     begin = time.time()
     assert best_chain(*dense(60000, 6000, 2000)).any()
     assert time.time() - begin < 12  # each with those that it overlaps took 17 seconds
+
+
+def test_lines_of_one_start_are_one_match_in_sql():
+    import duckdb
+
+    from helixframe.operators.cluster import _one_on_a_diagonal
+    from helixframe.plans import catalog
+
+    db = duckdb.connect()
+    db.sql("CREATE TABLE lineitem AS SELECT ((i * 7919) % 4000)::BIGINT AS l_orderkey, (i % 2)::BIGINT AS l_partkey, (i % 3)::BIGINT AS l_suppkey, (1 + i % 7)::INT AS l_linenumber, (1 + (i * 31) % 50)::DOUBLE AS l_quantity FROM range(40000) t(i)")
+    groups = db.sql("SELECT " + ", ".join(f"{how} AS {name}" for name, how in catalog._LINES.items()) + " FROM lineitem").df().groupby(["ref_id", "qry_id"])
+    want = {(*key, *row) for key, part in groups for row in _one_on_a_diagonal(part[["s1", "s2", "len"]].to_numpy()).tolist()}
+    found = db.sql(catalog._LINE_MEM + "SELECT ref_id, qry_id, s1, s2, len FROM mem").fetchall()
+    assert len(found) == len(want) and set(found) == want
