@@ -43,32 +43,43 @@ def read_delta(spark: SparkSession, path: str) -> DataFrame:
     head = chunks.filter(F.col("value").rlike(r"^[^\n]+\n[A-Z]+\s*$")).select(F.regexp_extract("value", r"\n([A-Z]+)\s*$", 1)).limit(1).collect()
     kind = "protein" if head and head[0][0].startswith("P") else "dna"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 9, pa.list_(pa.int64()), pa.string()]
-        for b in batches:
-            out = []
-            for value, order in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = value.lstrip(">").split("\n")
-                first = lines[0].split()
-                if len(first) != 4 or not first[2].isdigit():
-                    continue  # the file's header
-                at, k = 1, 0
-                while at < len(lines):
-                    cells = lines[at].split()
+    return chunks.mapInArrow(lambda batches: _parsed(batches, kind), SCHEMA)
+
+
+#: Alignments that a task holds at once while it reads records.
+AT_ONCE = 10000
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Alignments of records ``value, ord``, a bounded number at once, however many a record has."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 9, pa.list_(pa.int64()), pa.string()]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+    out = []
+    for b in batches:
+        for value, order in zip(b.column(0), b.column(1), strict=True):
+            lines, order = value.as_py().lstrip(">").split("\n"), order.as_py()
+            first = lines[0].split()
+            if len(first) != 4 or not first[2].isdigit():
+                continue  # the file's header
+            at, k = 1, 0
+            while at < len(lines):
+                cells = lines[at].split()
+                at += 1
+                if len(cells) != 7:
+                    continue
+                deltas = []
+                while at < len(lines) and (step := lines[at].strip()) != "0":
+                    deltas.append(int(step))
                     at += 1
-                    if len(cells) != 7:
-                        continue
-                    deltas = []
-                    while at < len(lines) and (step := lines[at].strip()) != "0":
-                        deltas.append(int(step))
-                        at += 1
-                    at += 1
-                    out.append((_id(order, k), first[0], first[1], int(first[2]), int(first[3]), *map(int, cells), deltas, kind))
-                    k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
-
-    return chunks.mapInArrow(run, SCHEMA)
+                at += 1
+                out.append((_id(order, k), first[0], first[1], int(first[2]), int(first[3]), *map(int, cells), deltas, kind))
+                k += 1
+                if len(out) == AT_ONCE:
+                    yield made(out)
+                    out = []
+    if out:
+        yield made(out)
 
 
 def _id(order: int, k: int) -> int:

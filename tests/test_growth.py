@@ -58,3 +58,16 @@ def test_lines_of_one_start_are_one_match_in_sql():
     want = {(*key, *row) for key, part in groups for row in _one_on_a_diagonal(part[["s1", "s2", "len"]].to_numpy()).tolist()}
     found = db.sql(catalog._LINE_MEM + "SELECT ref_id, qry_id, s1, s2, len FROM mem").fetchall()
     assert len(found) == len(want) and set(found) == want
+
+
+def test_records_of_many_alignments_are_read_in_parts():
+    import pyarrow as pa
+
+    from helixframe.sources import alignments
+
+    n = 2 * alignments.AT_ONCE + 5
+    record = "r q 100000 100000\n" + "\n".join(f"{i} {i + 9} {i} {i + 9} 0 0 0\n0" for i in range(1, n + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ref.fa qry.fa\nNUCMER", record]), pa.array([0, 1], pa.int64())], names=["value", "ord"])
+    parts = list(alignments._parsed(iter([batch]), "dna"))
+    assert [p.num_rows for p in parts] == [alignments.AT_ONCE, alignments.AT_ONCE, 5]
+    assert [s for p in parts for s in p.column("s1").to_pylist()] == list(range(1, n + 1))
