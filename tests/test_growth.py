@@ -71,3 +71,42 @@ def test_records_of_many_alignments_are_read_in_parts():
     parts = list(alignments._parsed(iter([batch]), "dna"))
     assert [p.num_rows for p in parts] == [alignments.AT_ONCE, alignments.AT_ONCE, 5]
     assert [s for p in parts for s in p.column("s1").to_pylist()] == list(range(1, n + 1))
+
+
+def test_many_rows_of_a_pair_are_chained_as_each_with_each():
+    from helixframe.operators import tiling
+    from helixframe.operators.chains import best_links
+
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        n, span = int(r.integers(17, 60)), int(r.choice([20, 300]))
+        lo1, lo2, way = np.sort(r.integers(1, span, n)), r.integers(1, span, n), r.choice([1, -1], n)
+        size = r.integers(1, 40, n)
+        hi1, hi2 = lo1 + r.integers(0, 40, n), lo2 + size - 1
+        score, came = tiling._link_near(lo1, hi1, lo2, hi2, way, -1, 0)
+        few = tiling._link_few(*(x.tolist() for x in (lo1, hi1, lo2, hi2, way)), -1, 0)
+        fast = best_links(lo1, hi1, lo2, hi2, way, size, lambda i, over: size[i] - over, lambda i, _, over: over < size[i], near=False)
+        assert score.tolist() == fast[0].tolist() == few[0] and came.tolist() == fast[2].tolist() == few[1]
+
+
+def test_tiles_are_linked_over_small_batches(spark):
+    from helixframe.operators import tiling
+
+    r = np.random.default_rng(4)
+    contigs = [(i, f"r{i % 3}", f"q{i:03d}", int(r.integers(1, 4000)), int(r.integers(20, 120))) for i in range(150)]
+    rows = spark.createDataFrame([(i, ref, q, 5000, n, at, at + n - 1, 1, n, 1, 99.0) for i, ref, q, at, n in contigs], "aln_id long, ref_id string, qry_id string, ref_len long, qry_len long, lo1 long, hi1 long, lo2 long, hi2 long, dir2 int, idy double")
+    want = set()
+    for ref in ("r0", "r1", "r2"):
+        tiles = sorted((at, at + n - 1, q) for _, own, q, at, n in contigs if own == ref)
+        at = 0
+        while at is not None:
+            want.add((ref, *tiles[at]))
+            inside = [k for k in range(at + 1, len(tiles)) if tiles[k][0] <= tiles[at][1] < tiles[k][1]]
+            beyond = [k for k in range(at + 1, len(tiles)) if tiles[k][0] > tiles[at][1]]
+            at = min(inside, key=lambda k: (-tiles[k][1], k)) if inside else beyond[0] if beyond else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = [(t.ref_id, t.start, t.end, t.qry_id) for t in tiling.tiling(rows).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(want) and set(found) == want
