@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cache
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ COMPLEMENT = str.maketrans("acgtryswmkbdhvACGTRYSWMKBDHV", "tgcayrswkmvhdbTGCAYR
 #: Amino acids of the 64 codons in the order t, c, a, g of each place.
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
+#: Places of bases in that order by character codes, 4 for any other letter; and the amino acids as bytes.
+CODON_BASES = np.full(256, 4, np.uint8)
+CODON_BASES[np.frombuffer(b"tcaguTCAGU", np.uint8)] = [0, 1, 2, 3, 0] * 2
+CODONS = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)
+
 
 def reverse_complement(seq: Column) -> Column:
     """Of acgt; other letters become n."""
@@ -108,6 +114,11 @@ def translate_frame(seq: str, frame: int) -> str:
     """Frames 1-3 forward, 4-6 on the reverse complement."""
     if frame > 3:
         seq, frame = revcomp(seq), frame - 3
+    if seq.isascii():
+        bases = CODON_BASES[np.frombuffer(seq.encode(), np.uint8)[frame - 1 :]]
+        bases = bases[: len(bases) // 3 * 3].reshape(-1, 3)
+        if not len(bases) or bases.max() < 4:
+            return CODONS[bases @ np.array([16, 4, 1], np.uint8)].tobytes().decode()
     return "".join([amino_acid(seq[i : i + 3]) for i in range(frame - 1, len(seq) - 2, 3)])
 
 

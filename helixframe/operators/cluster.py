@@ -6,10 +6,12 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.chains import Bests, best_links
+from helixframe.operators.groups import in_groups, tasks_of
 
 SCHEMA = "ref_id string, qry_id string, strand int, cluster_id long, ord int, s1 long, s2 long, len long, adj long"
 
@@ -139,24 +141,42 @@ def peel(m: np.ndarray, least: int, by_extent: bool = False) -> list[np.ndarray]
     return out
 
 
+def _of_pair(m: np.ndarray, max_gap: int, min_cluster: int, diagonal: int, factor: float, by_extent: bool) -> list[np.ndarray]:
+    """The chains of one reference, query and strand, in order of their first matches; ``m`` are ``s1, s2, len``."""
+    if len(m) == 1:
+        return [np.append(m, [[0]], axis=1)] if m[0, 2] >= max(min_cluster, 1) else []
+    m = thin(m)
+    groups = connected(m, max_gap, diagonal, factor)
+    found = [rows for g in np.unique(groups) for rows in peel(m[groups == g], min_cluster, by_extent)]
+    return sorted(found, key=lambda r: (r[0, 0], r[0, 1]))
+
+
 def clusters(matches: DataFrame, max_gap: int = 90, min_cluster: int = 65, diagonal: int = 5, factor: float = 0.12, by_extent: bool = False) -> DataFrame:
     """``ref_id, qry_id, strand, cluster_id, ord, s1, s2, len, adj``: chained matches, overlaps trimmed off their starts.
 
     Matches of one reference, query and strand are clustered together; different references never
-    share a cluster.
+    share a cluster. Pairs come as a stream in a fixed number of tasks, and those that have too few letters go at once.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["s2", "s1"], kind="stable")
-        m = thin(part[["s1", "s2", "len"]].to_numpy(np.int64))
-        groups = connected(m, max_gap, diagonal, factor)
-        found = [rows for g in np.unique(groups) for rows in peel(m[groups == g], min_cluster, by_extent)]
-        found.sort(key=lambda r: (r[0, 0], r[0, 1]))
-        cells = [(k, i, *map(int, r)) for k, rows in enumerate(found) for i, r in enumerate(rows)]
-        frame = pd.DataFrame(cells, columns=["cluster_id", "ord", "s1", "s2", "len", "adj"]).astype({"cluster_id": "int64", "ord": "int32"})
-        return frame.assign(ref_id=part.ref_id.iloc[0], qry_id=part.qry_id.iloc[0], strand=int(part.strand.iloc[0]))[[c.split()[0] for c in SCHEMA.split(", ")]]
-
-    return matches.select("ref_id", "qry_id", "strand", "s1", "s2", "len").groupBy("ref_id", "qry_id", "strand").applyInPandas(run, SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
+
+    def run(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        m = np.column_stack([table[c].to_numpy() for c in ("s1", "s2", "len")])
+        at, cells = [], []
+        # no chain is longer than the letters of its pair
+        hopeful = np.arange(len(bounds) - 1) if by_extent else np.flatnonzero(np.add.reduceat(m[:, 2], bounds[:-1]) >= min_cluster)
+        for a, z in zip(bounds[hopeful].tolist(), bounds[hopeful + 1].tolist(), strict=True):
+            made = [(k, i, *r) for k, rows in enumerate(_of_pair(m[a:z], max_gap, min_cluster, diagonal, factor, by_extent)) for i, r in enumerate(rows.tolist())]
+            cells += made
+            at += [a] * len(made)
+        own = table.select(["ref_id", "qry_id", "strand"]).take(pa.array(at, pa.int64())).combine_chunks()
+        made = [pa.array([c[i] for c in cells], kind) for i, kind in enumerate(kinds)]
+        columns = [*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in own.columns), *made]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = matches.select("ref_id", "qry_id", F.col("strand").cast("int").alias("strand"), *(F.col(c).cast("long").alias(c) for c in ("s1", "s2", "len")))
+    return in_groups(rows, ["ref_id", "qry_id", "strand"], ["s2", "s1"], run, SCHEMA, tasks_of(rows))
 
 
 def consistent_set(matches: DataFrame) -> DataFrame:

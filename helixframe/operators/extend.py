@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement, revcomp
+from helixframe.operators.groups import tasks_of
 from helixframe.operators.seeds import code_points
 from helixframe.operators.variants import GAP, contract, errors
 from helixframe.sources.alignments import SCHEMA
@@ -369,12 +370,12 @@ def extend_pair(ref: str, qry: str, found: list[list[tuple[int, int, int]]], o:
 
 
 def protein_errors(one: str, two: str, matrix: str) -> tuple[int, int, int]:
-    """Differing columns, columns whose score isn't positive (gaps too), and stops or other non-letters of both sides, of an expansion."""
-    table = scores_of(matrix)
-    gap = [a == GAP or b == GAP for a, b in zip(one, two, strict=True)]
+    """Differing columns, columns whose score isn't positive (gaps too), and stops or other non-letters of both sides, of an expansion; a dash is a gap too."""
+    table, gaps = scores_of(matrix), (GAP, "-")
+    gap = [a in gaps or b in gaps for a, b in zip(one, two, strict=True)]
     off = sum(g or a.upper() != b.upper() for a, b, g in zip(one, two, gap, strict=True))
     similar = sum(g or table[min(ord(a), 127), min(ord(b), 127)] < 1 for a, b, g in zip(one, two, gap, strict=True))
-    return off, int(similar), sum(x != GAP and not x.isalpha() for x in one + two)
+    return off, int(similar), sum(x not in gaps and not x.isalpha() for x in one + two)
 
 
 def gapped(ref: str, qry: str, ops: str) -> tuple[str, str]:
@@ -417,10 +418,9 @@ def extend(clusters: DataFrame, refs: DataFrame, queries: DataFrame, o: Options
                         out.append((0, ref_id, qry_id, len(ref), len(qry), lo1, hi1, s2, e2, off, similar, odd, contract(one, two), "dna"))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    made = pairs.select("ref_id", "qry_id", "m", F.coalesce("ref_seq", F.lit("")).alias("ref_seq"), F.coalesce("qry_seq", F.lit("")).alias("qry_seq")).mapInArrow(run, SCHEMA)
+    made = pairs.select("ref_id", "qry_id", "m", F.coalesce("ref_seq", F.lit("")).alias("ref_seq"), F.coalesce("qry_seq", F.lit("")).alias("qry_seq")).repartition(tasks_of(pairs), "ref_id", "qry_id").mapInArrow(run, SCHEMA)
     # ids count rows; dealt by a fixed number and sorted, a row has the same one whenever it is computed
-    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = made.repartition(parts, "ref_id", "qry_id").sortWithinPartitions("ref_id", "qry_id", "s1", "e1", "s2", "e2", "deltas")
+    dealt = made.repartition(tasks_of(made), "ref_id", "qry_id").sortWithinPartitions("ref_id", "qry_id", "s1", "e1", "s2", "e2", "deltas")
     return dealt.withColumn("aln_id", F.monotonically_increasing_id())
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.groups import tasks_of
+
 
 def gap_errors(one: str, two: str, limit: int | None = 10_000) -> int | None:
     """Least cost of turning one into the other: one for a base changed or in a gap, and one for each gap; None if either is too long.
@@ -100,7 +102,8 @@ def annotate(chained: DataFrame, refs: DataFrame, queries: DataFrame, limit: int
             known = [None if g is None else gap_errors(x or "", y or "", limit) for g, x, y in zip(b.column("gap1").to_pylist(), b.column("_a").to_pylist(), b.column("_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(c.name) for c in schema], pa.array(known, pa.int64())], names=[*schema.names, "gap_errors"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in schema) + ", gap_errors long")
+    dealt = rows.repartition(tasks_of(rows), "ref_id", "qry_id", "strand", "cluster_id", "ord")
+    return dealt.mapInArrow(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in schema) + ", gap_errors long")
 
 
 def regions(annotated: DataFrame) -> DataFrame:

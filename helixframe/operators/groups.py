@@ -20,8 +20,13 @@ def starts_of(batch: pa.RecordBatch, on: list[str], last: list | None) -> np.nda
     return np.flatnonzero(new)
 
 
-def in_groups(rows: DataFrame, on: list[str], order: list[str | Column], kernel: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """``kernel(table, bounds)`` over rows in the order of ``on`` and ``order``, of which group ``k`` lies between two bounds."""
+def tasks_of(rows: DataFrame) -> int:
+    """Tasks for rows whose work is far more than their bytes: a number given is kept, while shuffles of few bytes are joined into one task."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_groups(rows: DataFrame, on: list[str], order: list[str | Column], kernel: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, tasks: int | None = None) -> DataFrame:
+    """``kernel(table, bounds)`` over rows in the order of ``on`` and ``order``, of which group ``k`` lies between two bounds; with ``tasks`` in so many, however few the rows are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bounds, size, last = [], [], 0, None
@@ -45,4 +50,4 @@ def in_groups(rows: DataFrame, on: list[str], order: list[str | Column], kernel:
             held.clear()
             yield kernel(table, np.array([*bounds, size]))
 
-    return rows.repartition(*on).sortWithinPartitions(*on, *order).mapInArrow(run, schema)
+    return rows.repartition(*[tasks] * (tasks is not None), *on).sortWithinPartitions(*on, *order).mapInArrow(run, schema)

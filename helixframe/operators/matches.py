@@ -57,11 +57,12 @@ def _streamed(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, letters, table, of, at = shared.value
+        known = marked(table)
         for b in batches:
             out: list[tuple] = []
             for seq_id, seq, way in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 mine = code_points(seq or "")
-                k, q = hits_of(table, window_hashes(mine, length))
+                k, q = hits_of(table, window_hashes(mine, length), known)
                 for r, p, place, size in diagonal_runs(of[k], at[k], q, length):
                     out += [(names[r], seq_id, way, p + i + 1, place + i + 1, n) for i, n in equal_runs(letters[r][p : p + size], mine[place : place + size], length)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(KINDS)], names=NAMES)
@@ -72,8 +73,20 @@ def _streamed(refs: DataFrame, queries: DataFrame, length: int) -> DataFrame:
 NAMES, KINDS = ["ref_id", "qry_id", "strand", "s1", "s2", "len"], (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
 
-def hits_of(table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted ``table`` and in ``own`` of all equal hashes."""
+def marked(table: np.ndarray) -> np.ndarray:
+    """Which first bits the hashes of ``table`` have: a few more bits than tell its rows apart, at most 24."""
+    bits = min(max(len(table).bit_length() + 5, 10), 24)
+    known = np.zeros(1 << bits, bool)
+    known[table >> np.uint64(64 - bits)] = True
+    return known
+
+
+def hits_of(table: np.ndarray, own: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``table`` and in ``own`` of all equal hashes; hashes that are not ``marked`` are not searched."""
+    if known is not None:
+        some = np.flatnonzero(known[own >> np.uint64(65 - len(known).bit_length())])
+        k, q = hits_of(table, own[some])
+        return k, some[q]
     lo, hi = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
     n = hi - lo
     q = np.repeat(np.arange(len(own)), n)

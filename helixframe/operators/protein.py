@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.deploy import written
 from helixframe.functions.sequence import mask_short_orfs, protein_to_dna, translate_frame
 from helixframe.operators import matches
 from helixframe.operators.cluster import clusters
 from helixframe.operators.extend import PROTEIN, Options, extend
+from helixframe.operators.groups import tasks_of
 from helixframe.sources.alignments import with_bounds, with_identity
 
 
@@ -34,11 +36,13 @@ def _keyed(f: DataFrame) -> DataFrame:
 def align_protein(refs: DataFrame, queries: DataFrame, options: Options = PROTEIN, least_orf: int = 8) -> DataFrame:
     """Alignments of all frames against all frames, coordinates on the DNA; masked residues of the two sides differ, so they never match. Identity, similarity and stops are counted in amino acids, by the options' matrix."""
     o = replace(options, strand="forward", text=True)
-    ours, theirs = _keyed(frames(refs, least_orf, "X")), _keyed(frames(queries, least_orf, "O"))
+    ours, theirs = _keyed(frames(refs, least_orf, "X")), _keyed(frames(queries.repartition(tasks_of(queries), "seq_id"), least_orf, "O"))
     found = matches.maximal_matches(ours, theirs, o.min_match)
-    chained = clusters(found.filter("len > 1"), o.max_gap, o.min_cluster, o.diagonal, o.factor)
+    chained = written(clusters(found.filter("len > 1"), o.max_gap, o.min_cluster, o.diagonal, o.factor), "clusters")
+    # only what has clusters is translated again
+    chosen = lambda seqs, c: seqs.join(chained.select(F.regexp_replace(c, r"\|\d$", "").alias("seq_id")).distinct(), "seq_id", "left_semi")
     # masked frames seed; alignments grow through the unmasked ones, where stops are letters like any other
-    rows = extend(chained, _keyed(frames(refs, mask=False)), _keyed(frames(queries, mask=False)), o)
+    rows = extend(chained, _keyed(frames(chosen(refs, "ref_id"), mask=False)), _keyed(frames(chosen(queries, "qry_id"), mask=False)), o)
     part = lambda c, i: F.element_at(F.split(c, r"\|"), i)
     rows = rows.withColumn("frame1", part("ref_id", -1).cast("int")).withColumn("frame2", part("qry_id", -1).cast("int"))
     rows = rows.withColumn("ref_id", F.regexp_replace("ref_id", r"\|\d$", "")).withColumn("qry_id", F.regexp_replace("qry_id", r"\|\d$", "")).drop("ref_len", "qry_len")
