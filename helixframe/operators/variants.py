@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequence import compatible, revcomp
 from helixframe.operators.intervals import at_positions
 
-GAP = "-"
+#: Where a sequence has no letter: half a character, which no text can hold, so that a dash in a text is a letter. Written as a dash.
+GAP = "\ud800"
 
 
 def expand(ref: str, qry: str, deltas: list[int]) -> tuple[str, str]:
@@ -91,7 +92,7 @@ def differences(rows: DataFrame, context: int = 0) -> DataFrame:
                     p1 += d1 * (x != GAP)
                     p2 += d2 * (y != GAP)
                     if x == GAP or y == GAP or not compatible(x, y):
-                        around = [(edge + t + edge)[k : k + 2 * context + 1].upper() if context else "" for t in (one, two)]
+                        around = [(edge + t + edge)[k : k + 2 * context + 1].upper().replace(GAP, "-") if context else "" for t in (one, two)]
                         out.append((aln, ref, qry, p1, p2, "." if x == GAP else x.upper(), "." if y == GAP else y.upper(), k, *around))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in DIFFERENCES.split(", ")])
@@ -224,7 +225,7 @@ def display(rows: DataFrame, width: int = 60) -> DataFrame:
                 for at in range(0, len(one), width):
                     x, y = one[at : at + width], two[at : at + width]
                     marks = "".join(" " if c != GAP and d != GAP and compatible(c, d) else "^" for c, d in zip(x, y, strict=True))
-                    lines += [f"{p1:<10d} {x}", f"{p2:<10d} {y}", f"{'':<10s} {marks}"]
+                    lines += [f"{p1:<10d} {x}".replace(GAP, "-"), f"{p2:<10d} {y}".replace(GAP, "-"), f"{'':<10s} {marks}"]
                     p1 += (len(x) - x.count(GAP)) * (1 if s1 <= e1 else -1)
                     p2 += (len(y) - y.count(GAP)) * (1 if s2 <= e2 else -1)
                 made.append(lines)
