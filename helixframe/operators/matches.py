@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import flip, reverse_complement
-from helixframe.operators.seeds import code_points, sampled, seed_length, window_hashes
+from helixframe.operators.seeds import code_points, sampled, seed_length, slices, window_hashes
 
 SCHEMA = "ref_id string, qry_id string, strand int, s1 long, s2 long, len long"
 #: Letters of reference up to which it is broadcast: eight bytes of hash and four of place for each.
@@ -123,7 +123,7 @@ def pieces(seqs: DataFrame, id_column: str, size: int = PIECE, overlap: int = 0)
     """``id_column, part, letters``: each sequence in pieces of ``size`` letters, with the ``overlap`` letters after each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for seq_id, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = range(-(-len(seq) // size))
                 yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(parts), pa.string()), pa.array(parts, pa.int64()), pa.array([seq[k * size : (k + 1) * size + overlap] for k in parts], pa.string())], names=[id_column, "part", "letters"])
@@ -230,7 +230,7 @@ def verified(stretches: DataFrame, refs: DataFrame, keyed: DataFrame, length: in
     met = met.join(theirs, ["way_id", "part2"]).select(*kept, "one", inner("two", "s2", "part2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for ref_id, way_id, s1, s2, size_, left, right, one, two in zip(*[b.column(i).to_pylist() for i in range(9)], strict=True):
                 n = min(len(one), len(two))

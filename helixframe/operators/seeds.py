@@ -22,6 +22,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "seq_id string, pos long, kmer long"
 
 
+#: Texts that a worker has decoded at once.
+AT_ONCE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a worker holds no more of them decoded."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -56,7 +67,7 @@ def extract(seqs: DataFrame, length: int, nucleotides_only: bool = False) -> Dat
     other = re.compile("[^acgt]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for seq_id, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 hashes = window_hashes(code_points(seq), length)
                 pos = np.arange(1, len(hashes) + 1)
@@ -99,7 +110,7 @@ def sampled(seqs: DataFrame, length: int, seed: int | None = None) -> DataFrame:
     seed = seed or seed_length(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for seq_id, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 hashes = window_hashes(code_points(seq), seed)
                 pos = sampled_places(hashes, length - seed + 1)
