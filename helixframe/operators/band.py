@@ -61,13 +61,13 @@ def without_repeats(matches: DataFrame, on: list[str] = PAIR) -> DataFrame:
     A lone match at its starts needs no rival's sight and never enters Python; one start's matches
     are one task's work, ``n log n`` in their number.
     """
-    rows = _with_axis(matches)
-    diagonal = F.col("s2") - F.col("s1")
-    line = Window.partitionBy(*on, diagonal).orderBy("s2")
-    reach = F.max(F.col("s2") + F.col("len")).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    runs = rows.withColumn("_new", F.coalesce((F.col("s2") > reach).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    single = runs.groupBy(*on, diagonal.alias("_diagonal"), "_run").agg(*([] if "ref_id" in on else [F.first("ref_id").alias("ref_id")]), F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.max(F.col("s2") + F.col("len")) - F.min("s2")).alias("len"), F.first("axis").alias("axis"))
+    rows = _with_axis(matches).withColumn("_diagonal", F.col("s2") - F.col("s1"))
+    # frames by place, not by row: matches of one start see the same reach and run, whichever of them a sort puts first
+    line = Window.partitionBy(*on, "_diagonal").orderBy("s2")
+    reach = F.max(F.col("s2") + F.col("len")).over(line.rangeBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("_begin", F.when(F.coalesce(F.col("s2") > reach, F.lit(True)), F.col("s2")))
+    runs = runs.withColumn("_run", F.max("_begin").over(line.rangeBetween(Window.unboundedPreceding, 0)))
+    single = runs.groupBy(*on, "_diagonal", "_run").agg(*([] if "ref_id" in on else [F.first("ref_id").alias("ref_id")]), F.min("s1").alias("s1"), F.min("s2").alias("s2"), (F.max(F.col("s2") + F.col("len")) - F.min("s2")).alias("len"), F.first("axis").alias("axis"))
     plain = [c.split()[0] for c in CELLS.split(", ")]
     alone = lambda start: F.count(F.lit(1)).over(Window.partitionBy(*on, start))
     counted = written(single.select(*plain).withColumn("_n1", alone("s1")).withColumn("_n2", alone("s2")), "starts")
