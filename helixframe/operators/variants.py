@@ -20,6 +20,11 @@ from helixframe.operators.intervals import at_positions
 GAP = "\ud800"
 
 
+def upper(text: str) -> str:
+    """In upper case, letter by letter: one whose upper case is several letters (ß) stays."""
+    return "".join([u if len(u := c.upper()) == 1 else c for c in text]) if len(whole := text.upper()) != len(text) else whole
+
+
 def expand(ref: str, qry: str, deltas: list[int]) -> tuple[str, str]:
     """The two stretches with gaps: +d ends in a base that only ``ref`` has, -d in one that only ``qry`` has."""
     one, two, i, j = [], [], 0, 0
@@ -92,8 +97,8 @@ def differences(rows: DataFrame, context: int = 0) -> DataFrame:
                     p1 += d1 * (x != GAP)
                     p2 += d2 * (y != GAP)
                     if x == GAP or y == GAP or not compatible(x, y):
-                        around = [(edge + t + edge)[k : k + 2 * context + 1].upper().replace(GAP, "-") if context else "" for t in (one, two)]
-                        out.append((aln, ref, qry, p1, p2, "." if x == GAP else x.upper(), "." if y == GAP else y.upper(), k, *around))
+                        around = [upper((edge + t + edge)[k : k + 2 * context + 1]).replace(GAP, "-") if context else "" for t in (one, two)]
+                        out.append((aln, ref, qry, p1, p2, "." if x == GAP else upper(x), "." if y == GAP else upper(y), k, *around))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in DIFFERENCES.split(", ")])
 
@@ -150,7 +155,7 @@ def cigar(one: str, two: str, before: int = 0, after: int = 0, hard: bool = Fals
 def md(one: str, two: str) -> str:
     """The reference's bases where the query differs or lacks them, between counts of equal columns."""
     out, same, deleting = [], 0, False
-    for a, b in zip(one.upper(), two.upper(), strict=True):
+    for a, b in zip(upper(one), upper(two), strict=True):
         if a == GAP:
             continue
         if b == GAP:
@@ -206,7 +211,9 @@ def vcf_rows(differing: DataFrame, refs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_run", F.when(F.col("kind") == "S", F.col("col")).otherwise(F.col("col") - F.row_number().over(step)))
     whole = rows.groupBy("ref_id", "aln_id", "kind", "_run").agg(F.min("p1").alias("p1"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "sub_r"))), lambda x: x["sub_r"]), "").alias("r"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "sub_q"))), lambda x: x["sub_q"]), "").alias("q"))
     whole = whole.withColumn("pos", F.when(F.col("kind") == "D", F.col("p1") - 1).otherwise(F.col("p1")))
-    at = whole.join(refs.select(F.col("seq_id").alias("ref_id"), "seq"), "ref_id").withColumn("base", F.upper(F.substring(F.col("seq"), F.col("pos").cast("int"), F.lit(1)))).drop("seq")
+    letter = F.substring(F.col("seq"), F.col("pos").cast("int"), F.lit(1))
+    base = F.when(F.length(F.upper(letter)) > 1, letter).otherwise(F.upper(letter))
+    at = whole.join(refs.select(F.col("seq_id").alias("ref_id"), "seq"), "ref_id").withColumn("base", base).drop("seq")
     ref = F.when(F.col("kind") == "S", F.col("r")).when(F.col("kind") == "D", F.concat("base", "r")).otherwise(F.col("base"))
     alt = F.when(F.col("kind") == "S", F.col("q")).when(F.col("kind") == "I", F.concat("base", "q")).otherwise(F.col("base"))
     first = Window.partitionBy("ref_id", "pos").orderBy("aln_id", "kind")
